@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .op2_topk import top_k
 from .op3_bpe import encode_documents
+from .op5_language import language_id
 from .op8_toxicity import toxicity
 from .op9_token_counts import token_counts
 
@@ -21,6 +22,10 @@ def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents")).drop("shares")
+
+
 def op8_toxicity_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +37,7 @@ def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mtree_topk": op2_mtree_topk,
     "op3_bpe_chunk_reuse": op3_bpe_chunk_reuse,
+    "op5_language_mixture": op5_language_mixture,
     "op8_toxicity_deobfuscation": op8_toxicity_deobfuscation,
     "op9_trie_token_counts": op9_trie_token_counts,
 }
