@@ -10,6 +10,7 @@ from .common import table
 from .op2_topk import top_k
 from .op3_bpe import encode_documents
 from .op5_language import language_id
+from .op7_pii import pii
 from .op8_toxicity import toxicity
 from .op9_token_counts import token_counts
 
@@ -26,6 +27,10 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).drop("shares")
 
 
+def op7_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mtree_topk": op2_mtree_topk,
     "op3_bpe_chunk_reuse": op3_bpe_chunk_reuse,
     "op5_language_mixture": op5_language_mixture,
+    "op7_pii_bootstrap": op7_pii_bootstrap,
     "op8_toxicity_deobfuscation": op8_toxicity_deobfuscation,
     "op9_trie_token_counts": op9_trie_token_counts,
 }
