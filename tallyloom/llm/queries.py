@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .op2_topk import top_k
 from .op3_bpe import encode_documents
+from .op4_warc import captures
 from .op5_language import language_id
 from .op7_pii import pii
 from .op8_toxicity import toxicity
@@ -23,6 +24,10 @@ def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures(table(spark, sf_dir, "pages"))
+
+
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).drop("shares")
 
@@ -42,6 +47,7 @@ def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mtree_topk": op2_mtree_topk,
     "op3_bpe_chunk_reuse": op3_bpe_chunk_reuse,
+    "op4_warc_transactions": op4_warc_transactions,
     "op5_language_mixture": op5_language_mixture,
     "op7_pii_bootstrap": op7_pii_bootstrap,
     "op8_toxicity_deobfuscation": op8_toxicity_deobfuscation,
