@@ -116,3 +116,62 @@ def gram_hash(data: np.ndarray, levels: int, seed: int = 7) -> np.ndarray:
         a = h[:-step] * np.uint64(0x9FB21C651E98DF25 + 2 * level)
         h = (a ^ (a >> np.uint64(29))) + h[step:]
     return h * np.uint64(0xD6E8FEB86659FD93) ^ (h >> np.uint64(32))
+
+
+_R = 0x9E3779B97F4A7C15  # odd: powers have inverses modulo 2**64
+_powers: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _R and of its inverse, up to n."""
+    global _powers
+    if _powers is None or len(_powers[0]) < n:
+        size = max(n, 1 << 20)
+        base = np.full((2, size), _R, np.uint64)
+        base[1] = pow(_R, -1, 1 << 64)
+        base[:, 0] = 1
+        up, down = np.cumprod(base, axis=1, dtype=np.uint64)
+        _powers = up, down
+    return _powers[0][:n], _powers[1][:n]
+
+
+#: Byte classes: ASCII capitals folded; what separates words: white space, or all ASCII but letters and digits.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+SIGN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, separates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts (with ASCII capitals folded), and where each text's words begin and end among them."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    low = LOWER[data]
+    inside = ~separates[low]
+    edge = np.zeros(len(data) + 1, bool)  # a new word may begin: after a separator or at a text's beginning
+    edge[0] = True
+    edge[1:] = ~inside
+    edge[offsets] = True
+    starts = np.flatnonzero(inside & edge[:-1])
+    ending = np.ones(len(data), bool)
+    ending[:-1] = ~inside[1:]
+    ending[offsets[1:][offsets[1:] > 0] - 1] = True
+    ends = np.flatnonzero(inside & ending) + 1
+    up, down = _power_tables(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(byte_table(11)[low] * up, out=total[1:])
+    h = mix((total[ends] - total[starts]) * down[starts])
+    return h, np.searchsorted(starts, offsets)
+
+
+def shingles(h: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `size` words within a text, and the index of each run's first word."""
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    s = np.zeros(n, np.uint64)
+    for j in range(size):
+        s += h[j : j + n] * np.uint64((0xD1342543DE82EF95 * (2 * j + 3)) & 0xFFFFFFFFFFFFFFFF | 1)
+    first = np.arange(n)
+    whole = first + size <= bounds[np.searchsorted(bounds, first, side="right")]
+    return mix(s[whole]), first[whole]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .op1_decontaminate import leaks
 from .op2_topk import top_k
 from .op3_bpe import encode_documents
 from .op4_warc import captures
@@ -16,6 +17,10 @@ from .op8_toxicity import toxicity
 from .op9_token_counts import token_counts
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +50,7 @@ def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_mtree_topk": op2_mtree_topk,
     "op3_bpe_chunk_reuse": op3_bpe_chunk_reuse,
     "op4_warc_transactions": op4_warc_transactions,
