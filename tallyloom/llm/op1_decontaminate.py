@@ -8,7 +8,7 @@
 3. Pairs that share a kept seed are aligned word by word (match 2, mismatch -1, gap -1). The best local score over twice the
    item's length is the similarity; a pair is a leak at LEAK or more.
 
-Words are runs of letters and digits with ASCII capitals folded (bytes above 127 count as letters).
+Words are runs of letters and digits in small letters (all characters above 127 count as letters).
 
 Defined results: null and empty texts match nothing; items with fewer than SEED words take no part; of equal item ids with
 different texts each text counts and the best score stays; repeated document rows give one row per (doc_id, item_id); null
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ BLOCK_BYTES = 16 << 20
 
 
 def item_words(texts: list[str]) -> list[np.ndarray]:
-    data, offsets = flat(pa.array(texts, pa.string()))
+    data, offsets = flat(pc.utf8_lower(pa.array(texts, pa.string())))
     h, bounds = words(data, offsets, SIGN)
     return [h[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
 
@@ -74,7 +75,7 @@ def seed_hits(docs: DataFrame, items: list[np.ndarray]) -> DataFrame:
         seeds, item, _, size = shared.value
         for batch in by_bytes(batches, "text", 2 << 20):
             ids = batch.column("doc_id").to_pylist()
-            data, offsets = flat(batch.column("text"))
+            data, offsets = flat(pc.utf8_lower(batch.column("text")))
             h, bounds = words(data, offsets, SIGN)
             s, first = shingles(h, bounds, SEED)
             low = np.searchsorted(seeds, s, side="left")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .op10_near_dedup import near_duplicates
 from .op1_decontaminate import leaks
 from .op2_topk import top_k
 from .op3_bpe import encode_documents
@@ -49,6 +50,10 @@ def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_mtree_topk": op2_mtree_topk,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii_bootstrap": op7_pii_bootstrap,
     "op8_toxicity_deobfuscation": op8_toxicity_deobfuscation,
     "op9_trie_token_counts": op9_trie_token_counts,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
