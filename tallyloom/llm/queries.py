@@ -13,6 +13,7 @@ from .op2_topk import top_k
 from .op3_bpe import encode_documents
 from .op4_warc import captures
 from .op5_language import language_id
+from .op6_suffix_dedup import remove_repeats
 from .op7_pii import pii
 from .op8_toxicity import toxicity
 from .op9_token_counts import token_counts
@@ -38,6 +39,10 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).drop("shares")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_chunk_reuse": op3_bpe_chunk_reuse,
     "op4_warc_transactions": op4_warc_transactions,
     "op5_language_mixture": op5_language_mixture,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_pii_bootstrap": op7_pii_bootstrap,
     "op8_toxicity_deobfuscation": op8_toxicity_deobfuscation,
     "op9_trie_token_counts": op9_trie_token_counts,
