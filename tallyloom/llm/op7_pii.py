@@ -141,11 +141,10 @@ def keyed(kind: int, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
 
-def find_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of docs (doc_id and the columns of keep) with `base` and `spans`, arrays of (kind from 1, start, end)."""
-    rows = docs.select("doc_id", "text", *keep)
-    slim = base_spans(rows).withColumn("row", F.monotonically_increasing_id())
-    slim = slim if "text" in keep else slim.drop("text")
+def find_spans(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id (with whole: `kept`, a struct of all columns), `base` and `spans`, arrays of (kind from 1, start, end)."""
+    rows = docs.select(F.struct(*docs.columns).alias("kept"), "text") if whole else docs.select("doc_id", "text")
+    slim = base_spans(rows).drop("text").withColumn("row", F.monotonically_increasing_id())
     slim = cut(slim, "pii_found")  # row ids are fixed from here on
     rows = candidates(slim)
     words = bootstrap(rows)
