@@ -147,14 +147,9 @@ def clusters(held: DataFrame) -> DataFrame:
     least = needed(F.col("n"), F.col("n"))
     large = held.filter(F.size("long") >= least).select("rep", "n", F.slice(F.col("long.v"), F.lit(1), (F.size("long") - least + 1).cast("int")).alias("keys"))
     rows = cut(large.select("rep", "n", F.explode("keys").alias("v")), "long_values")
-    labels = rows.select("rep", F.col("rep").alias("cluster")).distinct()
-    while True:
-        by_value = rows.join(labels, "rep").groupBy("v").agg(F.min("cluster").alias("cluster"))
-        new = rows.select("rep", "v").join(by_value, "v").groupBy("rep").agg(F.min("cluster").alias("cluster"))
-        new = cut(new.join(labels.withColumnRenamed("cluster", "before"), "rep"), "clusters")
-        labels = new.select("rep", "cluster")
-        if not new.filter("cluster <> before").head(1):
-            return rows.select("rep", "n").distinct().join(labels, "rep")
+    hubs = rows.groupBy("v").agg(F.min("rep").alias("hub"))
+    edges = rows.join(hubs, "v").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    return rows.select("rep", "n").distinct().join(components(edges), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("cluster"))
 
 
 def walk(reps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
