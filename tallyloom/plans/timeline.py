@@ -281,9 +281,9 @@ def pattern3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH {E}, s AS (SELECT *, CASE WHEN event_type <> 'error' THEN CAST(floor(value / 60) AS BIGINT) END AS v FROM e),
     k AS (SELECT *, CASE WHEN v IS NOT NULL THEN t END AS kt FROM s),
-    p AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS bv, last_value(kt IGNORE NULLS) OVER b AS bt, first_value(v IGNORE NULLS) OVER a AS av, first_value(kt IGNORE NULLS) OVER a AS at FROM k
+    p AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS bv, last_value(kt IGNORE NULLS) OVER b AS bt, first_value(v IGNORE NULLS) OVER a AS av, first_value(kt IGNORE NULLS) OVER a AS aft FROM k
       WINDOW b AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT event_id, coalesce(v, CASE WHEN bv = av AND at - bt <= 172800000000 THEN bv END) AS filled FROM p
+    SELECT event_id, coalesce(v, CASE WHEN bv = av AND aft - bt <= 172800000000 THEN bv END) AS filled FROM p
 """)
 def bracket_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors take the band of equal readings on both sides, two days apart at most."""
