@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,14 +31,30 @@ def prototypes(rows: DataFrame, label: str, vector: str) -> DataFrame:
 
 def predict_with_margin(rows: DataFrame, model: DataFrame, ident: str, label: str, vector: str, margin: float, most_labels: int = 10_000) -> DataFrame:
     """The label with the highest cosine, null if the next one is nearer than margin. model has one row per label; their
-    number is checked before they are sent to every task."""
-    if model.count() > most_labels:
+    number is checked before they are sent to every task, which multiplies whole batches."""
+    known = model.select(label, "prototype").orderBy(label).limit(most_labels + 1).collect()
+    if len(known) > most_labels:
         raise ValueError(f"more than {most_labels} labels")
-    own = rows.select(ident, normalised(F.col(vector)).alias("__v"))
-    scored = own.join(F.broadcast(model.select(F.col(label).alias("__l"), "prototype")), how="cross").select(ident, "__l", dot(F.col("__v"), F.col("prototype")).alias("__s"))
-    order = Window.partitionBy(ident).orderBy(F.desc("__s"), "__l")
-    ranked = scored.withColumns({"__n": F.row_number().over(order), "__next": F.lead("__s").over(order)}).filter("__n = 1")
-    return ranked.select(ident, F.when(F.coalesce(F.col("__s") - F.col("__next"), F.lit(float("inf"))) >= margin, F.col("__l")).alias("predicted"))
+    shared = rows.sparkSession.sparkContext.broadcast(([r[0] for r in known], [r[1] for r in known]))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        labels, prototypes = shared.value
+        weights = np.array(prototypes, np.float64)
+        for frame in frames:
+            vectors = np.array(frame["__v"].tolist(), np.float64)
+            if not len(labels) or not len(vectors):
+                yield pd.DataFrame({ident: frame[ident], "predicted": [None] * len(frame)})
+                continue
+            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+            scores = vectors @ weights.T
+            best = scores.argmax(axis=1)
+            top = scores[np.arange(len(best)), best]
+            scores[np.arange(len(best)), best] = -np.inf
+            sure = top - scores.max(axis=1) >= margin
+            yield pd.DataFrame({ident: frame[ident], "predicted": [labels[b] if ok else None for b, ok in zip(best, sure, strict=True)]})
+
+    out = StructType([rows.schema[ident], StructField("predicted", model.schema[label].dataType)])
+    return rows.filter(F.col(vector).isNotNull()).select(ident, F.col(vector).alias("__v")).mapInPandas(run, out)
 
 
 def self_train(labelled: DataFrame, unlabelled: DataFrame, ident: str, label: str, vector: str, margin: float, rounds: int = 3) -> DataFrame:

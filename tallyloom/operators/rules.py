@@ -8,16 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def predicate_truth(facts: DataFrame, predicates: DataFrame, scope: Sequence[str], key: str, number: str) -> DataFrame:
+def predicate_truth(facts: DataFrame, predicates: DataFrame, scope: Sequence[str], key: str, number: str, most_rules: int = 10_000) -> DataFrame:
     """For each scope and predicate (rule, key, op, lo) the truth over the set of the key's values: true if ANY value
-    satisfies it, false if none does, null if the key is absent. Values that are null or not numbers satisfy nothing."""
+    satisfies it, false if none does, null if the key is absent. Values that are null or not numbers satisfy nothing. The
+    number of rules is checked, as every scope gets a row for each."""
+    rules = [r["rule"] for r in predicates.select("rule").distinct().limit(most_rules + 1).collect()]
+    if len(rules) > most_rules:
+        raise ValueError(f"more than {most_rules} rules")
     x, lo = F.col(number), F.col("lo")
     op = F.col("op")
     holds = F.when(op == "eq", x == lo).when(op == "neq", x != lo).when(op == "gte", x >= lo).when(op == "gt", x > lo).when(op == "lte", x <= lo).when(op == "lt", x < lo).when(op == "exists", F.lit(True))
     scopes = facts.select(*scope).distinct()
     # The predicates are a rule table: broadcast by Spark only if it is below the session's threshold.
     matched = facts.join(predicates, F.col(key) == F.col("pkey")).groupBy(*scope, "rule").agg(F.bool_or(F.coalesce(holds, F.lit(False))).alias("truth"))
-    return scopes.join(predicates.select("rule"), how="cross").join(matched, [*scope, "rule"], "left")
+    return scopes.withColumn("rule", F.explode(F.array(*map(F.lit, rules)))).join(matched, [*scope, "rule"], "left")
 
 
 def top_rules(candidates: DataFrame, scope: Sequence[str], most: int, *order: Column) -> DataFrame:

@@ -56,6 +56,16 @@ def unique_anchor(points: DataFrame, anchors: DataFrame, point_id: str, radius:
     return near.groupBy(point_id).agg(F.count("*").alias("n"), F.min("anchor").alias("anchor")).filter("n = 1").drop("n")
 
 
+def nearest_anchors(points: DataFrame, anchors: DataFrame, k: int, most_anchors: int = 1_000) -> DataFrame:
+    """points (x, y, ...) with `nearest`, the k nearest anchors (anchor, ax, ay) in order, ties to the smaller anchor. The
+    anchors are a dimension whose size is checked; they go along as one literal array."""
+    known = anchors.select("anchor", "ax", "ay").limit(most_anchors + 1).collect()
+    if len(known) > most_anchors:
+        raise ValueError(f"more than {most_anchors} anchors")
+    squares = [F.struct(((F.col("x") - r["ax"]) * (F.col("x") - r["ax"]) + (F.col("y") - r["ay"]) * (F.col("y") - r["ay"])).alias("d"), F.lit(r["anchor"]).alias("anchor")) for r in known]
+    return points.withColumn("nearest", F.transform(F.slice(F.array_sort(F.array(*squares)), 1, k), lambda s: s["anchor"]))
+
+
 def to_map(x: Column, y: Column, scale_x: float, scale_y: float, shift_x: float, shift_y: float) -> tuple[Column, Column]:
     """World to map coordinates: axes swap."""
     return y * scale_x + shift_x, x * scale_y + shift_y
