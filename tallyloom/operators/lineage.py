@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.sources.tables import cut
+
 
 def closure(edges: DataFrame, most: int = 30) -> DataFrame:
     """(child, ancestor) pairs over parent edges (child, parent): doubling joins, so a chain of 2**k edges takes k rounds.
-    edges must have no cycle; stops when a round adds nothing."""
-    pairs = edges.select("child", F.col("parent").alias("ancestor")).distinct()
+    edges must have no cycle; each round is written to the shared folder; stops when a round adds nothing."""
+    pairs = cut(edges.select("child", F.col("parent").alias("ancestor")).distinct())
     known = pairs.count()
     for _ in range(most):
         longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor")
-        pairs = pairs.unionByName(longer).distinct()
+        pairs = cut(pairs.unionByName(longer).distinct())
         now = pairs.count()
         if now == known:
             break

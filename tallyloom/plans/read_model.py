@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import contains_folded
@@ -40,15 +40,18 @@ def stats_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("l_returnflag") == "R", F.col("n"))), F.lit(0)).alias("improve"),
     )
     none = F.lit(None).cast("double")
-    label = sums.filter("g = 3").select(F.lit("label").alias("metric"), F.col("l_returnflag").alias("item"), "n", none.alias("share"))
-    rule = sums.filter("g = 5").select(F.lit("rule"), F.col("l_suppkey").cast("string"), "n", none)
-    day = sums.filter("g = 6").select(F.lit("day"), "day", "n", none)
-    improve = sums.filter("g = 5 AND improve > 0").select(F.lit("improve_rule"), F.col("l_suppkey").cast("string"), "improve", none)
-    share = sums.filter("g = 7").select(F.lit("good_share"), F.lit(""), "n", F.try_divide(F.col("good").cast("double"), F.col("good") + F.col("improve")))
+
+    def line(when: str, metric: str, item: Column, n: str, share: Column = none) -> Column:
+        return F.when(F.expr(when), F.struct(F.lit(metric).alias("metric"), item.alias("item"), F.col(n).alias("n"), share.alias("share")))
+
+    share = F.try_divide(F.col("good").cast("double"), F.col("good") + F.col("improve"))
+    rule = F.col("l_suppkey").cast("string")
+    lines_of = F.array_compact(F.array(line("g = 3", "label", F.col("l_returnflag"), "n"), line("g = 5", "rule", rule, "n"), line("g = 6", "day", F.col("day"), "n"), line("g = 5 AND improve > 0", "improve_rule", rule, "improve"), line("g = 7", "good_share", F.lit(""), "n", share)))
+    report = sums.select(F.explode(lines_of).alias("x")).select("x.*")
     with_lines = m.join(lines.select("l_orderkey").distinct(), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     totals = with_lines.agg(F.count("l_orderkey").alias("evaluable"), F.count("*").alias("matches"), F.count_if(F.col("o_orderstatus") == "P").alias("incomplete"), F.count_if(F.col("l_orderkey").isNull()).alias("without_evaluations"))
     totals = totals.unpivot([], ["evaluable", "matches", "incomplete", "without_evaluations"], "metric", "n").select("metric", F.lit("").alias("item"), "n", none.alias("share"))
-    return label.union(rule).union(day).union(improve).union(share).union(totals)
+    return report.union(totals)
 
 
 @query("""

@@ -6,6 +6,8 @@ writes only the partitions that changed.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the folder in spark.checkpoint.dir and read it again, so that later rounds of an iteration neither repeat
+    its work nor lose it with an executor. In local mode without the setting it goes to a temporary folder."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared}/tallyloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a timestamp without zone: exact, and usable in RANGE frames."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
