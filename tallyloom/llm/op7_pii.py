@@ -17,6 +17,8 @@ result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from .common import cut
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, CONFIDENT, ACCEPT = 3, 5, 0.8, 0.8
+#: Matches of one text that are placed in one go.
+PIECE = 256
 
 WORD = r"[^\x20\x09-\x0D]"
 BASE = {
@@ -35,6 +39,11 @@ BASE = {
 CANDIDATE = rf"(?<!{WORD}){WORD}*[0-9@]{WORD}*"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def located(text: Column, pattern: str) -> Column:
     """All matches as (start, end, hit, before): code points, end exclusive; before: up to 48 characters left of the hit."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -46,7 +55,17 @@ def located(text: Column, pattern: str) -> Column:
         start = acc["at"] + x["gap"]
         return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["hit"].alias("hit"), x["before"].alias("before")))).alias("out"))
 
-    return F.aggregate(paired, zero, step, lambda acc: acc["out"])
+    def place(p: Column) -> Column:
+        # Growing an array copies it: places are summed within pieces of PIECE matches, then the pieces are moved along.
+        pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(p) - 1) / PIECE).cast("int"), F.lit(0))), lambda c: F.aggregate(F.slice(p, c * PIECE + 1, F.lit(PIECE)), zero, step))
+        return let(pieces, moved)
+
+    def moved(pieces: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        begins = F.aggregate(pieces, none, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(pieces, begins, lambda piece, by: F.transform(piece["out"], lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["hit"].alias("hit"), x["before"].alias("before")))))
+
+    return let(paired, place)
 
 
 def luhn(digits: Column) -> Column:
