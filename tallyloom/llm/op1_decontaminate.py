@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
 1. Every run of SEED words of a benchmark item is a seed. Test items are taken in blocks of bounded size, broadcast as sorted
-   seed hashes; one pass over the documents joins them with the items on seeds and keeps, for each (document, item) and
-   cluster of hits, the seeds found and the words around them.
-2. Spark counts the documents of each seed. Of any WINDOW seeds in a row an item keeps the rarest: however often an item was
-   copied, its rarest places stay seeds, and phrases that are common everywhere lead nowhere.
-3. Pairs that share a kept seed are aligned word by word (match 2, mismatch -1, gap -1). The best local score over twice the
-   item's length is the similarity; a pair is a leak at LEAK or more.
+   seed hashes; one pass over the documents joins them with the items on seeds: each (document, item) that shares a seed,
+   however common, is a candidate.
+2. A score of least * 2m with an item of m words takes least * m matches within (3 - 2 * least) * m words of the document.
+   Of each candidate only the passages that hold so many words of the item are kept; no alignment that counts is lost.
+3. Passages are aligned word by word (match 2, mismatch -1, gap -1). The best local score over twice the item's length is
+   the similarity; a pair is a leak at LEAK or more. So the result is that of aligning every candidate's whole text.
 
 Words are runs of letters and digits in small letters (all characters above 127 count as letters).
 
@@ -17,6 +17,7 @@ ids take no part; texts of any length are searched whole; extra columns are igno
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import SIGN, by_bytes, cut, flat, shingles, words
 
-SEED, WINDOW, LEAK = 5, 3, 0.6
+SEED, LEAK = 5, 0.6
 #: Bytes of item text in one broadcast block.
 BLOCK_BYTES = 16 << 20
+#: Words of a document that one passage begins in, at least.
+STEP = 4096
 
 
 def item_words(texts: list[str]) -> list[np.ndarray]:
@@ -38,17 +41,17 @@ def item_words(texts: list[str]) -> list[np.ndarray]:
     return [h[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
 
 
-def seed_index(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted seed hashes with the item and the place of each (a seed of several items several times)."""
-    hashes, item, place = [], [], []
+def seed_index(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted seed hashes with the item of each (a seed of several items several times)."""
+    hashes, item = [], []
     for i, h in enumerate(items):
-        s, first = shingles(h, np.array([0, len(h)]), SEED)
-        hashes.append(s), item.append(np.full(len(s), i)), place.append(first)
+        s = np.unique(shingles(h, np.array([0, len(h)]), SEED)[0])
+        hashes.append(s), item.append(np.full(len(s), i))
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes, item, place = np.concatenate(hashes), np.concatenate(item), np.concatenate(place)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes, item = np.concatenate(hashes), np.concatenate(item)
     order = np.argsort(hashes, kind="stable")
-    return hashes[order], item[order].astype(np.int64), place[order].astype(np.int64)
+    return hashes[order], item[order].astype(np.int64)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> int:
@@ -64,15 +67,35 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
-HITS = "doc_id long, item int, seeds array<int>, passage binary"
+def among(sorted_words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of h are among the sorted words (one at least)."""
+    return sorted_words[np.minimum(np.searchsorted(sorted_words, h), len(sorted_words) - 1)] == h
 
 
-def seed_hits(docs: DataFrame, items: list[np.ndarray]) -> DataFrame:
-    """One row per document, item and cluster of hits: the seeds found (places in the sorted index), the words around."""
-    shared = docs.sparkSession.sparkContext.broadcast((*seed_index(items), np.array([len(h) for h in items], np.int64)))
+def passages(item: np.ndarray, text: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Spans of the text that hold every alignment with a score of least * 2 * len(item) or more."""
+    m = len(item)
+    need, span = max(1, math.ceil(least * m - 1e-9)), math.floor((3 - 2 * least) * m + 1e-9)
+    of_item = among(np.unique(item), text)
+    total = np.concatenate([[0], np.cumsum(of_item)])
+    at = np.flatnonzero(of_item)  # the best alignment begins with a match
+    at = at[total[np.minimum(at + span, len(text))] - total[at] >= need]
+    if len(at):
+        part = at // max(STEP, 4 * span)
+        edges = np.flatnonzero((np.diff(at) > span) | (np.diff(part) > 0)) + 1
+        for a, b in zip(at[np.append(0, edges)], at[np.append(edges, len(at)) - 1], strict=True):
+            yield int(a), int(min(b + span, len(text)))
+
+
+HITS = "doc_id long, item int, passage binary"
+
+
+def seed_hits(docs: DataFrame, items: list[np.ndarray], least: float) -> DataFrame:
+    """One row per document, item that it shares a seed with, and passage that may reach the score."""
+    shared = docs.sparkSession.sparkContext.broadcast((*seed_index(items), items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, item, _, size = shared.value
+        seeds, item, items = shared.value
         for batch in by_bytes(batches, "text", 2 << 20):
             ids = batch.column("doc_id").to_pylist()
             data, offsets = flat(pc.utf8_lower(batch.column("text")))
@@ -81,64 +104,42 @@ def seed_hits(docs: DataFrame, items: list[np.ndarray]) -> DataFrame:
             low = np.searchsorted(seeds, s, side="left")
             found = np.flatnonzero(low < len(seeds))
             found = found[seeds[low[found]] == s[found]] if len(seeds) else found
-            n = np.searchsorted(seeds, s[found], side="right") - low[found]
-            # One line per hit and item that has the seed.
-            at = np.repeat(first[found], n)
-            seed = np.repeat(low[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            doc = np.searchsorted(bounds, at, side="right") - 1
-            of = item[seed]
-            order = np.lexsort((at, of, doc))
-            at, seed, doc, of = at[order], seed[order], doc[order], of[order]
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            if len(at):
-                far = np.concatenate([[True], (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]) | (at[1:] - at[:-1] > size[of[1:]])])
-                begins = np.flatnonzero(far)
-                for a, b in zip(begins, np.append(begins[1:], len(at)), strict=True):
-                    d, i = doc[a], of[a]
-                    if ids[d] is None:
+            doc = np.searchsorted(bounds, first[found], side="right") - 1
+            out: tuple[list, list, list] = ([], [], [])
+            edges = np.flatnonzero(np.diff(doc)) + 1
+            for own in np.split(found, edges) if len(found) else ():
+                d = np.searchsorted(bounds, first[own[0]], side="right") - 1
+                if ids[d] is None:
+                    continue
+                text = h[bounds[d] : bounds[d + 1]]
+                held = np.unique(text)
+                hit = np.unique(s[own])
+                a, b = np.searchsorted(seeds, hit, side="left"), np.searchsorted(seeds, hit, side="right")
+                of = np.unique(np.concatenate([item[x:y] for x, y in zip(a, b, strict=True)]))
+                for i in of.tolist():
+                    if among(held, items[i]).sum() < least * len(items[i]) - 1e-9:
                         continue
-                    left, right = max(bounds[d], at[a] - size[i]), min(bounds[d + 1], at[b - 1] + SEED + size[i])
-                    out[0].append(ids[d]), out[1].append(int(i)), out[2].append(np.unique(seed[a:b])), out[3].append(h[left:right].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.binary())], names=["doc_id", "item", "seeds", "passage"])
+                    for left, right in passages(items[i], text, least):
+                        out[0].append(ids[d]), out[1].append(i), out[2].append(text[left:right].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["doc_id", "item", "passage"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, HITS)
 
 
-def rare_seeds(items: list[np.ndarray], frequency: dict[int, int]) -> np.ndarray:
-    """Of any WINDOW seeds in a row of an item the one that stands in the fewest documents."""
-    hashes, item, place = seed_index(items)
-    count = np.array([frequency.get(i, 0) for i in range(len(hashes))], np.int64)
-    first = np.searchsorted(hashes, hashes)  # equal seeds of several items count together
-    np.maximum.at(count, first, count)
-    count = count[first]
-    order = np.lexsort((place, item))
-    kept = np.zeros(len(hashes), bool)
-    edges = np.flatnonzero(np.diff(item[order])) + 1
-    for own in np.split(order, edges):
-        for k in range(max(1, len(own) - WINDOW + 1)):
-            part = own[k : k + WINDOW]
-            if len(part):
-                kept[part[np.argmin(count[part])]] = True
-    return kept
-
-
 def leaks_of_block(docs: DataFrame, ids: list[int], texts: list[str], least: float) -> DataFrame:
     spark = docs.sparkSession
     items = item_words(texts)
-    hits = cut(seed_hits(docs, items), "seed_hits")
-    counted = hits.select("doc_id", F.explode("seeds").alias("seed")).distinct().groupBy("seed").count()
-    frequency = {r["seed"]: r["count"] for r in counted.toLocalIterator()}  # at most the block's seeds
-    shared = spark.sparkContext.broadcast((rare_seeds(items, frequency), items, ids))
+    hits = cut(seed_hits(docs, items, least), "seed_hits")
+    shared = spark.sparkContext.broadcast((items, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, items, ids = shared.value
+        items, ids = shared.value
         for batch in batches:
             doc, item, score = [], [], []
-            for d, i, seeds, passage in zip(batch.column("doc_id").to_pylist(), batch.column("item").to_pylist(), batch.column("seeds").to_pylist(), batch.column("passage").to_pylist(), strict=True):
-                if rare[seeds].any():
-                    s = align(items[i], np.frombuffer(passage, np.uint64)) / (2 * len(items[i]))
-                    if s >= least:
-                        doc.append(d), item.append(ids[i]), score.append(s)
+            for d, i, passage in zip(batch.column("doc_id").to_pylist(), batch.column("item").to_pylist(), batch.column("passage").to_pylist(), strict=True):
+                s = align(items[i], np.frombuffer(passage, np.uint64)) / (2 * len(items[i]))
+                if s >= least:
+                    doc.append(d), item.append(ids[i]), score.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "item_id", "similarity"])
 
     # Alignments cost far more than rows are long: deal them evenly.

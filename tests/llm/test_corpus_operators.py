@@ -101,6 +101,41 @@ def test_leaks_find_edited_passages_and_leave_others(spark: SparkSession) -> Non
     assert leaks(awkward(spark), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("exact", [0, 9])
+def test_leaks_are_those_of_aligning_all_pairs_that_share_a_seed(spark: SparkSession, exact: int) -> None:
+    rng = random.Random(7)
+    items = {i: prose(rng, n).split() for i, n in enumerate((30, 30, 41, 64), 10)}
+    common = " ".join(items[10][6:11])  # one seed of an item is common everywhere
+    items[14] = [*prose(rng, 20).split(), *common.split()]
+    docs = {}
+    for item in items.values():
+        for every in (6, 7):
+            for first in range(every):
+                w = [f"x{len(docs)}" if k % every == first else v for k, v in enumerate(item)]
+                docs[len(docs)] = f"{prose(rng, 30)} {' '.join(w)} {prose(rng, 30)}"
+        # Words put in between: two copied, one not, and five in a row at the end.
+        w = [y for k, v in enumerate(item) for y in ([v, f"y{k}"] if k % 2 and k < len(item) - 6 else [v])]
+        docs[len(docs)] = f"{prose(rng, 100)} {' '.join(w)}"
+        for _ in range(exact):
+            docs[len(docs)] = f"{prose(rng, 10)} {' '.join(item)}"
+    for _ in range(20):
+        docs[len(docs)] = f"{prose(rng, 40)} {common} {prose(rng, 40)}"
+    # The seed far from the copy, whose runs are of four words.
+    docs[len(docs)] = f"{' '.join(items[12][:5])} {prose(rng, 6000)} {' '.join('z' if k % 5 == 4 else v for k, v in enumerate(items[12]))}"
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    want = {}
+    for d, text in docs.items():
+        for i, w in items.items():
+            if grams(w) & grams(text.split()):
+                score = local_score(w, text.split()) / (2 * len(w))
+                if score >= 0.6:
+                    want[d, i] = score
+    bench = [(i, " ".join(w)) for i, w in items.items()]
+    rows = leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert len(want) > 60
+    assert {(r.doc_id, r.item_id): r.similarity for r in rows} == pytest.approx(want)
+
+
 # --- 2
 
 
