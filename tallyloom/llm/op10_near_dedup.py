@@ -7,8 +7,8 @@ for among pairs whose sketches share that many:
 
 * Inverted lists of values with at most LIST representatives give pairs with the number of values they share. A pair stays
   if that number and the values of long lists that either side holds could reach SHARED.
-* Values of longer lists alone matter only to representatives whose sketches hold SHARED of them: large groups of near
-  copies. Those form clusters (connected by the rarest of their long-list values, one of which any such pair shares); a
+* Values of longer lists alone matter only to representatives whose sketches hold SHARED of them (small sets: as many as
+  the smallest set they may be linked with asks for): large groups of near copies. Those form clusters (connected by the rarest of their long-list values, one of which any such pair shares); a
   cluster is dealt into blocks of at most BLOCK shingles, every pair of blocks is one task, and a task walks breadth-first
   from set to set over postings of whole sets, so that it compares a set only with sets that no component holds yet.
 
@@ -144,7 +144,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def clusters(held: DataFrame) -> DataFrame:
     """Representatives with enough values of long lists: rep, n, cluster (the smallest representative reachable over the rarest of these values)."""
-    least = needed(F.col("n"), F.col("n"))
+    # What the smallest set that n may be linked with asks for: the pair's own number is this or more.
+    least = F.least(F.lit(SHARED), F.ceil(F.col("n") * (LEAST / 100) - 1e-9))
     large = held.filter(F.size("long") >= least).select("rep", "n", F.slice(F.col("long.v"), F.lit(1), (F.size("long") - least + 1).cast("int")).alias("keys"))
     rows = cut(large.select("rep", "n", F.explode("keys").alias("v")), "long_values")
     hubs = rows.groupBy("v").agg(F.min("rep").alias("hub"))

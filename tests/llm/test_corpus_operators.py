@@ -420,3 +420,17 @@ def test_near_duplicates_in_large_groups_and_chains(spark: SparkSession) -> None
     assert got == plain_components(rows)
     assert near_duplicates(df.limit(0)).count() == 0
     assert {r.doc_id for r in near_duplicates(awkward(spark)).collect()} == set(range(1, 10))
+
+
+def test_near_duplicates_of_many_texts_and_a_shorter_one(spark: SparkSession) -> None:
+    rng = random.Random(11)
+    rows = []
+    for n in (11, 14, 17, 21):  # 7 to 17 shingles; each of the others has one or two more of its own
+        base = prose(rng, n)
+        k = len(rows)
+        rows += [(k, base)] + [(k + i, f"{base} own{k + i}") for i in range(1, 61)] + [(k + i, f"{base} two{k + i} more{k + i}") for i in range(61, 121)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()}
+    want = plain_components(rows)
+    assert want[121 + 60] == (11, 121)
+    assert got == want
