@@ -1,9 +1,10 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
 1. A character trigram model is counted over the words of all documents (per task in numpy, summed in Spark).
-2. Suspicious spans (a sign or digit between letters, a letter three times in a row, single letters with separators) become
-   character lattices: a sign is itself or a letter it stands for, a run of one letter is one or two of it, separators
-   between single letters vanish. Viterbi decoding under the trigram model gives the restored span.
+2. Suspicious spans (a sign or digit between, before or after letters, a letter three times in a row, single letters with
+   separators) become character lattices: a sign is itself or a letter it stands for, a run of one letter is one or two of
+   it, a separator between single letters is nothing or a word edge (the reading as one word counts too). Viterbi decoding
+   under the trigram model gives the restored span; spans of any length are decoded.
 3. Features are whole words and word beginnings of 4 to 6 letters of the text and of its restored spans; a beginning that
    several words share is another feature than that of one word. Their toxic and clean documents are counted on a bounded
    sample of labelled rows (SAMPLE rows with the smallest hash of doc_id, training folds only); documents that share their
@@ -49,7 +50,8 @@ CHANNEL_LITERAL, CHANNEL_LEET, CHANNEL_SIGN, CHANNEL_REPEAT = 0.0, -1.0, -6.0, -
 
 SPACED = re.compile(r"(?<!\w)[^\W\d_](?:[ .\-_*][^\W_]){3,}(?!\w)")
 BETWEEN_WORDS = re.compile(r"[\s,;:?\"]+")
-ODD_WORD = re.compile(r"[^\W\d_][0-9@$!|+(€*]+[^\W\d_]|([^\W\d_])\1\1|^[0-9@$!|(€]+[^\W\d_]{2}")
+ODD_WORD = re.compile(r"[^\W\d_][0-9@$!|+(€*]+[^\W\d_]|([^\W\d_])\1\1|^[0-9@$!|(€]+[^\W\d_]{2}|[^\W\d_][0-9@$!|+(€*]+(?!\w)")
+LAST_SIGNS = re.compile(r"(?<=[^\W\d_])[0-9@$!|+(€*]+(?!\w)")
 WORD = re.compile(r"[^\s,;:?\"]*(?:[^\W\d_][0-9@$!|+(€*]+[^\W\d_]|([^\W\d_])\1\1|(?<![^\s])[0-9@$!|(€]+[^\W\d_]{2})[^\s,;:?\"]*")
 WORD = re.compile(r"[^\W_]+")
 
@@ -107,13 +109,36 @@ class Channel:
         p2 = (bi + 5 * p1) / (bi.sum(axis=1, keepdims=True) + 5)
         p3 = (tri + 5 * p2[None, :, :]) / (tri.sum(axis=2, keepdims=True) + 5)
         self.log = np.log(p3)
-        self.restore = lru_cache(50_000)(self._restore)
+        self.cached = lru_cache(50_000)(self._restore)
+
+    def restore(self, span: str) -> str:
+        return self.cached(span) if len(span) <= 200 else self._restore(span)
+
+    def spaced(self, span: str) -> Iterator[list[tuple[str, float]]]:
+        """The lattice of single letters with separators: each separator is nothing or a word edge."""
+        letters, i = span[::2], 0
+        edge = [("", CHANNEL_LITERAL), (" ", CHANNEL_LITERAL)]
+        while i < len(letters):
+            c, j = letters[i], i + 1
+            while j < len(letters) and letters[j] == c:
+                j += 1
+            if i:
+                yield edge
+            if not c.isalpha():
+                for k in range(min(j - i, 2)):
+                    if k:
+                        yield edge
+                    yield [*((x, CHANNEL_LEET) for x in LEET.get(c, "")), (c, CHANNEL_SIGN)]
+            elif j - i == 1:
+                yield [(c, CHANNEL_LITERAL)]
+            else:
+                two = CHANNEL_LITERAL if j - i == 2 else CHANNEL_REPEAT
+                yield [(c, CHANNEL_REPEAT), *((x, two) for x in (c + c, f"{c} {c}")), *((x, two) for x in (f"{c}{c} {c}", f"{c} {c}{c}") if j - i > 2)]
+            i = j
 
-    def lattice(self, span: str) -> list[list[tuple[str, float]]]:
+    def lattice(self, span: str) -> Iterator[list[tuple[str, float]]]:
         """For each place the letters it may stand for, with channel log probabilities; a run of a letter is one place of one or two."""
-        if SPACED.fullmatch(span):
-            span = re.sub(r"[ .\-_*]", "", span)
-        places: list[list[tuple[str, float]]] = []
+        last = {k for m in LAST_SIGNS.finditer(span) for k in range(*m.span())}
         i = 0
         while i < len(span):
             c = span[i]
@@ -122,38 +147,50 @@ class Channel:
                 j += 1
             if c.isalpha():
                 if j - i == 1:
-                    places.append([(c, CHANNEL_LITERAL)])
+                    yield [(c, CHANNEL_LITERAL)]
                 else:
-                    places.append([(c, CHANNEL_REPEAT * (j - i > 1)), (c + c, CHANNEL_LITERAL if j - i == 2 else CHANNEL_REPEAT)])
+                    yield [(c, CHANNEL_REPEAT * (j - i > 1)), (c + c, CHANNEL_LITERAL if j - i == 2 else CHANNEL_REPEAT)]
             else:
                 for _ in range(min(j - i, 2)):
                     options = [(x, CHANNEL_LEET) for x in LEET.get(c, "")]
-                    places.append([*options, (c, CHANNEL_SIGN)])
+                    # Numbers and punctuation at a word's end are nothing odd.
+                    yield [*options, (c, CHANNEL_LITERAL if i in last else CHANNEL_SIGN)]
             i = j
-        return places
 
     def _restore(self, span: str) -> str:
-        """The likeliest reading of a span, in small letters."""
-        beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in self.lattice(span):
-            following: dict[tuple[int, int], tuple[float, str]] = {}
+        """The likeliest reading of a span, in small letters; single letters with separators also as one word."""
+        if SPACED.fullmatch(span):
+            return f"{self.decoded(self.spaced(span))} {self.decoded(self.lattice(re.sub(r'[ .\-_*]', '', span)))}"
+        return self.decoded(self.lattice(span))
+
+    def decoded(self, places: Iterator[list[tuple[str, float]]]) -> str:
+        beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for options in places:
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (s, done) in beam.items():
                 for letters, cost in options:
                     x, y, score = a, b, s + cost
                     for c in letters:
                         z = symbol(c) if c.isalpha() else 0
-                        score += self.log[x, y, z]
-                        x, y = y, z
+                        if y or z:  # the model has each run of what is no letter once
+                            score += self.log[x, y, z]
+                            x, y = y, z
                     key = (x, y)
                     if key not in following or score > following[key][0]:
-                        following[key] = (score, done + letters)
+                        following[key] = (score, (done, letters) if letters else done)
             beam = following
-        return max((s + self.log[a, b, 0], done) for (a, b), (s, done) in beam.items())[1]
+        done = max((s + (self.log[a, b, 0] if b else 0.0), k) for k, ((a, b), (s, _)) in enumerate(beam.items()))[1]
+        chain, out = list(beam.values())[done][1], []
+        while chain:
+            chain, letters = chain
+            out.append(letters)
+        return "".join(reversed(out))
 
     def restored(self, text: str) -> list[str]:
         """Restored words of a text in small letters."""
         spans = [m.group(0) for m in SPACED.finditer(text)] + [w for w in BETWEEN_WORDS.split(text) if ODD_WORD.search(w)]
-        return [w for span in spans if len(span) <= 200 for w in WORD.findall(self.restore(span))]
+        own = {span: set(WORD.findall(span)) for span in spans}
+        return [w for span in spans for w in WORD.findall(self.restore(span)) if w not in own[span]]
 
 
 def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -166,7 +203,7 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     letter = ((low >= 97) & (low <= 122)) | (data >= 0x80)
     sign = np.isin(data, np.frombuffer(b"0123456789@$!|+(*", np.uint8)) | (data == 0xE2)
     hit = np.zeros(n, bool)
-    hit[:-1] |= sign[:-1] & letter[1:]
+    hit[:-1] |= sign[:-1] & letter[1:] | letter[:-1] & sign[1:]
     hit[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
     gap = np.isin(data, np.frombuffer(SEPARATORS.encode(), np.uint8))
     hit[:-4] |= gap[:-4] & ~gap[1:-3] & gap[2:-2] & ~gap[3:-1] & gap[4:]

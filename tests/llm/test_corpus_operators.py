@@ -325,6 +325,34 @@ def test_toxicity_of_awkward_rows(spark: SparkSession) -> None:
     assert toxicity(awkward(spark), labels.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_of_spaced_and_long_spans_and_signs_at_the_end(spark: SparkSession) -> None:
+    rng = random.Random(12)
+    calm = [a + b + c for a in ("ba", "fe", "gu", "lo", "mi", "ne", "ro", "wi") for b in ("rin", "tal", "vos", "kem", "lub") for c in ("de", "ga", "mu", "zo", "ny", "pax", "qui")]
+    say = lambda n: " ".join(rng.choice([*calm, "a"]) for _ in range(n))
+    rows = [(i, f"{say(20)} you are such a {'stupid' if i % 4 == 0 else rng.choice(calm)} {say(20)}") for i in range(800)]
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(800)], "doc_id long, quality int, toxic int")
+    spaced = " ".join("".join(f"{say(30)} such a stupid {say(30)}".split()))
+    planted = ["such a s t u p i d", "y o u a r e s u c h a s t u p i d", spaced, spaced.replace(" ", "-"), "stu" + "p" * 300 + "id", ".".join(["b4rinde"] * 60) + ".5tup1d", "s t u p p i d", "$tupid", "s+upid"]
+    clean = ["y o u a r e", "such a l o t a l g a", "mivosmu! nerinde2 you are$", " ".join("".join(say(60).split())), "m" * 300]
+    rows += list(enumerate(planted, 1000)) + list(enumerate(clean, 2000))
+    got = {r.doc_id: r.predicted for r in toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert {i: got[i] for i in got if i >= 1000} == {**{1000 + i: 1 for i in range(len(planted))}, **{2000 + i: 0 for i in range(len(clean))}}
+
+
+def test_signs_at_the_end_of_a_word_are_letters_if_the_model_says_so() -> None:
+    import numpy as np
+
+    from tallyloom.llm.op8_toxicity import SYMBOLS, Channel, suspicious, symbols
+
+    text = np.frombuffer(b" ".join([b"idiot ass calm"] * 200), np.uint8)
+    x = np.concatenate([[0], symbols(text), [0]])
+    gram, n = np.unique((x[:-2] * SYMBOLS + x[1:-1]) * SYMBOLS + x[2:], return_counts=True)
+    channel = Channel(gram, n)
+    assert channel.restored("an idio+ an as$ and calm! calm2") == ["idiot", "ass"]
+    data = np.frombuffer(b"an idio+ ", np.uint8)
+    assert suspicious(data, np.array([0, len(data)])).all()
+
+
 # --- 9
 
 
