@@ -156,6 +156,60 @@ def test_top_k_with_ties_repeats_and_unusable_vectors(spark: SparkSession) -> No
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def plain_top(rows: list, every: int = 100, k: int = 10) -> dict:
+    ints = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    asked: dict[int, list] = {}
+    for i, v in ints:
+        if i % every == 0:
+            asked[i] = min(v, asked.get(i, v))
+    out = {}
+    for q, v in asked.items():
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ints if i != q and len(w) == len(v))[:k]
+        out[q] = [(i, -s) for s, i in best]
+    return {q: best for q, best in out.items() if best}
+
+
+def ranked(df: DataFrame) -> dict:
+    got = defaultdict(list)
+    for r in df.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    return dict(got)
+
+
+def test_top_k_with_lengths_large_components_and_several_blocks(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    from tallyloom.llm import op2_topk
+
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3 + i % 2)]) for i in range(300)]
+    rows += [(i, [rng.uniform(-1, 1) * 2.0**20 for _ in range(5)]) for i in range(300, 360)]  # sums beyond doubles' whole numbers
+    rows += [(400, [2.0**41] + [0.0] * 5), (401, [1.0] + [0.0] * 5), (402, [2.0] + [0.0] * 5), (500, [0.25] * 3), (500, [0.125] * 3), (501, []), (600, [7.0] * 9)]
+    monkeypatch.setattr(op2_topk, "BLOCK_BYTES", 2048)
+    monkeypatch.setattr(op2_topk, "PACK_BYTES", 64)
+    got = ranked(top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got == plain_top([r for r in rows if r[1]])
+    huge = [(0, [2.0**60, 1.0]), (1, [2.0**60, 0.0])]
+    with pytest.raises(Exception, match="no 64-bit integer"):
+        top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).collect()
+
+
+def test_the_tree_leaves_out_most_of_clustered_vectors() -> None:
+    import numpy as np
+
+    from tallyloom.llm.op2_topk import MTree
+
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(100, 16)) * 4
+    v = centre[rng.integers(0, 100, 10_000)] + 0.1 * rng.normal(size=(10_000, 16))
+    v = np.floor(4096 * v / np.linalg.norm(v, axis=1, keepdims=True))
+    tree = MTree(np.arange(len(v)), v)
+    for q in range(0, len(v), 500):
+        s = v @ v[q]
+        s[q] = -np.inf
+        want = sorted(zip((-s).tolist(), range(len(v)), strict=True))[:10]
+        assert tree.search(q, v[q], 10) == [(int(-a), i) for a, i in want]
+    assert tree.computed < 0.1 * 20 * len(v)
+
+
 # --- 3
 
 
@@ -462,3 +516,53 @@ def test_near_duplicates_of_many_texts_and_a_shorter_one(spark: SparkSession) ->
     want = plain_components(rows)
     assert want[121 + 60] == (11, 121)
     assert got == want
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_near_duplicates_of_random_short_texts(spark: SparkSession, exact: bool) -> None:
+    rng = random.Random(21)
+    rows: list[tuple[int, str]] = []
+    for n in range(5, 21):
+        for copies in (2, 49, 50, 90):
+            base = prose(rng, n).split()
+            for _ in range(copies):
+                w = list(base)
+                if rng.random() < 0.7:
+                    w = [*w, f"own{len(rows)}"] if rng.random() < 0.5 else [f"own{len(rows)}", *w]
+                if rng.random() < 0.2:
+                    w[rng.randrange(len(w))] = f"x{len(rows)}"
+                rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, exact=exact).collect()}
+    assert got == plain_components(rows)
+
+
+def test_near_duplicates_in_a_cluster_of_several_blocks(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    from tallyloom.llm import op10_near_dedup
+
+    rng = random.Random(22)
+    rows = []
+    for g in range(3):  # three groups over one shared passage: one cluster of several blocks and components
+        shared = prose(random.Random(1), 60).split()
+        own = prose(rng, 60 + 40 * g).split()
+        for i in range(120):
+            w = [*shared, *own]
+            w[rng.randrange(len(w))] = f"changed{g}x{i}"
+            rows.append((len(rows), " ".join(w)))
+    monkeypatch.setattr(op10_near_dedup, "BLOCK", 3000)
+    df = spark.createDataFrame([*rows, (None, "a text without an id")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()}
+    assert got.pop(None) == (1, None)
+    assert got == plain_components(rows)
+
+
+def test_near_duplicates_at_another_similarity(spark: SparkSession) -> None:
+    rng = random.Random(23)
+    base = prose(rng, 124).split()
+    rows = [(0, " ".join(base))]
+    for i, tail in enumerate((9, 14, 20), 1):  # similarities of 0.86, 0.79 and 0.71
+        rows.append((i, " ".join([*base[:-tail], *(f"t{i}x{k}" for k in range(tail))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least, linked in ((85, 1), (75, 2), (70, 3)):
+        got = {r.doc_id: r.component_id for r in near_duplicates(df, least=least).collect()}
+        assert sum(v == 0 for v in got.values()) == 1 + linked, least
