@@ -1,16 +1,18 @@
 """WARC archives: writing request, response or revisit, and metadata records, reading them back, and assembling captures.
 
 Writing: the payload digest (SHA-1 in base 32) and length of each page are worked out in Spark; per digest the smallest
-page_id is found by a pre-aggregated grouping and joined back on narrow rows. Every page becomes three records, one text row
-of gzip files that Spark's writer commits to the shared folder; at most PAGES_PER_FILE pages go to one archive, so a reader
-holds one small archive at a time. Reading: the archives come as binary rows and are parsed record by record as streams.
-Transaction assembly: request and metadata records name their capture in WARC-Concurrent-To; one grouping on the capture's
-id joins them with the response or revisit record into one nested row per capture.
+page_id is found by a pre-aggregated grouping and joined back on narrow rows (digests that hold more than one in HOT_SHARE of
+all rows, so at most HOT_SHARE of them, by broadcast). Every page becomes three records, each a gzip member of its own;
+members are packed until an archive has ARCHIVE bytes, and Spark's writer commits one file for each archive to the shared
+folder. So an archive is bounded by ARCHIVE and one capture. Reading: the archives come as binary rows and are parsed record
+by record as streams. A revisit's WARC-Refers-To is the WARC-Record-ID of the response that it repeats. Transaction assembly:
+request and metadata records name their capture in WARC-Concurrent-To; one grouping on the capture's id joins them with the
+response or revisit record into one nested row per capture.
 
 Defined results: a null html is an empty payload; a null url is written as about:blank, control characters in it as %20;
-rows that repeat page_id, url and html are one capture; a null page_id is a response of its own (and comes back as null);
-payloads under `least` bytes are never revisits; ties cannot occur among page ids; extra columns are ignored; an empty
-table gives no captures.
+rows that repeat page_id and html are one capture (with the smallest url); a null page_id is a response of its own (and comes
+back as null); payloads under `least` bytes are never revisits; ties cannot occur among page ids; extra columns are ignored;
+an empty table gives no captures.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, scratch_path
 
-PAGES_PER_FILE = 2000
+ARCHIVE, HOT_SHARE = 8 << 20, 1000
 DATE = "2024-01-01T00:00:00Z"
 
 # The alphabets of radix 32 and of base 32.
@@ -53,27 +55,33 @@ def record(kind: Column | str, headers: list[tuple[str, Column]], content_type:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block)
 
 
+def with_few_hot(rows: DataFrame, sides: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with sides (key, n, ...; n: rows that hold the key, total: all rows): keys with more than one in HOT_SHARE
+    of all rows, which are at most HOT_SHARE, are broadcast, so that no such key is one task."""
+    hot = sides.filter(F.col("n") * HOT_SHARE > total)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(sides.filter(F.col("n") * HOT_SHARE <= total), key)).drop("n")
+
+
 def with_decisions(pages: DataFrame, least: int) -> DataFrame:
     """pages (page_id, url, html) with digest, size and refers_to (the page that holds the same payload, null for responses)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("about:blank")), r"[\x00-\x20\x7F]", "%20").alias("url"), html.alias("html"))
     pages = pages.withColumns({"digest": base32_sha1(F.col("html")), "size": F.octet_length("html").cast("long")})
-    narrow = pages.select("page_id", "digest", "size").filter(F.col("size") >= least)
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("last > first").drop("last")
-    later = narrow.join(first, "digest").filter("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    narrow = cut(pages.select("page_id", "digest", "size").filter(F.col("size") >= least), "digests")
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("*").alias("n")).filter("last > first").drop("last")
+    later = with_few_hot(narrow, first, "digest", narrow.count()).filter("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
     return pages.join(later, ["page_id", "digest"], "left")
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int = PAGES_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 0, archive: int = ARCHIVE) -> None:
     """Write all pages as archives under path."""
     p = with_decisions(pages, least)
     page, digest = F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("digest")
-    own = urn(F.lit("capture"), page, F.col("url"), digest)
+    # A response's id follows from its page and payload alone, so that its revisits can name it; a page without id has its url.
+    own = F.when(F.col("page_id").isNull(), urn(F.lit("capture"), F.lit(""), F.col("url"), digest)).otherwise(urn(F.lit("capture"), page, digest))
+    target = urn(F.lit("capture"), F.col("refers_to").cast("string"), digest)
     revisit = F.col("refers_to").isNotNull()
     uri = ("WARC-Target-URI", F.col("url"))
-    # The referred page's record has an id of its own page alone, so that it can be named without its url.
-    named = urn(F.lit("payload"), page, digest)
-    target = urn(F.lit("payload"), F.col("refers_to").cast("string"), digest)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     response = record(
         F.when(revisit, "revisit").otherwise("response"),
@@ -81,7 +89,6 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int =
             ("WARC-Record-ID", own),
             uri,
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
-            ("WARC-Payload-Name", F.when(~revisit, named)),
             ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
             ("WARC-Refers-To", F.when(revisit, target)),
         ],
@@ -91,8 +98,23 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int =
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
     request = record("request", [("WARC-Record-ID", urn(F.lit("request"), own)), uri, ("WARC-Concurrent-To", own)], "application/http; msgtype=request", F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n")))
     metadata = record("metadata", [("WARC-Record-ID", urn(F.lit("metadata"), own)), uri, ("WARC-Concurrent-To", own)], "application/warc-fields", F.concat(F.lit("page-id: "), page, F.lit("\r\n")))
-    text = F.concat_ws("\r\n\r\n", request, response, metadata)
-    p.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for records in zip(*batch.columns, strict=True):
+                for r in records:
+                    held.append(gzip.compress(r.as_buffer().to_pybytes() + b"\r\n\r\n", 5, mtime=0))
+                    size += len(held[-1])
+                if size >= archive:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+
+    rows = p.select(request.alias("request"), response.alias("response"), metadata.alias("metadata")).mapInArrow(packed, "value binary")
+    # One archive is one row and one file. The text writer writes bytes as they are; gzip readers skip the zero byte at the end.
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -109,7 +131,7 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, stream.read(int(headers["content-length"]))
 
 
-RECORD = "type string, record_id string, concurrent_to string, uri string, name string, refers_to string, payload_digest string, payload_bytes long, fields string"
+RECORD = "type string, record_id string, concurrent_to string, uri string, refers_to string, payload_digest string, payload_bytes long, fields string"
 
 
 def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
@@ -128,7 +150,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataF
             size = next(int(x.split(b":")[1]) for x in block.split(b"\r\n") if x.lower().startswith(b"content-length:"))
         else:
             fields = block.decode("utf-8")
-        out = kind, headers["warc-record-id"], headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-payload-name"), headers.get("warc-refers-to"), digest, size, fields
+        out = kind, headers["warc-record-id"], headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-refers-to"), digest, size, fields
         return (*out, body.decode("utf-8", "replace") if body is not None else None) if payload else out
 
     schema = RECORD + (", payload string" if payload else "")
@@ -149,7 +171,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataF
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, schema)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -175,12 +197,14 @@ def captures(pages: DataFrame, least: int = 0) -> DataFrame:
         F.col("capture.payload_bytes").alias("payload_bytes"),
         F.col("capture.payload_digest").alias("payload_digest"),
         F.col("capture.type").alias("record_type"),
-        F.col("capture.name").alias("name"),
+        F.col("capture_id").alias("record_id"),
         F.col("capture.refers_to").alias("target"),
     )
-    rows = cut(rows, "captures")  # read twice below
-    held = rows.filter(F.col("name").isNotNull()).groupBy(F.col("name").alias("target")).agg(F.min("page_id").alias("refers_to"))
-    revisits = rows.filter(F.col("record_type") == "revisit").join(held, "target", "left")
-    responses = rows.filter(F.col("record_type") == "response").withColumn("refers_to", F.lit(None).cast("long"))
+    rows = cut(rows, "captures")  # read three times below
+    revisits = rows.filter(F.col("record_type") == "revisit")
+    responses = rows.filter(F.col("record_type") == "response")
+    asked = revisits.groupBy("target").agg(F.count("*").alias("n"))
+    held = asked.join(responses.select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to")), "target", "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return responses.select(columns).unionByName(revisits.select(columns))
+    found = with_few_hot(revisits, held, "target", revisits.count())
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(found.select(columns))

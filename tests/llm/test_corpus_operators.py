@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import oracle
 import pytest
@@ -257,6 +258,39 @@ def test_captures_of_the_small_pages(spark: SparkSession) -> None:
     assert got == want
 
 
+def test_archives_are_valid_and_bounded(spark: SparkSession, tmp_path: Path) -> None:
+    import gzip
+    import io
+
+    from tallyloom.llm.op4_warc import assemble, parse, read_records, write_archives
+
+    rng = random.Random(13)
+    rows = [(i, f"http://a/{i}", "same page" if i % 3 == 0 else "".join(rng.choices("abcdefgh", k=4000))) for i in range(1, 200)]
+    rows += [rows[0], rows[4], (None, "http://n/1", "same page"), (None, "http://n/2", None), (300, "http://big", "z" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "archives")
+    write_archives(pages.repartition(2), path, archive=20_000)
+    files = sorted(tmp_path.glob("archives/part-*"))
+    assert len(files) > 10 and all(f.stat().st_size < 32_000 for f in files)
+    ids, refers, members = set(), [], 0
+    for f in files:
+        data = f.read_bytes()
+        records = list(parse(gzip.GzipFile(fileobj=io.BytesIO(data))))
+        members += data.count(b"\x1f\x8b\x08\x00")
+        assert len(records) % 3 == 0
+        for h, _ in records:
+            ids.add(h["warc-record-id"])
+            if h["warc-type"] == "revisit":
+                refers.append(h["warc-refers-to"])
+    assert members >= 3 * 200 and refers and set(refers) <= ids
+    nested = assemble(read_records(spark, path, payload=True)).collect()
+    assert len(nested) == len({(i, h) for i, _, h in rows if i is not None}) + 2
+    assert all(r.request.uri == r.capture.uri == r.metadata.uri for r in nested)
+    got = captures(pages).collect()
+    assert Counter(r.record_type for r in got if r.page_id is None) == {"response": 2}
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {3}
+
+
 # --- 5
 
 
