@@ -1,19 +1,20 @@
 """Exact substring deduplication with suffix arrays.
 
 Every byte goes that a WIDTH-byte string covers which also starts earlier (smaller doc_id, or earlier in the document).
-
-1. Windows of WIDTH bytes are dealt by their minimizer, the leftmost 32-gram with the smallest hash in the window, so equal
-   windows meet wherever they stand. Neighbouring windows with one minimizer form a stretch, at most 168 bytes; one pass over
-   the texts makes (minimizer, content hash, document, place) records, packed per bucket of minimizers. A batch keeps of
-   equal stretches the earliest and marks the others removed, so a stretch that a third of the documents share comes from
-   each batch once.
-2. A bucket does the same for all its records: of stretches with equal minimizer and content (128 bits of hashes) all but the
-   earliest go. Minimizers with one content are done; the earliest stretches of the others are looked up in their texts.
-3. Shards of these stretches get a suffix array each, by Larsson-Sadakane refinement in numpy (7 symbols first, then
-   doubling over groups that are not yet told apart), and common prefixes by Kasai's method, run over all stretches of the
-   shard side by side. Windows that share WIDTH bytes are one class; all but its earliest window go.
-4. A minimizer with more than HOT contents is dealt into several shards. Those write their earliest windows as sorted runs,
-   and a merge finds the earliest of all by binary search of each run in the merged ones.
+Whether strings are equal is found by suffix arrays and binary search over their bytes alone; hashes only deal the work out.
+
+1. Shards of text. Windows of WIDTH bytes are grouped by their minimizer, the leftmost 32-gram with the smallest hash in the
+   window, so equal windows meet wherever they stand; a window whose minimizer stands nowhere else has no equal. Neighbouring
+   windows with one minimizer form a stretch, at most 168 bytes. In each batch of texts (BATCH bytes) the stretches of
+   minimizers that recur in it get a suffix array, by Larsson-Sadakane refinement in numpy (7 symbols first, then doubling
+   over groups that are not yet told apart), and common prefixes by Kasai's method, run over all stretches side by side.
+   Windows that share WIDTH bytes are one class; all but its earliest window go. Stretches that keep a window are recorded as
+   (minimizer, document, place), so a passage that a third of the documents hold leaves each batch about once.
+2. Shards of minimizers. Records are dealt into buckets by minimizer (BUCKET bytes of text each). Minimizers with one record
+   are done; the stretches of the others are looked up in their texts and get suffix arrays in the same way, HOT records of
+   one minimizer at most in one.
+3. Merge. A minimizer with more than HOT records stands in several shards. These write their earliest windows (bytes,
+   document, place) as sorted runs, and a merge finds the earliest of all by binary search of each run in the merged ones.
 
 Defined results: a null text is empty (nothing removed); texts under WIDTH bytes keep all; rows with a null doc_id take no
 part; rows that repeat a doc_id and its text count as one and each get its result; if their texts differ, each row loses
@@ -36,13 +37,15 @@ from .common import by_bytes, cut, flat, gram_hash, mix
 WIDTH, LEVELS = 100, 5
 GRAM = 1 << LEVELS
 SPAN = WIDTH - GRAM + 1  # grams in a window
-SLICE, BATCH = 1 << 18, 4 << 20
-#: Contents of one minimizer in one shard.
-HOT = 20_000
+SLICE, BATCH, BUCKET = 1 << 18, 4 << 20, 32 << 20
+#: Records of one minimizer in one shard; bytes of one suffix array (or one minimizer's shard); wanted records of one bucket.
+HOT, ARRAY, WANTED = 1000, 1 << 20, 60_000
+
+RUN = np.dtype([("w", f"S{WIDTH}"), ("doc", np.uint64), ("place", np.uint64)])
 
 
 def stretches(data: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """Stretches of the windows of data: columns minimizer, content hash, first window, number of windows. valid: windows within one text."""
+    """Stretches of the windows of data: columns minimizer, first window, number of windows. valid: windows within one text."""
     found = []
     for a in range(0, len(data) - WIDTH + 1, SLICE):
         part = data[a : a + SLICE + WIDTH - 1]
@@ -62,30 +65,20 @@ def stretches(data: np.ndarray, valid: np.ndarray) -> np.ndarray:
         last = ok.copy()
         last[:-1] &= ~ok[1:] | (place[1:] != place[:-1])
         first, last = np.flatnonzero(new), np.flatnonzero(last)
-        if not len(first):
-            continue
-        size = last - first + WIDTH
-        content = size.astype(np.uint64)
-        for j in range(6):
-            content = mix(content * np.uint64(0x9E3779B97F4A7C15) + h[first + np.minimum(GRAM * j, size - GRAM)])
-        found.append(np.stack([h[place[first]], content, (first + a).astype(np.uint64), (last - first + 1).astype(np.uint64)], axis=1))
-    return np.concatenate(found) if found else np.zeros((0, 4), np.uint64)
+        if len(first):
+            found.append(np.stack([h[place[first]], (first + a).astype(np.uint64), (last - first + 1).astype(np.uint64)], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 3), np.uint64)
 
 
-def earliest(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of records (minimizer, content, document, place) with equal minimizer and content the earliest, and the others; sorted."""
-    records = records[np.lexsort((records[:, 3], records[:, 2].view(np.int64), records[:, 1], records[:, 0]))]
-    same = (records[1:] == records[:-1]).all(axis=1)
-    records = records[np.concatenate([[True], ~same])] if len(records) else records  # a repeated row
-    same = (records[1:, :2] == records[:-1, :2]).all(axis=1)
-    lead = np.concatenate([[True], ~same]) if len(records) else np.zeros(0, bool)
-    return records[lead], records[~lead]
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(values)))
 
 
-def spans_of(records: np.ndarray) -> np.ndarray:
-    """(document, start, end) of whole stretches; a place is (first window << 7 | number of windows)."""
-    start = records[:, 3] >> np.uint64(7)
-    return np.stack([records[:, 2], start, start + (records[:, 3] & np.uint64(127)) + np.uint64(WIDTH - 1)], axis=1)
+def sizes(places: np.ndarray) -> np.ndarray:
+    """Bytes of stretches; a place is (first window << 7 | number of windows)."""
+    return (places & np.uint64(127)).astype(np.int64) + WIDTH - 1
 
 
 def blobs(key: np.ndarray, records: np.ndarray, kind: str) -> pa.RecordBatch:
@@ -128,82 +121,6 @@ def beside(rows: DataFrame) -> DataFrame:
 BLOBS = "key long, kind string, blob binary"
 
 
-def windows(docs: DataFrame, buckets: int) -> DataFrame:
-    """`records` by bucket of minimizers, and `spans` of what a batch already removes, by bucket of documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", BATCH):
-            data, offsets = flat(batch.column("text"))
-            cover = np.zeros(len(data) + 1, np.int32)
-            np.add.at(cover, np.maximum(offsets[1:] - (WIDTH - 1), offsets[:-1]), 1)
-            np.add.at(cover, offsets[1:], -1)
-            s = stretches(data, np.cumsum(cover[:-1]) == 0)
-            row = np.searchsorted(offsets, s[:, 2].astype(np.int64), side="right") - 1
-            ids = batch.column("doc_id").to_numpy()
-            s[:, 3] |= (s[:, 2] - offsets[row].astype(np.uint64)) << np.uint64(7)
-            s[:, 2] = ids[row].view(np.uint64)
-            lead, others = earliest(s)
-            yield blobs((lead[:, 0] >> np.uint64(11)) % np.uint64(buckets), lead, "records")
-            if len(others):
-                spans = spans_of(others)
-                yield blobs(doc_key(spans[:, 0], buckets), spans, "spans")
-
-    return docs.mapInArrow(run, BLOBS)
-
-
-def shared_stretches(records: DataFrame, buckets: int, hot: int) -> DataFrame:
-    """By bucket of documents: `spans` of stretches that stand earlier, and `wanted`: (document, place, minimizer, shard, shards) of the earliest ones of minimizers with several contents."""
-
-    def run(t: pa.Table) -> pa.Table:
-        if (spans := pass_spans(t)) is not None:
-            return spans
-        lead, others = earliest(unpack(t["blob"], 4))
-        out = []
-        if len(others):
-            spans = spans_of(others)
-            out.append(blobs(doc_key(spans[:, 0], buckets), spans, "spans"))
-        first = np.flatnonzero(np.concatenate([[True], lead[1:, 0] != lead[:-1, 0]]))
-        count = np.diff(np.append(first, len(lead)))
-        n = np.repeat(count, count)
-        own = lead[n > 1]
-        if len(own):
-            shards = (n[n > 1] + hot - 1) // hot
-            shard = own[:, 1] % shards.astype(np.uint64)
-            wanted = np.stack([own[:, 2], own[:, 3], own[:, 0], shard, shards.astype(np.uint64)], axis=1)
-            out.append(blobs(doc_key(wanted[:, 0], buckets), wanted, "wanted"))
-        schema = pa.schema([("key", pa.int64()), ("kind", pa.string()), ("blob", pa.binary())])
-        return pa.Table.from_batches(out, schema) if out else schema.empty_table()
-
-    return beside(records).groupBy("key").applyInArrow(run, BLOBS)
-
-
-def look_up(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
-    """The wanted stretches with their bytes, packed by bucket of minimizers and shards."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("key", pa.int64()), ("meta", pa.binary()), ("bytes", pa.binary())])
-        if not right.num_rows or not left.num_rows:
-            return schema.empty_table()
-        data, offsets = flat(left["text"])
-        ids = left["doc_id"].to_numpy().view(np.uint64)
-        order = np.argsort(ids, kind="stable")
-        w = unpack(right["blob"], 5)
-        w = w[np.lexsort((w[:, 1], w[:, 0]))]
-        at = order[np.minimum(np.searchsorted(ids[order], w[:, 0]), len(ids) - 1)]
-        begin = offsets[at] + (w[:, 1] >> np.uint64(7)).astype(np.int64)
-        size = (w[:, 1] & np.uint64(127)).astype(np.int64) + WIDTH - 1
-        key = (mix(w[:, 2] + w[:, 3]) % np.uint64(buckets)).astype(np.int64)
-        rows: tuple[list, list, list] = ([], [], [])
-        for k in np.unique(key):
-            own = np.flatnonzero(key == k)
-            n = size[own]
-            take = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            rows[0].append(int(k)), rows[1].append(np.ascontiguousarray(w[own]).tobytes()), rows[2].append(data[take].tobytes())
-        return pa.table([pa.array(c, t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
-
-    return docs.groupBy("key").cogroup(wanted.groupBy("key")).applyInArrow(run, "key long, meta binary, bytes binary")
-
-
 def suffix_array(text: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first `depth` symbols at least, equal ones by place. text: symbols from 1, a 0 after each string; left: symbols to the string's 0."""
     n = len(text)
@@ -297,83 +214,167 @@ def window_spans(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.stack([doc[first], place[first], place[last] + np.uint64(WIDTH)], axis=1)
 
 
-def window_key(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """128-bit hashes of windows, as 16 bytes that compare in order."""
-    out = []
-    for seed in (101, 103):
-        h = gram_hash(data, LEVELS, seed)
-        key = np.zeros(len(at), np.uint64)
-        for j in (0, GRAM, 2 * GRAM, WIDTH - GRAM):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + h[at + j])
-        out.append(key)
-    return np.stack(out, axis=1)
+def repeated(groups: np.ndarray, docs: np.ndarray, places: np.ndarray, begin: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that stand earlier in their group of stretches, and those that don't: (document, start, end) of the first, then
+    for each of the others its stretch, offset in it, and place in data. Stretches (group, document, place, begin in data)
+    come sorted by group, document and place."""
+    size = sizes(places)
+    first, count = runs(groups)
+    total = np.add.reduceat(size, first)
+    part = (np.cumsum(total) - total) // ARRAY  # whole groups, about ARRAY bytes together
+    spans, lead, offset = [], [], []
+    for own in np.split(np.arange(len(first)), np.flatnonzero(np.diff(part)) + 1):
+        a, b = first[own[0]], first[own[-1]] + count[own[-1]]
+        # Earliest first, so that places in the array's text order the windows.
+        order = a + np.lexsort((places[a:b] >> np.uint64(7), docs[a:b].view(np.int64)))
+        n = size[order]
+        take = np.repeat(begin[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        again, at, kept, kept_at = removed_windows(data[take], n)
+        again, kept = order[again], order[kept]
+        spans.append(window_spans(docs[again], (places[again] >> np.uint64(7)) + at.astype(np.uint64)))
+        lead.append(kept), offset.append(kept_at)
+    lead, offset = np.concatenate(lead), np.concatenate(offset)
+    return np.concatenate(spans), lead, offset, begin[lead] + offset, size
+
+
+def windows(docs: DataFrame, buckets: int) -> DataFrame:
+    """`records` (minimizer, document, place) by bucket of minimizers, and `spans` of what a batch already removes, by bucket of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", BATCH):
+            data, offsets = flat(batch.column("text"))
+            cover = np.zeros(len(data) + 1, np.int32)
+            np.add.at(cover, np.maximum(offsets[1:] - (WIDTH - 1), offsets[:-1]), 1)
+            np.add.at(cover, offsets[1:], -1)
+            s = stretches(data, np.cumsum(cover[:-1]) == 0)
+            row = np.searchsorted(offsets, s[:, 1].astype(np.int64), side="right") - 1
+            docs_ = batch.column("doc_id").to_numpy()[row].view(np.uint64)
+            place = (s[:, 1] - offsets[row].astype(np.uint64)) << np.uint64(7) | s[:, 2]
+            order = np.lexsort((place, docs_.view(np.int64), s[:, 0]))
+            key, docs_, place, begin = s[order, 0], docs_[order], place[order], s[order, 1].astype(np.int64)
+            if len(key):  # a row that stands twice counts once
+                once = np.concatenate([[True], (key[1:] != key[:-1]) | (docs_[1:] != docs_[:-1]) | (place[1:] != place[:-1])])
+                key, docs_, place, begin = key[once], docs_[once], place[once], begin[once]
+            stays = np.ones(len(key), bool)
+            first, count = runs(key)
+            several = np.flatnonzero(np.repeat(count > 1, count))
+            if len(several):
+                spans, lead, _, _, _ = repeated(key[several], docs_[several], place[several], begin[several], data)
+                stays[several] = False
+                stays[several[lead]] = True
+                if len(spans):
+                    yield blobs(doc_key(spans[:, 0], buckets), spans, "spans")
+            records = np.stack([key[stays], docs_[stays], place[stays]], axis=1)
+            yield blobs((records[:, 0] >> np.uint64(11)) % np.uint64(buckets), records, "records")
+
+    return docs.mapInArrow(run, BLOBS)
 
 
-def shards(found: DataFrame, buckets: int) -> DataFrame:
-    """`spans` by bucket of documents, and for minimizers in several shards `run`s of their earliest windows (hash, hash, document, place) by bucket of hashes."""
+def shared_stretches(records: DataFrame, buckets: int, hot: int) -> DataFrame:
+    """By bucket of documents: `spans` as they come, and `wanted`: (document, place, minimizer, shard, shards) of stretches whose minimizers recur."""
+
+    def run(t: pa.Table) -> pa.Table:
+        if (spans := pass_spans(t)) is not None:
+            return spans
+        r = unpack(t["blob"], 3)
+        r = r[np.lexsort((r[:, 2], r[:, 1].view(np.int64), r[:, 0]))]
+        r = r[np.concatenate([[True], (r[1:] != r[:-1]).any(axis=1)])] if len(r) else r
+        first, count = runs(r[:, 0])
+        n, nth = np.repeat(count, count), np.arange(len(r)) - np.repeat(first, count)
+        own = n > 1
+        wanted = np.stack([r[own, 1], r[own, 2], r[own, 0], (nth[own] // hot).astype(np.uint64), (-(-n[own] // hot)).astype(np.uint64)], axis=1)
+        return pa.Table.from_batches([blobs(doc_key(wanted[:, 0], buckets), wanted, "wanted")])
+
+    return beside(records).repartition(buckets, "key").groupBy("key").applyInArrow(run, BLOBS)
+
+
+def look_up(docs: DataFrame, wanted: DataFrame, buckets: int, arrays: int) -> DataFrame:
+    """The wanted stretches with their bytes, packed by bucket of minimizers and shards."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("key", pa.int64()), ("meta", pa.binary()), ("bytes", pa.binary())])
+        if not right.num_rows or not left.num_rows:
+            return schema.empty_table()
+        data, offsets = flat(left["text"])
+        ids = left["doc_id"].to_numpy().view(np.uint64)
+        order = np.argsort(ids, kind="stable")
+        w = unpack(right["blob"], 5)
+        at = order[np.minimum(np.searchsorted(ids[order], w[:, 0]), len(ids) - 1)]
+        begin = offsets[at] + (w[:, 1] >> np.uint64(7)).astype(np.int64)
+        size = sizes(w[:, 1])
+        key = (mix(w[:, 2] + w[:, 3]) % np.uint64(arrays)).astype(np.int64)
+        by_key = np.argsort(key, kind="stable")
+        first, count = runs(key[by_key])
+        rows: tuple[list, list, list] = ([], [], [])
+        for a, k in zip(first.tolist(), count.tolist(), strict=True):
+            own = by_key[a : a + k]
+            n = size[own]
+            take = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            rows[0].append(int(key[own[0]])), rows[1].append(np.ascontiguousarray(w[own]).tobytes()), rows[2].append(data[take].tobytes())
+        return pa.table([pa.array(c, t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
+
+    return docs.groupBy("key").cogroup(wanted.repartition(buckets, "key").groupBy("key")).applyInArrow(run, "key long, meta binary, bytes binary")
+
+
+def shards(found: DataFrame, buckets: int, arrays: int) -> DataFrame:
+    """`spans` by bucket of documents, and for minimizers in several shards `run`s of their earliest windows (RUN) by bucket of windows."""
 
     def run(t: pa.Table) -> pa.Table:
         schema = pa.schema([("key", pa.int64()), ("kind", pa.string()), ("blob", pa.binary())])
         w = unpack(t["meta"], 5)
         data = np.frombuffer(b"".join(x.as_buffer() for x in t["bytes"]), np.uint8)
-        size = (w[:, 1] & np.uint64(127)).astype(np.int64) + WIDTH - 1
+        size = sizes(w[:, 1])
         begin = np.cumsum(size) - size
-        # Earliest first, so that places in the shard's text order the windows.
-        order = np.lexsort((w[:, 1] >> np.uint64(7), w[:, 0].view(np.int64)))
-        w, size, begin = w[order], size[order], begin[order]
-        take = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        data = data[take]
-        owner, offset, lead, lead_offset = removed_windows(data, size)
+        order = np.lexsort((w[:, 1], w[:, 0].view(np.int64), w[:, 3], w[:, 2]))
+        w, begin = w[order], begin[order]
+        group = np.cumsum(np.concatenate([[0], (w[1:, 2:4] != w[:-1, 2:4]).any(axis=1)]))
+        spans, lead, offset, at, _ = repeated(group, w[:, 0], w[:, 1], begin, data)
         out = []
-        spans = window_spans(w[owner, 0], (w[owner, 1] >> np.uint64(7)) + offset.astype(np.uint64))
         if len(spans):
             out.append(blobs(doc_key(spans[:, 0], buckets), spans, "spans"))
         split = w[lead, 4] > 1
         if split.any():
-            lead, lead_offset = lead[split], lead_offset[split]
-            keys = window_key(data, (np.cumsum(size) - size)[lead] + lead_offset)
-            records = np.stack([keys[:, 0], keys[:, 1], w[lead, 0], (w[lead, 1] >> np.uint64(7)) + lead_offset.astype(np.uint64)], axis=1)
-            records = records[np.lexsort((records[:, 1], records[:, 0]))]
-            out.append(blobs((records[:, 0] >> np.uint64(13)) % np.uint64(buckets), records, "run"))
+            lead, offset, at = lead[split], offset[split], at[split]
+            of = np.zeros(len(at), RUN)
+            of["w"] = np.ascontiguousarray(data[at[:, None] + np.arange(WIDTH)]).view(f"S{WIDTH}").ravel()
+            of["doc"], of["place"] = w[lead, 0], (w[lead, 1] >> np.uint64(7)) + offset.astype(np.uint64)
+            key = (gram_hash(data, LEVELS)[at] >> np.uint64(13)) % np.uint64(arrays)
+            order = np.lexsort((of["w"], key))
+            of, key = of[order], key[order]
+            first, count = runs(key)
+            out.append(pa.RecordBatch.from_arrays([pa.array(key[first].astype(np.int64)), pa.array(["run"] * len(first)), pa.array([of[a : a + n].tobytes() for a, n in zip(first, count, strict=True)], pa.binary())], schema=schema))
         return pa.Table.from_batches(out, schema) if out else schema.empty_table()
 
-    return found.groupBy("key").applyInArrow(run, BLOBS)
+    return found.repartition(arrays, "key").groupBy("key").applyInArrow(run, BLOBS)
 
 
-def merge(rows: DataFrame, buckets: int) -> DataFrame:
+def merge(rows: DataFrame, buckets: int, arrays: int) -> DataFrame:
     """The `spans` of rows, and those of windows that stand earlier in another shard: each sorted run is searched in the merged ones."""
 
-    def order(r: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(r[:, :2].astype(">u8")).view("S16").ravel()
-
     def run(t: pa.Table) -> pa.Table:
         if (spans := pass_spans(t)) is not None:
             return spans
-        merged, gone = None, []
+        merged, gone = np.zeros(0, RUN), []
         for blob in t["blob"]:
-            r = np.frombuffer(blob.as_buffer(), np.uint64).reshape(-1, 4)
-            if merged is None:
-                merged = r.copy()
-                continue
-            a, b = order(merged), order(r)
-            at = np.searchsorted(a, b)
-            known = np.flatnonzero((at < len(a)) & (a[np.minimum(at, len(a) - 1)] == b))
+            r = np.frombuffer(blob.as_buffer(), RUN)
+            at = np.searchsorted(merged["w"], r["w"])
+            known = np.flatnonzero((at < len(merged)) & (merged["w"][np.minimum(at, len(merged) - 1)] == r["w"])) if len(merged) else np.zeros(0, np.int64)
             old, new = merged[at[known]], r[known]
-            later = (new[:, 2].view(np.int64) > old[:, 2].view(np.int64)) | ((new[:, 2] == old[:, 2]) & (new[:, 3] > old[:, 3]))
+            later = (new["doc"].view(np.int64) > old["doc"].view(np.int64)) | ((new["doc"] == old["doc"]) & (new["place"] > old["place"]))
             gone += [new[later], old[~later]]
             merged[at[known[~later]]] = new[~later]
             fresh = np.ones(len(r), bool)
             fresh[known] = False
-            merged = np.insert(merged, at[fresh], r[fresh], axis=0)
-        gone = np.concatenate(gone) if gone else np.zeros((0, 4), np.uint64)
-        gone = gone[np.lexsort((gone[:, 3], gone[:, 2]))]
-        spans = window_spans(gone[:, 2], gone[:, 3])
+            merged = np.insert(merged, at[fresh], r[fresh])
+        gone = np.concatenate(gone) if gone else np.zeros(0, RUN)
+        gone = gone[np.lexsort((gone["place"], gone["doc"]))]
+        spans = window_spans(np.ascontiguousarray(gone["doc"]), np.ascontiguousarray(gone["place"]))
         return pa.Table.from_batches([blobs(doc_key(spans[:, 0], buckets), spans, "spans")])
 
-    return beside(rows).groupBy("key").applyInArrow(run, BLOBS)
+    return beside(rows).repartition(arrays, "key").groupBy("key").applyInArrow(run, BLOBS)
 
 
-def kept_bytes(docs: DataFrame, spans: DataFrame, keep_text: bool) -> DataFrame:
+def kept_bytes(docs: DataFrame, spans: DataFrame, buckets: int, keep_text: bool) -> DataFrame:
     extra = ", kept binary" if keep_text else ""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -402,14 +403,18 @@ def kept_bytes(docs: DataFrame, spans: DataFrame, keep_text: bool) -> DataFrame:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         return pa.table([*columns, pa.array(out[4], pa.binary())] if keep_text else columns, names=[*names, "kept"] if keep_text else names)
 
-    return docs.groupBy("key").cogroup(spans.groupBy("key")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
+    return docs.groupBy("key").cogroup(spans.repartition(buckets, "key").groupBy("key")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text `kept`, the remaining bytes."""
-    buckets = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull())
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(least, -(-size // BUCKET))
     found = cut(shared_stretches(windows(docs, buckets), buckets, hot), "stretches")
-    keyed = docs.withColumn("key", doc_bucket(buckets))  # dealt out once: look_up and kept_bytes share the exchange
-    sharded = shards(look_up(keyed, found.filter("kind = 'wanted'"), buckets), buckets)
-    return kept_bytes(keyed, found.filter("kind = 'spans'").unionByName(merge(sharded, buckets)), keep_text)
+    wanted = found.filter("kind = 'wanted'")
+    arrays = max(least, -(-(wanted.agg(F.sum(F.octet_length("blob").cast("long"))).first()[0] or 0) // (40 * WANTED)))
+    keyed = docs.withColumn("key", doc_bucket(buckets)).repartition(buckets, "key")  # dealt out once: look_up and kept_bytes share the exchange
+    sharded = shards(look_up(keyed, wanted, buckets, arrays), buckets, arrays)
+    return kept_bytes(keyed, found.filter("kind = 'spans'").unionByName(merge(sharded, buckets, arrays)), buckets, keep_text)

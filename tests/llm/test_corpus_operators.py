@@ -346,6 +346,27 @@ def test_repeats_of_planted_rows(spark: SparkSession, hot: int | None) -> None:
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [None, 3])
+def test_repeats_of_long_and_repeated_rows(spark: SparkSession, hot: int | None) -> None:
+    rng = random.Random(14)
+    passage = prose(rng, 80)
+    long = prose(rng, 110_000)  # over two slices of 256 KB; the passage lies over a slice's edge
+    rows = [(7, f"{long[: (1 << 18) - 200]}{passage}{long[(1 << 18) - 200 :]}"), (3, f"{prose(rng, 40)} {passage} {prose(rng, 9)}"), (9, long[100_000:100_300]), (-5, f"z {passage}")]
+    rows += [(20 + i, f"{'pad ' * i}{passage} {prose(rng, 5)}") for i in range(40)] + [(100 + i, "same " * 60) for i in range(20)]
+    df = spark.createDataFrame([*rows, rows[1], rows[1], (None, passage)], "doc_id long, text string").withColumn("blob", F.lit("clash"))
+    got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in (remove_repeats(df) if hot is None else remove_repeats(df, hot=hot)).collect()]
+    assert len(got) == len(rows) + 2
+    assert dict(got) == repeats(rows)
+
+
+def test_repeats_of_awkward_rows(spark: SparkSession) -> None:
+    got = {r.doc_id: r for r in remove_repeats(awkward(spark)).collect()}
+    want = repeats([(r.doc_id, r.text) for r in awkward(spark).select("doc_id", "text").filter("doc_id <> 4").collect() if r.doc_id != 9])
+    for i, w in want.items():
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == w, i
+    assert got[9].n_removed == 0
+
+
 # --- 7
 
 
