@@ -6,7 +6,7 @@ Whether strings are equal is found by suffix arrays and binary search over their
 1. Shards of text. Windows of WIDTH bytes are grouped by their minimizer, the leftmost 32-gram with the smallest hash in the
    window, so equal windows meet wherever they stand; a window whose minimizer stands nowhere else has no equal. Neighbouring
    windows with one minimizer form a stretch, at most 168 bytes. In each batch of texts (BATCH bytes) the stretches of
-   minimizers that recur in it get a suffix array, by Larsson-Sadakane refinement in numpy (7 symbols first, then doubling
+   minimizers that recur in it, with their neighbours in one string, get a suffix array, by Larsson-Sadakane refinement in numpy (7 symbols first, then doubling
    over groups that are not yet told apart), and common prefixes by Kasai's method, run over all stretches side by side.
    Windows that share WIDTH bytes are one class; all but its earliest window go. Stretches that keep a window are recorded as
    (minimizer, document, place), so a passage that a third of the documents hold leaves each batch about once.
@@ -37,9 +37,11 @@ from .common import by_bytes, cut, flat, gram_hash, mix
 WIDTH, LEVELS = 100, 5
 GRAM = 1 << LEVELS
 SPAN = WIDTH - GRAM + 1  # grams in a window
-SLICE, BATCH, BUCKET = 1 << 18, 4 << 20, 32 << 20
+SLICE, BATCH, BUCKET = 1 << 18, 2 << 20, 32 << 20
+#: Windows of one string of a batch's suffix array.
+PIECE = 300
 #: Records of one minimizer in one shard; bytes of one suffix array (or one minimizer's shard); wanted records of one bucket.
-HOT, ARRAY, WANTED = 1000, 1 << 20, 60_000
+HOT, ARRAY, WANTED = 1000, 1 << 19, 60_000
 
 RUN = np.dtype([("w", f"S{WIDTH}"), ("doc", np.uint64), ("place", np.uint64)])
 
@@ -121,42 +123,30 @@ def beside(rows: DataFrame) -> DataFrame:
 BLOBS = "key long, kind string, blob binary"
 
 
-def suffix_array(text: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first `depth` symbols at least, equal ones by place. text: symbols from 1, a 0 after each string; left: symbols to the string's 0."""
+def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Suffixes in order, equal ones by place. text: symbols from 1, a 0 after each string; left: symbols to the string's 0."""
     n = len(text)
-    key, going = np.zeros(n, np.uint64), np.ones(n, bool)
+    key = np.zeros(n, np.uint64)
     padded = np.concatenate([text, np.zeros(7, text.dtype)]).astype(np.uint64)
     for j in range(7):
-        s = padded[j : j + n] * going
-        key = key << np.uint64(9) | s
-        going &= s > 0
+        key = key << np.uint64(9) | padded[j : j + n] * (left > j)
     sa = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
-    head = np.flatnonzero(new)  # where groups begin
+    # Groups of suffixes that are not told apart yet. Those that end within the 7 symbols are: equal ones stand by place.
+    new = np.concatenate([[True], key[sa][1:] != key[sa][:-1]]) | (left[sa] < 7)
     rank = np.empty(n, np.int64)
-    rank[sa] = head[np.cumsum(new) - 1]
+    rank[sa] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    at = np.flatnonzero(~(new & np.append(new[1:], True)))
+    member = sa[at]
     h = 7
-    while h < depth:
-        size = np.diff(np.append(head, n))
-        group = np.flatnonzero(size > 1)
-        if not len(group):
-            break
-        # Members of groups that are not told apart yet; those whose string has ended are equal for good.
-        at = np.repeat(head[group] - (np.cumsum(size[group]) - size[group]), size[group]) + np.arange(size[group].sum())
-        member = sa[at]
-        open_ = left[member] >= h
-        at, member = at[open_], member[open_]
-        if not len(at):
-            break
-        first = rank[member]
-        second = rank[member + h]
-        order = np.argsort(first * n + second, kind="stable")  # groups keep their places
+    while len(at):
+        first, second = rank[member], rank[member + h]
+        order = np.argsort(first * n + second)  # groups keep their places
         member, first, second = member[order], first[order], second[order]
         sa[at] = member
-        change = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        head = np.union1d(head, at[change])
-        where = at[np.flatnonzero(change)][np.cumsum(change) - 1]
-        rank[member] = where
+        new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+        rank[member] = at[np.flatnonzero(new)][np.cumsum(new) - 1]
+        open_ = ~(new & np.append(new[1:], True))
+        at, member = at[open_], member[open_]
         h *= 2
     return sa
 
@@ -192,7 +182,7 @@ def removed_windows(strings: np.ndarray, size: np.ndarray) -> tuple[np.ndarray,
     inside[start + size] = False
     text[inside] = strings.astype(np.int64) + 1
     left = np.repeat(start + size, size + 1) - np.arange(n)
-    sa = suffix_array(text, left, int(size.max()) + 1)  # whole suffixes: the carry of common prefixes needs it
+    sa = suffix_array(text, left)
     common = kasai(text, sa, start, size - WIDTH + 1, WIDTH)
     whole = left[sa] >= WIDTH
     follows = np.concatenate([[False], whole[:-1]]) & (common[sa] >= WIDTH)
@@ -237,6 +227,29 @@ def repeated(groups: np.ndarray, docs: np.ndarray, places: np.ndarray, begin: np
     return np.concatenate(spans), lead, offset, begin[lead] + offset, size
 
 
+def repeated_in(docs: np.ndarray, places: np.ndarray, begin: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, start, end) of windows of a batch's stretches (document, place, begin in data) that stand earlier in it, and how many of them begin before each place of data."""
+    order = np.argsort(begin)
+    docs, begin = docs[order], begin[order]
+    count = (places[order] & np.uint64(127)).astype(np.int64)
+    start = (places[order] >> np.uint64(7)).astype(np.int64)
+    joins = (begin[1:] == begin[:-1] + count[:-1]) & (docs[1:] == docs[:-1]) & (start[1:] == start[:-1] + count[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~joins]))
+    windows = np.add.reduceat(count, first)
+    pieces = -(-windows // PIECE)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    of = np.repeat(first, pieces)
+    n = np.minimum(np.repeat(windows, pieces) - nth * PIECE, PIECE) + WIDTH - 1
+    docs, start, begin = docs[of], start[of] + nth * PIECE, begin[of] + nth * PIECE
+    order = np.lexsort((start, docs.view(np.int64)))  # earliest first, so that places in the array's text order the windows
+    docs, start, begin, n = docs[order], start[order], begin[order], n[order]
+    take = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    again, at, _, _ = removed_windows(data[take], n)
+    gone = np.zeros(len(data) + 1, np.int64)
+    gone[begin[again] + at + 1] = 1
+    return window_spans(docs[again], (start[again] + at).astype(np.uint64)), np.cumsum(gone)
+
+
 def windows(docs: DataFrame, buckets: int) -> DataFrame:
     """`records` (minimizer, document, place) by bucket of minimizers, and `spans` of what a batch already removes, by bucket of documents."""
 
@@ -259,9 +272,9 @@ def windows(docs: DataFrame, buckets: int) -> DataFrame:
             first, count = runs(key)
             several = np.flatnonzero(np.repeat(count > 1, count))
             if len(several):
-                spans, lead, _, _, _ = repeated(key[several], docs_[several], place[several], begin[several], data)
-                stays[several] = False
-                stays[several[lead]] = True
+                spans, gone = repeated_in(docs_[several], place[several], begin[several], data)
+                n = (place[several] & np.uint64(127)).astype(np.int64)
+                stays[several] = gone[begin[several] + n] - gone[begin[several]] < n
                 if len(spans):
                     yield blobs(doc_key(spans[:, 0], buckets), spans, "spans")
             records = np.stack([key[stays], docs_[stays], place[stays]], axis=1)
