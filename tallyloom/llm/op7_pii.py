@@ -3,12 +3,15 @@
 Base: e-mail addresses, IP addresses, card numbers and phone numbers by regular expressions. The expressions are written
 so that Java's matcher neither recurses nor rescans a long run of characters, with the same leftmost matches.
 
-Bootstrap: candidates are words with a digit or an at sign. The word before a candidate is its lexical pattern. Candidates
-that base spans begin in are seeds of that span's kind. Spark builds the graph of distinct (pattern, candidate word) edges
-and scores it ROUNDS times: a pattern's score for a kind is the mean score of the words it stands before, and counts only
-with SUPPORT distinct words of the kind and a score of at least CONFIDENT; a word's score is one minus the product of
-(1 - score) over its counting patterns (seeds keep 1). In the end candidates outside all base spans, with enough digits or an
-at sign and a word score of at least ACCEPT, become spans of the kind.
+Bootstrap: the seeds are the base spans. A pattern is the two words before an instance, or the word before and the word
+after it (small letters, digits as 0). Patterns with SUPPORT distinct seed words of a kind are looked up in all texts; the words
+that stand in them, of any form, and the patterns are a graph, which Spark scores SCORINGS times. A pattern's score for a
+kind is the sum of its words' scores over their number, where words of the kind and plain words (letters in one case, short
+numbers) count whole and words of an odd form that are not known yet count UNKNOWN; only patterns with SUPPORT words of the kind
+and a score of CONFIDENT count on. A word's score is one minus the product of (1 - score) over such patterns (seeds keep 1).
+Words of ACCEPT or more (plain words: PLAIN) are taken if SHARE of all their occurrences stand in such patterns. Their other
+contexts induce new patterns, and so on for ROUNDS rounds. In the end every occurrence of a taken word outside the base spans
+is a span of its kind. Instances found this way are single words of MIN_LENGTH or more, without signs at their ends.
 
 Defined results: a null text is empty: no spans, base_sha256 of the empty string, spans ''; texts of any length are read
 whole; repeated rows give repeated results; a null doc_id is kept; extra columns are ignored; an empty table gives an empty
@@ -19,13 +22,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SUPPORT, CONFIDENT, ACCEPT = 3, 5, 0.8, 0.8
+ROUNDS, SCORINGS, SUPPORT = 2, 3, 5
+CONFIDENT, UNKNOWN, ACCEPT, PLAIN, SHARE, MIN_LENGTH = 0.8, 0.25, 0.8, 0.95, 0.5, 5
 #: Matches of one text that are placed in one go.
 PIECE = 256
 
@@ -36,7 +40,9 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CANDIDATE = rf"(?<!{WORD}){WORD}*[0-9@]{WORD}*"
+#: Words that are nothing odd; signs that are no part of an identifier at its ends.
+COMMON = r"^(?:\p{L}[\p{Ll}'’-]*|\p{Lu}{1,5}|[0-9]{1,4})$"
+SIGNS = ".,;:!?()[]{}<>\"'`*_-/|=&"
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -45,15 +51,15 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, hit, before): code points, end exclusive; before: up to 48 characters left of the hit."""
+    """All matches as (start, end, hit): code points, end exclusive."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    paired = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("hit"), F.substring(gap, -48, 48).alias("before")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>").alias("out"))
+    paired = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("hit")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["hit"].alias("hit"), x["before"].alias("before")))).alias("out"))
+        return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["hit"].alias("hit")))).alias("out"))
 
     def place(p: Column) -> Column:
         # Growing an array copies it: places are summed within pieces of PIECE matches, then the pieces are moved along.
@@ -63,7 +69,7 @@ def located(text: Column, pattern: str) -> Column:
     def moved(pieces: Column) -> Column:
         none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
         begins = F.aggregate(pieces, none, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-        return F.flatten(F.zip_with(pieces, begins, lambda piece, by: F.transform(piece["out"], lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["hit"].alias("hit"), x["before"].alias("before")))))
+        return F.flatten(F.zip_with(pieces, begins, lambda piece, by: F.transform(piece["out"], lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["hit"].alias("hit")))))
 
     return let(paired, place)
 
@@ -88,12 +94,11 @@ def valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with arrays of spans by kind and `found`, the candidates of the bootstrap."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>")
+def base_spans(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with an array of spans for each kind."""
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
     may = {"email": text.contains("@"), "phone": text.contains("+"), "ip": F.lit(True), "card": F.lit(True)}
-    out = docs.withColumns({kind: F.when(may[kind] & text.rlike(BASE[kind]), located(text, BASE[kind])).otherwise(none) for kind in KINDS} | {"found": F.when(text.rlike("[0-9@]"), located(text, CANDIDATE)).otherwise(none)})
+    out = docs.withColumns({kind: F.when(may[kind] & text.rlike(BASE[kind]), located(text, BASE[kind])).otherwise(none) for kind in KINDS})
 
     def holds(kind: str):
         return lambda x: valid(kind, x["hit"])
@@ -101,53 +106,101 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return out.withColumns({kind: F.filter(kind, holds(kind)) for kind in KINDS})
 
 
-def lexical(before: Column) -> Column:
-    """The word before, in small letters with digits as 0; null if it is missing or was cut."""
-    word = F.regexp_extract(before, rf"(?:^|[\x20\x09-\x0D])({WORD}{{1,40}})[\x20\x09-\x0D]+$", 1)
-    return F.when(word != "", F.regexp_replace(F.lower(word), "[0-9]", "0"))
+def folded(text: Column) -> Column:
+    return F.translate(F.lower(text), "123456789", "0" * 9)
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """One row for each candidate: row, start, end, word, pattern, kind of the base span that begins in it, inside (any base span)."""
+def contexts(before2: Column, before: Column, after: Column) -> Column:
+    """The patterns of a place: two words before, or one before and one after; none at a text's beginning."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    keys = F.array(F.xxhash64(F.lit("before"), empty(before2), before), F.xxhash64(F.lit("between"), before, empty(after)))
+    return F.when(empty(before) != "", keys).otherwise(F.array().cast("array<bigint>"))
+
+
+def all_words(rows: DataFrame, text: Column) -> DataFrame:
+    """Every word of every text: row, pos, word (without signs at its ends), keys (its patterns)."""
+    blank = r"[\x20\x09-\x0D]"
+    words = F.array_remove(F.split(text, blank), "")
+    low = F.array_remove(F.split(folded(text), blank), "")
+    edge = F.array(F.lit(""))
+    beside = rows.select("row", words.alias("w"), low.alias("f")).filter(F.size("w") > 1)
+    zipped = F.arrays_zip(F.col("w").alias("w"), F.concat(edge, edge, F.col("f")).alias("p2"), F.concat(edge, F.col("f")).alias("p1"), F.slice("f", F.lit(2), F.size("f")).alias("n1"))
+    out = beside.select("row", F.posexplode(zipped).alias("pos", "x")).filter(F.col("x.w").isNotNull())
+    return out.select("row", "pos", F.btrim("x.w", F.lit(SIGNS)).alias("word"), contexts(F.col("x.p2"), F.col("x.p1"), F.col("x.n1")).alias("keys"))
+
+
+def seeds_of(slim: DataFrame, text: Column) -> DataFrame:
+    """One row per base span: row, pos of the word that it begins in, word (the span), kind, keys (its patterns)."""
+    held = slim.filter(F.concat(*KINDS) != F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+    words = held.select("row", F.posexplode(located(text, rf"{WORD}++")).alias("pos", "x")).select("row", "pos", F.col("x.start").alias("at"), folded(F.col("x.hit")).alias("f"))
+    words = cut(words, "pii_words")
+
     def named(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("hit")))
-
-    bases = F.concat(*map(named, KINDS))
-    rows = found.filter(F.size("found") > 0).withColumn("bases", bases).select("row", "bases", F.explode("found").alias("x"))
-    over = F.filter("bases", lambda b: (b["start"] < F.col("x.end")) & (b["end"] > F.col("x.start")))
-    rows = rows.select("row", "x", over.alias("over"))
-    begins = F.filter("over", lambda b: b["start"] >= F.col("x.start"))
-    # The bare word: signs at its ends are no part of an identifier.
-    bare = F.regexp_replace(F.col("x.hit"), r"^[^0-9A-Za-z+]+|[^0-9A-Za-z]+$", "")
-    lead = F.length(F.regexp_extract(F.col("x.hit"), r"^[^0-9A-Za-z+]*", 0))
-    return rows.select(
-        "row",
-        (F.col("x.start") + lead).alias("start"),
-        (F.col("x.start") + lead + F.length(bare)).alias("end"),
-        F.when(F.size(begins) > 0, F.element_at(begins, 1)["hit"]).otherwise(bare).alias("word"),
-        lexical(F.col("x.before")).alias("pattern"),
-        F.when(F.size(begins) > 0, F.element_at(begins, 1)["kind"]).alias("kind"),
-        (F.size("over") > 0).alias("inside"),
-    )
-
-
-def bootstrap(rows: DataFrame) -> DataFrame:
-    """Accepted words that no base span covers: word, kind."""
-    seen = rows.filter(F.col("pattern").isNotNull() & (F.col("word") != "") & (F.col("kind").isNotNull() | ~F.col("inside")))
-    edges = cut(seen.groupBy("pattern", "word").agg(F.max("kind").alias("kind")), "pii_edges")
-    # A word that is a seed anywhere is one everywhere.
-    scores = edges.filter(F.col("kind").isNotNull()).groupBy("word", "kind").agg(F.lit(1.0).alias("score"))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    graph = edges.select("pattern", "word")
-    seeds = scores
+        return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("word")))
+
+    spans = held.select("row", F.explode(F.concat(*map(named, KINDS))).alias("s")).select("row", "s.*")
+    # The words that a span begins and ends in are the last ones begun at or before its start, and before its end.
+    none = lambda t: F.lit(None).cast(t)
+    event = lambda at, what: spans.select("row", F.col(at).alias("at"), F.lit(what).alias("what"), none("int").alias("pos"), "kind", "start", "word")
+    events = words.select("row", "at", F.lit(1).alias("what"), "pos", none("string").alias("kind"), none("int").alias("start"), none("string").alias("word")).unionByName(event("start", 2)).unionByName(event("end", 0))
+    so_far = Window.partitionBy("row").orderBy("at", "what").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = events.withColumn("near", F.last("pos", ignorenulls=True).over(so_far)).filter(F.col("kind").isNotNull())
+    placed = near.groupBy("row", "kind", "start").agg(F.first("word").alias("word"), F.max(F.when(F.col("what") == 2, F.col("near"))).alias("pos"), F.max(F.when(F.col("what") == 0, F.col("near"))).alias("last"))
+    order = Window.partitionBy("row").orderBy("pos")
+    around = words.select("row", "pos", F.lag("f", 2).over(order).alias("p2"), F.lag("f", 1).over(order).alias("p1"), F.lead("f", 1).over(order).alias("n1"))
+    found = placed.join(around.select("row", "pos", "p2", "p1"), ["row", "pos"]).join(around.select("row", F.col("pos").alias("last"), "n1"), ["row", "last"])
+    return found.select("row", "pos", "word", "kind", contexts(F.col("p2"), F.col("p1"), F.col("n1")).alias("keys"))
+
+
+def supported(instances: DataFrame) -> DataFrame:
+    """Patterns with enough distinct words of a kind: key, kind. instances: word, kind, keys."""
+    distinct = instances.select(F.explode("keys").alias("key"), "kind", "word").distinct()
+    return distinct.groupBy("key", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select("key", "kind")
+
+
+def scored(edges: DataFrame, seeds: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Strong patterns (key, kind, p) and scores of words (word, kind, score) of a graph of distinct edges (key, word, common)."""
+    size = edges.groupBy("key").agg(F.sum(F.when(F.col("common"), 1.0).otherwise(UNKNOWN)).alias("weight"))
+    scores = seeds.select("word", "kind").distinct().withColumn("score", F.lit(1.0))
+    known = scores
+    for k in range(SCORINGS):
+        own = F.when(F.col("common"), 0.0).otherwise(1.0 - UNKNOWN)  # a word of the kind counts whole
+        total = edges.join(scores, "word").groupBy("key", "kind").agg(F.sum("score").alias("total"), F.sum(own).alias("more"), F.count("*").alias("known")).filter(F.col("known") >= SUPPORT)
+        strong = total.join(size, "key").withColumn("p", F.col("total") / (F.col("weight") + F.col("more"))).filter(F.col("p") >= CONFIDENT).select("key", "kind", "p")
+        found = edges.join(strong, "key").groupBy("word", "kind").agg((F.lit(1.0) - F.exp(F.sum(F.log1p(-F.least(F.col("p"), F.lit(0.999)))))).alias("score"))
+        strong = cut(strong, f"{name}_patterns_{k}")
+        scores = cut(known.unionByName(found).groupBy("word", "kind").agg(F.max("score").alias("score")), f"{name}_scores_{k}")
+    return strong, scores
+
+
+def bootstrap(slim: DataFrame, text: Column) -> DataFrame | None:
+    """Occurrences of taken words: row, pos, word, kind; None if there are none."""
+    seeds = cut(seeds_of(slim, text), "pii_seeds")
+    keys, edges, taken = None, None, None
+    instances = seeds.select("word", "kind", "keys")
     for k in range(ROUNDS):
-        strong = graph.join(scores, "word").groupBy("pattern", "kind").agg(F.sum("score").alias("total"), F.count("*").alias("known")).filter(F.col("known") >= SUPPORT)
-        strong = strong.join(size, "pattern").withColumn("p", F.col("total") / F.col("n")).filter(F.col("p") >= CONFIDENT).select("pattern", "kind", "p")
-        found = graph.join(strong, "pattern").groupBy("word", "kind").agg((F.lit(1.0) - F.exp(F.sum(F.log1p(-F.least(F.col("p"), F.lit(0.999)))))).alias("score"))
-        scores = cut(seeds.unionByName(found).groupBy("word", "kind").agg(F.max("score").alias("score")), f"pii_scores_{k}")
-    digits = F.length(F.regexp_replace("word", "[^0-9]", ""))
-    best = scores.join(seeds.select("word"), "word", "left_anti").filter((F.col("score") >= ACCEPT) & (F.length("word") >= 6) & ((digits >= 4) | F.col("word").contains("@")))
-    return best.groupBy("word").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        new = supported(instances).select("key").distinct()
+        new = cut(new if keys is None else new.join(keys, "key", "left_anti"), f"pii_keys_{k}")
+        if new.isEmpty():
+            break
+        keys = new if keys is None else keys.unionByName(new)
+        stands = all_words(slim, text).select("row", "pos", "word", F.explode("keys").alias("key")).join(new, "key")
+        # A base span stands as itself, whatever word it begins in.
+        stands = stands.join(seeds.select("row", "pos", F.col("word").alias("span")), ["row", "pos"], "left").select("key", F.coalesce("span", "word").alias("word"))
+        more = stands.filter(F.col("word") != "").distinct().withColumn("common", F.col("word").rlike(COMMON))
+        edges = more if edges is None else edges.unionByName(more)
+        edges = cut(edges, f"pii_edges_{k}")
+        strong, scores = scored(edges, seeds, f"pii_{k}")
+        candidates = scores.join(seeds.select("word").distinct(), "word", "left_anti").filter((F.length("word") >= MIN_LENGTH) & (F.col("score") >= F.when(F.col("word").rlike(COMMON), PLAIN).otherwise(ACCEPT)))
+        candidates = cut(candidates.groupBy("word").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")), f"pii_candidates_{k}")
+        if candidates.isEmpty():
+            break
+        places = cut(all_words(slim, text).join(candidates, "word").select("row", "pos", "word", "kind", "keys"), f"pii_places_{k}")
+        strongly = places.select("row", "pos", "word", "kind", F.explode("keys").alias("key")).join(strong.select("key", "kind"), ["key", "kind"], "left_semi").select("row", "pos", "word").distinct().groupBy("word").agg(F.count("*").alias("n"))
+        kept = places.groupBy("word").agg(F.count("*").alias("all")).join(strongly, "word").filter(F.col("n") >= SHARE * F.col("all")).select("word")
+        taken = cut(places.join(kept, "word"), f"pii_taken_{k}")
+        instances = seeds.select("word", "kind", "keys").unionByName(taken.select("word", "kind", "keys"))
+    return None if taken is None else taken.select("row", "pos", "word", "kind")
 
 
 def listed(spans: Column) -> Column:
@@ -162,17 +215,30 @@ def keyed(kind: int, spans: Column) -> Column:
 
 def find_spans(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id (with whole: `kept`, a struct of all columns), `base` and `spans`, arrays of (kind from 1, start, end)."""
-    rows = docs.select(F.struct(*docs.columns).alias("kept"), "text") if whole else docs.select("doc_id", "text")
-    slim = base_spans(rows).drop("text").withColumn("row", F.monotonically_increasing_id())
-    slim = cut(slim, "pii_found")  # row ids are fixed from here on
-    rows = candidates(slim)
-    words = bootstrap(rows)
-    more = rows.filter(~F.col("inside") & F.col("pattern").isNotNull()).join(words.select("word", F.col("kind").alias("as_kind")), "word")
-    place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("as_kind")).cast("int")
-    more = more.groupBy("row").agg(F.collect_list(F.struct(place.alias("kind"), "start", "end")).alias("more"))
+    rows = docs.select(F.struct(*docs.columns).alias("kept")) if whole else docs.select("doc_id", "text")
+    text = F.coalesce(F.col("kept.text") if whole else F.col("text"), F.lit(""))
+    slim = cut(base_spans(rows, text).withColumn("row", F.monotonically_increasing_id()), "pii_found")  # row ids are fixed from here on
     base = F.concat(*[keyed(i + 1, F.col(k)) for i, k in enumerate(KINDS)])
-    out = slim.withColumn("base", base).drop(*KINDS, "found").join(more, "row", "left").drop("row")
-    return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,end:int>>"))))).drop("more")
+    out = slim.withColumn("base", base).drop(*KINDS)
+    taken = bootstrap(slim, text)
+    if taken is None:
+        return out.withColumn("spans", F.array_sort("base")).drop("row", *([] if whole else ["text"]))
+    by_row = taken.groupBy("row").agg(F.collect_list(F.struct("pos", "word", "kind")).alias("taken"))
+    names = F.array(*[F.lit(k) for k in KINDS])
+
+    def span(words: Column):
+        def one(x: Column) -> Column:
+            hit = F.get(words, x["pos"])
+            start = hit["start"] + F.length(hit["hit"]) - F.length(F.ltrim(hit["hit"], F.lit(SIGNS)))
+            return F.struct(F.array_position(names, x["kind"]).cast("int").alias("kind"), start.alias("start"), (start + F.length(x["word"])).alias("end"))
+
+        return one
+
+    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+    placed = let(located(text, rf"{WORD}++"), lambda words: F.filter(F.transform("taken", span(words)), free))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    out = out.join(by_row, "row", "left").withColumn("more", F.when(F.col("taken").isNotNull(), placed).otherwise(none))
+    return out.withColumn("spans", F.array_sort(F.concat("base", "more"))).drop("row", "taken", "more", *([] if whole else ["text"]))
 
 
 def pii(docs: DataFrame) -> DataFrame:

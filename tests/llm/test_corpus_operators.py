@@ -404,11 +404,35 @@ def test_personal_data_base(spark: SparkSession) -> None:
 
 def test_personal_data_found_by_context(spark: SparkSession) -> None:
     rng = random.Random(9)
-    rows = [(i, f"{prose(rng, 5)} reachable: +44 20 7946 0{i:03d} thanks") for i in range(100, 160)]
-    rows += [(900, "please be reachable: 0207-9460-111 thanks"), (901, "count 0207-9460-111x rows")]
+    rows = [(i, f"{prose(rng, 5)} my phone line2: +44 20 7946 0{i:03d} thanks all") for i in range(100, 160)]
+    rows += [(i, f"{prose(rng, 5)} write to me at u{i}@mail{i % 7}.example.org or call") for i in range(200, 260)]
+    planted = {900 + i: ("my phone line3:", f"0207-9460-{111 + i}", "thanks all") for i in range(10)}
+    planted |= {920 + i: ("write to me at", f"jo.doe_{'abcdefghij'[i]}x#corp", "or call") for i in range(10)}
+    planted |= {940 + i: ("write to me at", f"rosebud{'abcdefghij'[i]}", "or call") for i in range(10)}  # plain words that stand nowhere else
+    rows += [(i, f"please {a} {w} {b}") for i, (a, w, b) in planted.items()]
+    rows += [(980 + i, f"please write to me at once or call, once more, once again, at once {i}") for i in range(8)]  # a plain word that stands elsewhere too
+    rows += [(990, "count 0207-9460-111x rows"), (991, "(0207-9460-112) stands in a text of its own")]
     got = {r.doc_id: r.spans for r in pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    at = "please be reachable: ".__len__()
-    assert got[900] == f"phone:{at}:{at + 13}" and got[901] == ""
+    text = dict(rows)
+    at = {i: text[i].index(w) for i, (_, w, _) in planted.items()}
+    found = sum(got[i] == f"{'phone' if i < 920 else 'email'}:{at[i]}:{at[i] + len(w)}" for i, (_, w, _) in planted.items())
+    assert found >= 0.9 * len(planted), {i: (text[i], got[i]) for i in planted}
+    assert all(got[980 + i] == "" for i in range(8)) and got[990] == ""
+    assert got[991] == "phone:1:14"
+    for i, t in rows:
+        if i < 300:
+            assert got[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(t))
+
+
+def test_personal_data_of_awkward_rows(spark: SparkSession) -> None:
+    rng = random.Random(10)
+    long = " ".join(f"x{rng.randrange(10**6)}@y.zz 10.0.0.{rng.randrange(300)}" for _ in range(3000))
+    df = awkward(spark).unionByName(spark.createDataFrame([(30, long, "en", "a", 1), (31, "call +44 20 7946 0958 call +44 20 7946 0959", "en", "a", 1)], DOCS), allowMissingColumns=True)
+    for r in pii(df).collect():
+        if r.doc_id in (30, 31):
+            want = base_spans(long if r.doc_id == 30 else "call +44 20 7946 0958 call +44 20 7946 0959")
+            assert r.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in want))
+            assert (r.n_email, r.n_phone) == (sum(k == "email" for k, _, _ in want), sum(k == "phone" for k, _, _ in want))
 
 
 # --- 8
