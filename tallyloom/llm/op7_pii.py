@@ -123,9 +123,10 @@ def all_words(rows: DataFrame, text: Column) -> DataFrame:
     words = F.array_remove(F.split(text, blank), "")
     low = F.array_remove(F.split(folded(text), blank), "")
     edge = F.array(F.lit(""))
-    beside = rows.select("row", words.alias("w"), low.alias("f")).filter(F.size("w") > 1)
+    beside = rows.select("row", words.alias("w"), low.alias("f"))
     zipped = F.arrays_zip(F.col("w").alias("w"), F.concat(edge, edge, F.col("f")).alias("p2"), F.concat(edge, F.col("f")).alias("p1"), F.slice("f", F.lit(2), F.size("f")).alias("n1"))
-    out = beside.select("row", F.posexplode(zipped).alias("pos", "x")).filter(F.col("x.w").isNotNull())
+    # The outer form: the plain one would work the arrays out a second time, to look for empty ones.
+    out = beside.select("row", F.posexplode_outer(zipped).alias("pos", "x")).filter(F.col("x.w").isNotNull())
     return out.select("row", "pos", F.btrim("x.w", F.lit(SIGNS)).alias("word"), contexts(F.col("x.p2"), F.col("x.p1"), F.col("x.n1")).alias("keys"))
 
 
