@@ -1,6 +1,6 @@
 """Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-1. Every run of SEED words of a benchmark item is a seed. Test items are taken in blocks of bounded size, broadcast as sorted
+1. Every run of SEED words of a benchmark item is a seed; an item of fewer words is one seed as a whole. Test items are taken in blocks of bounded size, broadcast as sorted
    seed hashes; one pass over the documents joins them with the items on seeds: each (document, item) that shares a seed,
    however common, is a candidate.
 2. A score of least * 2m with an item of m words takes least * m matches within (3 - 2 * least) * m words of the document.
@@ -10,7 +10,7 @@
 
 Words are runs of letters and digits in small letters (all characters above 127 count as letters).
 
-Defined results: null and empty texts match nothing; items with fewer than SEED words take no part; of equal item ids with
+Defined results: null and empty texts, and items without words, match nothing; of equal item ids with
 different texts each text counts and the best score stays; repeated document rows give one row per (doc_id, item_id); null
 ids take no part; texts of any length are searched whole; extra columns are ignored; empty tables give an empty result.
 """
@@ -45,7 +45,7 @@ def seed_index(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted seed hashes with the item of each (a seed of several items several times)."""
     hashes, item = [], []
     for i, h in enumerate(items):
-        s = np.unique(shingles(h, np.array([0, len(h)]), SEED)[0])
+        s = np.unique(shingles(h, np.array([0, len(h)]), min(SEED, len(h)))[0]) if len(h) else np.zeros(0, np.uint64)
         hashes.append(s), item.append(np.full(len(s), i))
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -93,6 +93,7 @@ HITS = "doc_id long, item int, passage binary"
 def seed_hits(docs: DataFrame, items: list[np.ndarray], least: float) -> DataFrame:
     """One row per document, item that it shares a seed with, and passage that may reach the score."""
     shared = docs.sparkSession.sparkContext.broadcast((*seed_index(items), items))
+    widths = sorted({min(SEED, len(h)) for h in items if len(h)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, item, items = shared.value
@@ -100,10 +101,11 @@ def seed_hits(docs: DataFrame, items: list[np.ndarray], least: float) -> DataFra
             ids = batch.column("doc_id").to_pylist()
             data, offsets = flat(pc.utf8_lower(batch.column("text")))
             h, bounds = words(data, offsets, SIGN)
-            s, first = shingles(h, bounds, SEED)
+            s, first = (np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.int64)), *(shingles(h, bounds, n) for n in widths), strict=True))
             low = np.searchsorted(seeds, s, side="left")
             found = np.flatnonzero(low < len(seeds))
             found = found[seeds[low[found]] == s[found]] if len(seeds) else found
+            found = found[np.argsort(first[found], kind="stable")]
             doc = np.searchsorted(bounds, first[found], side="right") - 1
             out: tuple[list, list, list] = ([], [], [])
             edges = np.flatnonzero(np.diff(doc)) + 1

@@ -170,6 +170,8 @@ def scored(edges: DataFrame, seeds: DataFrame, name: str) -> tuple[DataFrame, Da
         strong = total.join(size, "key").withColumn("p", F.col("total") / (F.col("weight") + F.col("more"))).filter(F.col("p") >= CONFIDENT).select("key", "kind", "p")
         found = edges.join(strong, "key").groupBy("word", "kind").agg((F.lit(1.0) - F.exp(F.sum(F.log1p(-F.least(F.col("p"), F.lit(0.999)))))).alias("score"))
         strong = cut(strong, f"{name}_patterns_{k}")
+        if strong.isEmpty():
+            break
         scores = cut(known.unionByName(found).groupBy("word", "kind").agg(F.max("score").alias("score")), f"{name}_scores_{k}")
     return strong, scores
 

@@ -2,8 +2,8 @@
 
 1. A character trigram model is counted over the words of all documents (per task in numpy, summed in Spark).
 2. Suspicious spans (a sign or digit between, before or after letters, a letter three times in a row, single letters with
-   separators) become character lattices: a sign is itself or a letter it stands for, a run of one letter is one or two of
-   it, a separator between single letters is nothing or a word edge (the reading as one word counts too). Viterbi decoding
+   separators) become character lattices: a sign is itself or a letter it stands for, a run of one letter or sign is one or
+   two of it (a channel that repeats symbols), a separator between single letters is nothing or a word edge (the reading as one word counts too). Viterbi decoding
    under the trigram model gives the restored span; spans of any length are decoded.
 3. Features are whole words and word beginnings of 4 to 6 letters of the text and of its restored spans; a beginning that
    several words share is another feature than that of one word. Their toxic and clean documents are counted on a bounded
@@ -52,7 +52,6 @@ SPACED = re.compile(r"(?<!\w)[^\W\d_](?:[ .\-_*][^\W_]){3,}(?!\w)")
 BETWEEN_WORDS = re.compile(r"[\s,;:?\"]+")
 ODD_WORD = re.compile(r"[^\W\d_][0-9@$!|+(€*]+[^\W\d_]|([^\W\d_])\1\1|^[0-9@$!|(€]+[^\W\d_]{2}|[^\W\d_][0-9@$!|+(€*]+(?!\w)")
 LAST_SIGNS = re.compile(r"(?<=[^\W\d_])[0-9@$!|+(€*]+(?!\w)")
-WORD = re.compile(r"[^\s,;:?\"]*(?:[^\W\d_][0-9@$!|+(€*]+[^\W\d_]|([^\W\d_])\1\1|(?<![^\s])[0-9@$!|(€]+[^\W\d_]{2})[^\s,;:?\"]*")
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -320,8 +319,10 @@ def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     return channel, spark.sparkContext.broadcast(fit(docs, labels, channel, sample))
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs with one more column `__score`."""
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, name: str = "__score") -> DataFrame:
+    """docs with one more column of that name, which docs must not have."""
+    if name in docs.columns:
+        raise ValueError(f"the table has a column {name} already")
     channel, share = model(docs, labels, sample)
     names = docs.columns
 
@@ -329,9 +330,9 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
         decode, scorer = Channel(*channel.value), Scorer(share.value)
         for batch in by_bytes(batches, "text", 4 << 20):
             score = [scorer.score(text, restored) for text, restored in texts(batch, decode)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score, pa.float64())], names=[*names, "__score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score, pa.float64())], names=[*names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

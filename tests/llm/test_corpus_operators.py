@@ -137,6 +137,45 @@ def test_leaks_are_those_of_aligning_all_pairs_that_share_a_seed(spark: SparkSes
     assert {(r.doc_id, r.item_id): r.similarity for r in rows} == pytest.approx(want)
 
 
+def test_leaks_of_short_and_repeated_items_and_awkward_rows(spark: SparkSession) -> None:
+    rng = random.Random(15)
+    item = prose(rng, 30)
+    bench = [(1, "one two"), (2, "seven"), (3, "four words stand here"), (4, ""), (5, item), (5, item + " and more words that follow"), (5, item)]
+    long = f"{prose(rng, 30_000, 10**6)} {item} {prose(rng, 30_000, 10**6)} four words stand here"
+    extra = spark.createDataFrame([(40, long), (41, "Seven"), (42, "four words stand"), (43, "one three two"), (44, "")], "doc_id long, text string")
+    docs = awkward(spark).unionByName(extra, allowMissingColumns=True).withColumns({c: F.lit("clash") for c in ("item", "passage", "item_id", "similarity")})
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    want = {}
+    for d, t in texts.items():
+        if len(t) < 1000:
+            for i, b in bench:
+                score = local_score(words_of(b), words_of(t)) / max(1, 2 * len(words_of(b)))
+                if words_of(b) and score >= 0.6:
+                    want[d, i] = max(score, want.get((d, i), 0))
+    want |= {(40, 3): 1.0, (40, 5): 1.0}
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert {k for k in got if k[1] == 5} == {(40, 5)} and got == pytest.approx({k: v for k, v in want.items() if k in got})
+    # Part of a short item may be enough for the score, but holds no seed: that is the whole item.
+    assert set(want) - set(got) <= {(42, 3), (43, 1)}
+
+
+def test_leaks_recall_against_aligning_all_pairs(spark: SparkSession) -> None:
+    """Copies with one word in nine changed, dropped or added at random: nearly all of those that full alignment calls leaks are found."""
+    rng = random.Random(16)
+    items = {i: prose(rng, rng.randrange(20, 60), 10**5).split() for i in range(20)}
+    docs = {}
+    for item in items.values():
+        for _ in range(5):
+            out = []
+            for w in item:
+                u = rng.random()
+                out += [w] if u > 0.11 else [f"x{len(docs)}"] if u > 0.07 else [] if u > 0.035 else [w, f"y{len(docs)}"]
+            docs[len(docs)] = f"{prose(rng, 20)} {' '.join(out)} {prose(rng, 20)}"
+    want = {(d, i) for d, t in docs.items() for i, w in items.items() if local_score(w, t.split()) >= 0.6 * 2 * len(w)}
+    got = {(r.doc_id, r.item_id) for r in leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 60
+
+
 # --- 2
 
 
@@ -222,7 +261,7 @@ def test_encoding_equals_the_tokenizers_library(spark: SparkSession, table: str)
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     plain.no_truncation(), plain.no_padding()
     special = "one <|endoftext|> two" + " word" * 3000 + "<|endoftext|>"
-    df = spark.read.parquet(f"{SF}/documents.parquet") if table == "small" else awkward(spark).filter("doc_id <> 8").unionByName(spark.createDataFrame([(20, special, "en", "x", 1)], DOCS), allowMissingColumns=True)
+    df = spark.read.parquet(f"{SF}/documents.parquet") if table == "small" else awkward(spark).unionByName(spark.createDataFrame([(20, special, "en", "x", 1)], DOCS), allowMissingColumns=True)
     rows = {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
     for r in encode_documents(df).collect():
         ids = plain.encode(rows[r.doc_id], add_special_tokens=False).ids
@@ -230,6 +269,19 @@ def test_encoding_equals_the_tokenizers_library(spark: SparkSession, table: str)
     assert encode_documents(df.limit(0)).count() == 0
 
 
+def test_shared_passages_are_encoded_once(spark: SparkSession) -> None:
+    import pyarrow as pa
+
+    from tallyloom.llm.op3_bpe import Codec, encode_batch, read_ranks
+
+    rng = random.Random(17)
+    passage = prose(rng, 4000)
+    texts = [f"{prose(rng, 20)} {passage} {prose(rng, 20)}" for _ in range(50)]
+    codec = Codec(*read_ranks(None))
+    assert len(list(encode_batch(codec, pa.array(texts)))) == 50
+    assert codec.encoded_bytes < 0.15 * sum(map(len, texts))
+
+
 # --- 4
 
 
@@ -496,7 +548,7 @@ def plain_tokens(word: str, score: dict[str, float], worst: float, longest: int)
         if word[j - 1] not in score:
             n = len(word[j - 1].encode())
             options.append((best[j - 1][0] + n * worst, best[j - 1][1] + n))
-        best.append(max(options, key=lambda o: (round(o[0], 9), -o[1])))
+        best.append(max(options, key=lambda o: (o[0], -o[1])))
     return best[-1][1]
 
 
@@ -521,7 +573,7 @@ def test_token_counts_against_plain_viterbi(spark: SparkSession) -> None:
                 cache[w] = plain_tokens("▁" + w, score, vocabulary.byte, 24)
             n += cache[w]
         assert got[d][0] == len(words)
-        assert abs(got[d][1] - n) <= 0.001 * n, (d, got[d], n)
+        assert got[d][1] == n, (d, got[d], n)
     assert token_counts(awkward(spark).limit(0)).count() == 0
 
 
