@@ -19,15 +19,21 @@ from tallyloom.llm.op7_pii import find_spans, redacted
 from tallyloom.llm.op8_toxicity import THRESHOLD, scored
 from tallyloom.llm.op10_near_dedup import near_duplicates
 
+#: Similarity in percent of documents that count as near duplicates.
+LEAST = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator doesn't reject."""
-    return scored(docs, table(spark, sf_dir, "labels")).filter(F.col("__score") < THRESHOLD).drop("__score")
+    name = "__score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, table(spark, sf_dir, "labels"), name=name).filter(F.col(name) < THRESHOLD).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates, and all that have none."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    gone = near_duplicates(docs, LEAST).filter(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
