@@ -7,6 +7,7 @@ or a user's session.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -135,6 +136,49 @@ def exclusive_match(left: DataFrame, right: DataFrame, keys: Sequence[str], time
     return grouped_fold(both, keys, [time, "side", ident], ["side", ident, time], exclusive(within), f"{key_schema}, a long, b long")
 
 
+def nearest_exclusive(within: int) -> Callable[[], Step]:
+    """Greedy one-to-one matching: rows of side `b`, in time order, take the nearest unused row of side `a` at most `within`
+    before or after; of equally near ones the earlier. A `b` waits until no later row can be near enough, so what is held
+    are the rows within twice the distance."""
+
+    def start() -> Step:
+        free: deque[tuple[Any, int]] = deque()  # unused rows of side a, in time order
+        waiting: deque[tuple[Any, int]] = deque()
+
+        def decide() -> list[tuple]:
+            ident, time = waiting.popleft()
+            while free and free[0][1] < time - within:  # too early for every later b as well
+                free.popleft()
+            near = [(abs(t - time), k) for k, (_, t) in enumerate(free) if abs(t - time) <= within]
+            if not near:
+                return []
+            k = min(near)[1]
+            a = free[k][0]
+            del free[k]
+            return [(a, ident)]
+
+        def step(row: tuple | None) -> list[tuple]:
+            out: list[tuple] = []
+            while waiting and (row is None or row[2] > waiting[0][1] + within):
+                out += decide()
+            if row is not None:
+                (waiting if row[0] == "b" else free).append((row[1], row[2]))
+                while not waiting and free and free[0][1] < row[2] - within:
+                    free.popleft()
+            return out
+
+        return step
+
+    return start
+
+
+def nearest_exclusive_match(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, ident: str, within: int, key_schema: str) -> DataFrame:
+    """Pairs (a, b) of left and right ids; each row is used once, each right row in time order takes the nearest."""
+    side = lambda rows, name: rows.select(*keys, F.lit(name).alias("side"), F.col(ident).alias("ident"), F.col(time).alias("time"))
+    rows = side(left, "a").unionByName(side(right, "b"))
+    return grouped_fold(rows, keys, ["time", "side", "ident"], ["side", "ident", "time"], nearest_exclusive(within), f"{key_schema}, a long, b long")
+
+
 def latch(starts: str, ends: str, confirm: int) -> Callable[[], Step]:
     """A latched machine over (time, kind) rows: a start holds once `confirm` start signals came without an end between;
     then the first end signal closes it. Leftovers are emitted open."""

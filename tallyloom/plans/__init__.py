@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one per operator; importing this registers them all."""
 
-from . import evaluation, integrity, read_model, timeline
+from . import evaluation, integrity, read_model, rounds, rules, timeline
 from .catalog import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "integrity", "read_model", "timeline"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "integrity", "read_model", "rounds", "rules", "timeline"]
