@@ -38,8 +38,9 @@ def html_escape(text: Column) -> Column:
 
 
 def name_key(text: Column) -> Column:
-    """Small ASCII letters and digits only."""
-    return F.regexp_replace(F.lower(text), "[^0-9a-z]", "")
+    """Small letters and digits of any script only, full-width forms of ASCII as ASCII."""
+    wide, plain = ("".join(chr(c + by) for c in range(0x21, 0x7F)) for by in (0xFEE0, 0))
+    return F.regexp_replace(F.lower(F.translate(text, wide, plain)), r"[^\p{L}\p{N}]", "")
 
 
 def label_key(text: Column) -> Column:
@@ -73,7 +74,7 @@ def source_confidence(value: Column) -> Column:
 
 
 def hash_bucket(seed: str, key: Column) -> Column:
-    """A number from 0 to below 1 from the first 15 hexadecimal digits of SHA-256 of seed:key."""
+    """A number from 0 to below 1 from the first 13 hexadecimal digits (52 bits, exact in a double) of SHA-256 of seed:key."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(16**13))
 

@@ -111,18 +111,18 @@ def exclusive(within: int) -> Callable[[], Step]:
     at most `within` before it."""
 
     def start() -> Step:
-        waiting: list[tuple[int, int]] = []
+        waiting: deque[tuple[int, int]] = deque()
 
         def step(row: tuple | None) -> list[tuple]:
             if row is None:
                 return []
             side, ident, time = row
             while waiting and time - waiting[0][1] > within:
-                waiting.pop(0)
+                waiting.popleft()
             if side == "a":
                 waiting.append((ident, time))
             elif waiting:
-                return [(waiting.pop(0)[0], ident)]
+                return [(waiting.popleft()[0], ident)]
             return []
 
         return step
@@ -241,7 +241,8 @@ def debounced(rows: DataFrame, keys: Sequence[str], time: str, tie: str, label:
 
 def longest_rise() -> Step:
     """The longest non-decreasing subsequence of (id, value) rows; of equally long ones the one with the smaller values."""
-    tails: list[tuple[Any, int]] = []
+    values: list[Any] = []  # the last values of the rises of each length, and their rows
+    tails: list[int] = []
     parent: list[int] = []
     ids: list[Any] = []
 
@@ -249,16 +250,16 @@ def longest_rise() -> Step:
         from bisect import bisect_right
 
         if row is None:
-            out, at = [], tails[-1][1] if tails else -1
+            out, at = [], tails[-1] if tails else -1
             while at >= 0:
                 out.append((ids[at],))
                 at = parent[at]
             return out[::-1]
         ident, value = row
-        k = bisect_right([v for v, _ in tails], value)
+        k = bisect_right(values, value)
         ids.append(ident)
-        parent.append(tails[k - 1][1] if k else -1)
-        tails[k : k + 1] = [(value, len(ids) - 1)]
+        parent.append(tails[k - 1] if k else -1)
+        values[k : k + 1], tails[k : k + 1] = [value], [len(ids) - 1]
         return []
 
     return step

@@ -10,7 +10,7 @@ from tallyloom.sources.tables import cut
 
 def closure(edges: DataFrame, most: int = 30) -> DataFrame:
     """(child, ancestor) pairs over parent edges (child, parent): doubling joins, so a chain of 2**k edges takes k rounds.
-    edges must have no cycle; each round is written to the shared folder; stops when a round adds nothing."""
+    each round is written to the shared folder; stops when a round adds nothing, raises if that takes over `most` rounds."""
     pairs = cut(edges.select("child", F.col("parent").alias("ancestor")).distinct())
     known = pairs.count()
     for _ in range(most):
@@ -18,9 +18,9 @@ def closure(edges: DataFrame, most: int = 30) -> DataFrame:
         pairs = cut(pairs.unionByName(longer).distinct())
         now = pairs.count()
         if now == known:
-            break
+            return pairs
         known = now
-    return pairs
+    raise ValueError(f"pairs still grow after {most} rounds: the edges hold a cycle, or a chain of over 2 ** {most} edges")
 
 
 def split_of(bucket: Column, ratios: list[tuple[str, float]]) -> Column:
