@@ -1,7 +1,7 @@
 """Exact substring deduplication with suffix arrays.
 
 Every byte goes that a WIDTH-byte string covers which also starts earlier (smaller doc_id, or earlier in the document).
-Whether strings are equal is found by suffix arrays and binary search over their bytes alone; hashes only deal the work out.
+Whether strings are equal is found by suffix arrays, sorting and binary search over their bytes; hashes only deal the work out.
 
 1. Shards of text. Windows of WIDTH bytes are grouped by their minimizer, the leftmost 32-gram with the smallest hash in the
    window, so equal windows meet wherever they stand; a window whose minimizer stands nowhere else has no equal. Neighbouring
@@ -11,8 +11,8 @@ Whether strings are equal is found by suffix arrays and binary search over their
    Windows that share WIDTH bytes are one class; all but its earliest window go. Stretches that keep a window are recorded as
    (minimizer, document, place), so a passage that a third of the documents hold leaves each batch about once.
 2. Shards of minimizers. Records are dealt into buckets by minimizer (BUCKET bytes of text each). Minimizers with one record
-   are done; the stretches of the others are looked up in their texts and get suffix arrays in the same way, HOT records of
-   one minimizer at most in one.
+   are done; the stretches of the others are looked up in their texts. Of stretches that are equal byte for byte the
+   earliest stays; these get suffix arrays in the same way, HOT records of one minimizer at most in one.
 3. Merge. A minimizer with more than HOT records stands in several shards. These write their earliest windows (bytes,
    document, place) as sorted runs, and a merge finds the earliest of all by binary search of each run in the merged ones.
 
@@ -204,6 +204,19 @@ def window_spans(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.stack([doc[first], place[first], place[last] + np.uint64(WIDTH)], axis=1)
 
 
+def copies(data: np.ndarray, begin: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings (in order) those that equal an earlier one byte for byte, and the others."""
+    padded = np.zeros((len(order), 2 + int(size[order].max())), np.uint8)
+    padded[:, :2] = size[order].astype(np.uint16).view(np.uint8).reshape(-1, 2)
+    place = np.arange(padded.shape[1] - 2)
+    inside = place < size[order][:, None]
+    padded[:, 2:] = np.where(inside, data[np.minimum(begin[order][:, None] + place, len(data) - 1)], 0)
+    _, first = np.unique(padded.view(f"S{padded.shape[1]}").ravel(), return_index=True)
+    other = np.ones(len(order), bool)
+    other[first] = False
+    return order[other], order[~other]
+
+
 def repeated(groups: np.ndarray, docs: np.ndarray, places: np.ndarray, begin: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows that stand earlier in their group of stretches, and those that don't: (document, start, end) of the first, then
     for each of the others its stretch, offset in it, and place in data. Stretches (group, document, place, begin in data)
@@ -217,6 +230,9 @@ def repeated(groups: np.ndarray, docs: np.ndarray, places: np.ndarray, begin: np
         a, b = first[own[0]], first[own[-1]] + count[own[-1]]
         # Earliest first, so that places in the array's text order the windows.
         order = a + np.lexsort((places[a:b] >> np.uint64(7), docs[a:b].view(np.int64)))
+        copy, order = copies(data, begin, size, order)
+        start = places[copy] >> np.uint64(7)
+        spans.append(np.stack([docs[copy], start, start + size[copy].astype(np.uint64)], axis=1))
         n = size[order]
         take = np.repeat(begin[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         again, at, kept, kept_at = removed_windows(data[take], n)
