@@ -4,8 +4,8 @@ Base: e-mail addresses, IP addresses, card numbers and phone numbers by regular
 so that Java's matcher neither recurses nor rescans a long run of characters, with the same leftmost matches.
 
 Bootstrap: the seeds are the base spans. A pattern is the two words before an instance, or the word before and the word
-after it (small letters, digits as 0). Patterns with SUPPORT distinct seed words of a kind are looked up in all texts; the words
-that stand in them, of any form, and the patterns are a graph, which Spark scores SCORINGS times. A pattern's score for a
+after it (small letters, digits as 0). Patterns with SUPPORT distinct seed words of a kind, and SUPPORT_SHARE of all of that kind
+(in a large corpus any common context holds a few by chance), are looked up in all texts; the words that stand in them, of any form, and the patterns are a graph, which Spark scores SCORINGS times. A pattern's score for a
 kind is the sum of its words' scores over their number, where words of the kind and plain words (letters in one case, short
 numbers) count whole and words of an odd form that are not known yet count UNKNOWN; only patterns with SUPPORT words of the kind
 and a score of CONFIDENT count on. A word's score is one minus the product of (1 - score) over such patterns (seeds keep 1).
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SCORINGS, SUPPORT = 2, 3, 5
+ROUNDS, SCORINGS, SUPPORT, SUPPORT_SHARE = 2, 3, 5, 0.01
 CONFIDENT, UNKNOWN, ACCEPT, PLAIN, SHARE, MIN_LENGTH = 0.8, 0.25, 0.8, 0.95, 0.5, 5
 #: Matches of one text that are placed in one go.
 PIECE = 256
@@ -156,7 +156,9 @@ def seeds_of(slim: DataFrame, text: Column) -> DataFrame:
 def supported(instances: DataFrame) -> DataFrame:
     """Patterns with enough distinct words of a kind: key, kind. instances: word, kind, keys."""
     distinct = instances.select(F.explode("keys").alias("key"), "kind", "word").distinct()
-    return distinct.groupBy("key", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select("key", "kind")
+    all_of = instances.select("kind", "word").distinct().groupBy("kind").agg(F.count("*").alias("all"))
+    counted = distinct.groupBy("key", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
+    return counted.join(F.broadcast(all_of), "kind").filter(F.col("n") >= SUPPORT_SHARE * F.col("all")).select("key", "kind")  # a row for each kind
 
 
 def scored(edges: DataFrame, seeds: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
