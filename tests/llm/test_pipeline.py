@@ -9,13 +9,14 @@ from pyspark.sql import SparkSession
 from test_corpus_operators import SF, awkward, base_spans, prose
 
 from tallyloom.llm import queries as Q
+from tallyloom.llm.op10_near_dedup import near_duplicates
 
 
 def test_stages_keep_clean_rows_and_columns(spark: SparkSession) -> None:
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     toxic = {r.doc_id for r in Q.op8_toxicity_deobfuscation(spark, SF).filter("predicted = 1").collect()}
-    kept = {r.doc_id for r in Q.op10_minhash_near_dedup(spark, SF).filter("kept").collect()}
+    kept = {r.doc_id for r in near_duplicates(docs, P.LEAST).filter("kept").collect()}
     leaked = {r.doc_id for r in Q.op1_decontamination(spark, SF).collect()}
     for stage, want in ((P.drop_toxic, ids(docs) - toxic), (P.drop_near_duplicates, kept), (P.drop_leaks, ids(docs) - leaked)):
         out = stage(spark, docs, SF)
