@@ -7,6 +7,7 @@ or a user's session.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
@@ -267,3 +268,54 @@ def longest_rise() -> Step:
 
 def monotone_track(rows: DataFrame, keys: Sequence[str], time: str, tie: str, value: str, key_schema: str) -> DataFrame:
     return grouped_fold(rows, keys, [time, tie], [tie, value], longest_rise, f"{key_schema}, {tie} long")
+
+
+def narrower(within: int) -> Callable[[], Step]:
+    """Of (id, start, end) rows that start before the kept one's end, or within `within` after it, the narrower is kept, the
+    kept one if equal; gives (loser, kept) pairs. State: one row."""
+
+    def start() -> Step:
+        kept: tuple | None = None
+
+        def step(row: tuple | None) -> list[tuple]:
+            nonlocal kept
+            if row is None:
+                return []
+            if kept is None or row[1] - within > kept[2]:
+                kept = row
+                return []
+            loser, kept = (kept, row) if row[2] - row[1] < kept[2] - kept[1] else (row, kept)
+            return [(loser[0], kept[0])]
+
+        return step
+
+    return start
+
+
+def around_first(radius: float) -> Callable[[], Step]:
+    """(id, x, y) rows in rank order join the first group whose first member lies within the radius, else start one; gives (id,
+    rank, group, whether it started the group), ranks and groups from 1 and 0. State: the first members of a key's groups, in
+    cells of the radius; no two of them lie within it, so their number follows from the key's area, not its rows."""
+
+    def start() -> Step:
+        cells: dict[tuple[int, int], list[tuple[int, float, float]]] = {}
+        rank = groups = 0
+
+        def step(row: tuple | None) -> list[tuple]:
+            nonlocal rank, groups
+            if row is None:
+                return []
+            ident, x, y = row
+            rank += 1
+            cx, cy = int(x // radius), int(y // radius)
+            around = [a for i in (-1, 0, 1) for j in (-1, 0, 1) for a in cells.get((cx + i, cy + j), ())]
+            near = [g for g, ax, ay in around if math.hypot(x - ax, y - ay) <= radius]
+            if near:
+                return [(ident, rank, min(near), False)]
+            cells.setdefault((cx, cy), []).append((groups, x, y))
+            groups += 1
+            return [(ident, rank, groups - 1, True)]
+
+        return step
+
+    return start

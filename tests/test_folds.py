@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import defaultdict
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom import plans
+from tallyloom.operators import fold
 
 SF = "/root/testdata/sf0.001"
 HOUR = 3_600_000_000
@@ -22,6 +24,12 @@ def rows(spark: SparkSession) -> list:
     return sorted(((r.user_id, r.t, r.event_id, r.event_type, r.value) for r in events(spark, SF).collect()), key=lambda r: r[:3])
 
 
+def shuffled(spark: SparkSession, rows: list[tuple], schema: str):
+    rows = list(rows)
+    random.Random(7).shuffle(rows)
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
 def users(rows: list, *kinds: str) -> dict[int, list]:
     out = defaultdict(list)
     for r in rows:
@@ -138,3 +146,24 @@ def test_names_of_any_script(spark: SparkSession) -> None:
 
     df = spark.createDataFrame([("Ａｂ１-x",), ("Žlutý Kůň!",), ("名前 さん",), (None,)], "s string")
     assert [r[0] for r in df.select(name_key(F.col("s"))).collect()] == ["ab1x", "žlutýkůň", "名前さん", None]
+
+
+def test_groups_around_first_against_plain_python(spark: SparkSession) -> None:
+    rng = random.Random(11)
+    rows = [(k, r, i, float(rng.randrange(-40, 40)), float(rng.randrange(30))) for k in range(4) for r, i in enumerate(rng.sample(range(1000), 80))]
+    got = {tuple(r) for r in fold.grouped_fold(shuffled(spark, rows, "k long, r long, i long, x double, y double"), ["k"], ["r"], ["i", "x", "y"], fold.around_first(6.0), "k long, i long, rank long, grp long, lead boolean").collect()}
+    want = set()
+    for k in range(4):
+        firsts: list[tuple[float, float]] = []
+        for rank, (_, _, i, x, y) in enumerate((r for r in rows if r[0] == k), 1):
+            near = [g for g, (a, b) in enumerate(firsts) if (x - a) ** 2 + (y - b) ** 2 <= 36]
+            if not near:
+                firsts.append((x, y))
+            want.add((k, i, rank, near[0] if near else len(firsts) - 1, not near))
+    assert got == want and 4 < sum(lead for *_, lead in got) < len(rows)
+
+
+def test_narrower_of_overlapping_candidates(spark: SparkSession) -> None:
+    rows = [(0, 1, 0, 10), (0, 2, 5, 9), (0, 3, 10, 14), (0, 4, 16, 30), (1, 5, 0, 3), (1, 6, 4, 7)]
+    got = fold.grouped_fold(shuffled(spark, rows, "k long, i long, s long, f long"), ["k"], ["s", "i"], ["i", "s", "f"], fold.narrower(1), "k long, loser long, kept long")
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 2), (0, 3, 2), (1, 6, 5)]
