@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -72,3 +75,115 @@ def adopt(metrics: DataFrame, gain: float, most_drop: float) -> DataFrame:
     pairs = metrics.groupBy("group").pivot("role", ["champion", "challenger"]).agg(F.max("score"))
     total = pairs.agg(F.avg(F.col("challenger") - F.col("champion")).alias("gain"), F.min(F.col("challenger") - F.col("champion")).alias("worst"))
     return total.withColumn("decision", F.when((F.col("gain") >= gain) & (F.col("worst") >= -most_drop), "adopt").otherwise("reject"))
+
+
+def left_out_logistic(rows: DataFrame, group: str, label: str, features: Sequence[str], penalty: float, steps: int = 30, most_groups: int = 100) -> DataFrame:
+    """For each group the logistic model (w: intercept, then one weight a feature) of all other groups' rows, label 0 or 1,
+    both classes of equal weight, features' weights penalised by penalty / 2 times their squares. Newton steps for all models
+    at once, one aggregation each; the driver holds a row of sums for each group. Groups are counted first. A group without
+    rows of both classes beside it has no model; rows with a null take no part."""
+    used = rows.select(F.col(group).alias("g"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features, 1)]).dropna()
+    counts = used.groupBy("g").agg(F.count("*").alias("n"), F.sum("y").alias("ones")).limit(most_groups + 1).collect()
+    if len(counts) > most_groups:
+        raise ValueError(f"more than {most_groups} groups")
+    n, ones, d = sum(r["n"] for r in counts), sum(r["ones"] for r in counts), len(features) + 1
+    balance = {r["g"]: ((n - r["n"]) / 2, n - r["n"] - ones + r["ones"], ones - r["ones"]) for r in counts}
+    weights = {g: np.zeros(d) for g, (_, zeros, rest) in balance.items() if zeros and rest}
+    x = [F.lit(1.0), *[F.col(f"x{i}") for i in range(1, d)]]
+    ridge = np.diag([0.0, *[penalty] * (d - 1)])
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    left = set(weights)
+    for _ in range(steps if weights else 0):
+        models = [F.struct(F.lit(g).alias("g"), *[F.lit(float(v)).alias(f"w{i}") for i, v in enumerate(weights[g])], F.lit(balance[g][0] / balance[g][1]).alias("zero"), F.lit(balance[g][0] / balance[g][2]).alias("one")) for g in left]
+        each = used.withColumn("m", F.explode(F.array(*models))).filter(F.col("m.g") != F.col("g"))
+        z = sum((F.col(f"m.w{i}") * x[i] for i in range(d)), F.lit(0.0))
+        each = each.withColumn("p", 1 / (1 + F.exp(-z))).withColumn("c", F.when(F.col("y") == 1, F.col("m.one")).otherwise(F.col("m.zero")))
+        sums = [F.sum(F.col("c") * (F.col("y") - F.col("p")) * x[i]).alias(f"s{i}") for i in range(d)]
+        sums += [F.sum(F.col("c") * F.col("p") * (1 - F.col("p")) * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs]
+        for r in each.groupBy(F.col("m.g").alias("of")).agg(*sums).collect():
+            hessian = np.zeros((d, d))
+            for i, j in pairs:
+                hessian[i, j] = hessian[j, i] = r[f"h{i}_{j}"]
+            g = r["of"]
+            step = np.linalg.solve(hessian + ridge, np.array([r[f"s{i}"] for i in range(d)]) - ridge @ weights[g])
+            weights[g] = weights[g] + step
+            if np.abs(step).max() < 1e-9:
+                left.discard(g)
+        if not left:
+            break
+    schema = StructType([StructField(group, rows.schema[group].dataType), StructField("w", ArrayType(DoubleType()))])
+    return rows.sparkSession.createDataFrame([(g, w.tolist()) for g, w in weights.items()], schema)
+
+
+def assigned(rows: DataFrame, keys: Sequence[str], left: str, right: str, score: str, most: int = 12) -> DataFrame:
+    """Of each key's (left, right, score) rows the one-to-one pairs with the highest sum: keys, left, right, score. Left values
+    in order take the smaller right one of equal sums; nothing is paired without a row or below a score of zero. A key holds
+    `most` different right values at most (checked); the best sums of all their subsets are worked out for many keys at a time."""
+    each = rows.filter(F.col(score).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(left).alias("l"), F.col(right).alias("r"), F.col(score).cast("double").alias("s")))).alias("__pairs"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            shapes: dict[tuple[int, int], list] = {}
+            for at, pairs in enumerate(frame["__pairs"]):
+                ls, rs = sorted({p["l"] for p in pairs}), sorted({p["r"] for p in pairs})
+                if len(rs) > most:
+                    raise ValueError(f"more than {most} values of {right} for one key")
+                shapes.setdefault((len(ls), len(rs)), []).append((at, ls, rs, pairs))
+            out: list[tuple] = []
+            for (n, m), groups in shapes.items():
+                block = max(1, 1_000_000 // (n << m))
+                for b in range(0, len(groups), block):
+                    out += matched(groups[b : b + block], n, m)
+            found = pd.DataFrame(out, columns=["__at", left, right, score])
+            yield pd.concat([frame[list(keys)].iloc[found.pop("__at").astype(int)].reset_index(drop=True), found], axis=1)
+
+    fields = [rows.schema[c] for c in (*keys, left, right)] + [StructField(score, DoubleType())]
+    return each.mapInPandas(run, StructType(fields))
+
+
+def matched(groups: list[tuple], n: int, m: int) -> list[tuple]:
+    """(place, left, right, score) of the best pairs of groups (place, lefts, rights, pairs) with n lefts and m rights each."""
+    scores = np.full((len(groups), n, m), -np.inf)
+    for g, (_, ls, rs, pairs) in enumerate(groups):
+        row, column = {v: i for i, v in enumerate(ls)}, {v: i for i, v in enumerate(rs)}
+        for p in pairs:
+            i, j = row[p["l"]], column[p["r"]]
+            scores[g, i, j] = max(scores[g, i, j], p["s"])
+    masks = np.arange(1 << m)
+    best = np.zeros((len(groups), 1 << m))  # of the lefts from i on, with the rights of the mask left
+    taken = np.full((n, len(groups), 1 << m), -1, np.int8)
+    for i in reversed(range(n)):
+        rest = best
+        best = rest.copy()
+        for j in reversed(range(m)):
+            free = masks[masks >> j & 1 == 1]
+            with_j = rest[:, free ^ (1 << j)] + scores[:, i, j, None]
+            better = with_j >= best[:, free]
+            best[:, free] = np.where(better, with_j, best[:, free])
+            taken[i][:, free] = np.where(better, j, taken[i][:, free])
+    out = []
+    for g, (at, ls, rs, _) in enumerate(groups):
+        mask = (1 << m) - 1
+        for i in range(n):
+            if (j := int(taken[i, g, mask])) >= 0:
+                out.append((at, ls[i], rs[j], float(scores[g, i, j])))
+                mask ^= 1 << j
+    return out
+
+
+def projected(rows: DataFrame, ident: str, vector: str, k: int, whiten: bool = False) -> DataFrame:
+    """ident and `axes`: centred vectors on their k main axes, each axis with its largest weight positive, over its standard
+    deviation if whitened. Vectors are of one length; null ones take no part. The driver holds a matrix of that length squared."""
+    used = rows.filter(F.col(vector).isNotNull()).select(ident, F.col(vector).cast("array<double>").alias("__v"))
+    vectors = used.select(array_to_vector("__v").alias("v"))
+    if vectors.isEmpty():
+        return used.select(ident, F.array().cast("array<double>").alias("axes"))
+    model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
+    stats = vectors.agg(Summarizer.metrics("mean", "variance").summary(F.col("v")).alias("s")).select("s.mean", "s.variance").first()
+    axes, mean = model.pc.toArray(), stats["mean"].toArray()
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)])
+    spread = np.sqrt(model.explainedVariance.toArray() * stats["variance"].toArray().sum()) if whiten else np.ones(k)
+    spread = np.maximum(spread, 1e-12)
+    listed = lambda values: F.lit([float(x) for x in values])
+    columns = [(dot(F.col("__v"), listed(axes[:, i])) - float(mean @ axes[:, i])) / float(spread[i]) for i in range(k)]
+    return used.select(ident, F.array(*columns).alias("axes"))
