@@ -319,3 +319,190 @@ def around_first(radius: float) -> Callable[[], Step]:
         return step
 
     return start
+
+
+def reconcile(sources: tuple[str, ...], restart: str, live: str, same: int, alive: int) -> Callable[[], Step]:
+    """(id, time, kind) candidates of the sources, in time order: `same` as the last accepted one within that distance; `new`
+    after a restart; `second` if two live rows at least `alive` apart lie between; else `repeated`. Gives (id, verdict, of).
+    State: the last accepted row and the live rows' first and last time since."""
+
+    def start() -> Step:
+        last: tuple | None = None
+        restarted = False
+        seen: list[int] = []
+
+        def step(row: tuple | None) -> list[tuple]:
+            nonlocal last, restarted
+            if row is None:
+                return []
+            ident, time, kind = row
+            if kind == restart:
+                restarted = True
+            elif kind == live:
+                seen[1:] = [time]
+            if kind not in sources:
+                return []
+            if last is not None and time - last[1] <= same:
+                return [(ident, "same", last[0])]
+            if last is None:
+                verdict = "first"
+            elif restarted:
+                verdict = "new"
+            elif len(seen) == 2 and seen[1] - seen[0] >= alive:
+                verdict = "second"
+            else:
+                return [(ident, "repeated", last[0])]
+            last, restarted = (ident, time), False
+            seen.clear()
+            return [(ident, verdict, ident)]
+
+        return step
+
+    return start
+
+
+def reconciled(rows: DataFrame, keys: Sequence[str], time: str, tie: str, sources: tuple[str, ...], restart: str, live: str, same: int, alive: int, key_schema: str) -> DataFrame:
+    """verdict and the accepted row (`of`) of every candidate row; the kinds are in `event_type`."""
+    return grouped_fold(rows, keys, [time, tie], [tie, time, "event_type"], reconcile(sources, restart, live, same, alive), f"{key_schema}, {tie} long, verdict string, of long")
+
+
+def fuse(within: int) -> Callable[[], Step]:
+    """(id, time, confidence) rows at most `within` after the first of their group are one event: (first id, its time, surest
+    id, members); of equal confidence the earlier. State: one group."""
+
+    def start() -> Step:
+        group: tuple | None = None
+
+        def step(row: tuple | None) -> list[tuple]:
+            nonlocal group
+            out = []
+            if group is not None and (row is None or row[1] - group[1] > within):
+                out, group = [(group[0], group[1], group[2], group[4])], None
+            if row is not None:
+                ident, time, confidence = row
+                if group is None:
+                    group = (ident, time, ident, confidence, 1)
+                else:
+                    best = (ident, confidence) if confidence is not None and (group[3] is None or confidence > group[3]) else group[2:4]
+                    group = (*group[:2], *best, group[4] + 1)
+            return out
+
+        return step
+
+    return start
+
+
+def fused(rows: DataFrame, keys: Sequence[str], time: str, tie: str, confidence: str, within: int, key_schema: str) -> DataFrame:
+    """One row for each group of rows: first, time, surest and members."""
+    return grouped_fold(rows, keys, [time, tie], [tie, time, confidence], fuse(within), f"{key_schema}, first long, {time} long, surest long, members long")
+
+
+def windows(opens: str, closes: str, gap: int) -> Callable[[], Step]:
+    """Windows (start, end, state) from (time, kind) rows. A gap closes an active window as partial at the last row before it,
+    or leaves the rows since the last end as a fragment; a start closes an unfinished window as partial, or leaves a fragment
+    before the first one; an end is complete only with a start. What is open after the last row is partial. State: one window
+    and the first and last row outside of windows."""
+
+    def start() -> Step:
+        active = cursor = last = None
+        ended = False
+
+        def close(until: int) -> list[tuple]:
+            nonlocal active, cursor
+            out = []
+            if active is not None:
+                out = [(active, until, "partial")]
+            elif cursor is not None and not ended:
+                out = [(cursor, until, "fragment")]
+            active = cursor = None
+            return out
+
+        def step(row: tuple | None) -> list[tuple]:
+            nonlocal active, cursor, last, ended
+            if row is None:
+                return close(last) if last is not None else []
+            time, kind = row
+            out = close(last) if last is not None and time - last > gap else []
+            if kind == opens:
+                out += close(last if last is not None else time)
+                active, ended = time, False
+            elif kind == closes:
+                out += [(active, time, "complete")] if active is not None else [] if cursor is None or ended else [(cursor, time, "fragment")]
+                active, cursor, ended = None, None, True
+            elif active is None and cursor is None:
+                cursor = time
+            last = time
+            return out
+
+        return step
+
+    return start
+
+
+def boundary_windows(rows: DataFrame, keys: Sequence[str], time: str, tie: str, kind: str, opens: str, closes: str, gap: int, key_schema: str) -> DataFrame:
+    """start, end and state of each key's windows."""
+    return grouped_fold(rows, keys, [time, tie], [time, kind], windows(opens, closes, gap), f"{key_schema}, start long, end long, state string")
+
+
+def by_precedence(slack: int, most: int) -> Callable[[], Step]:
+    """(id, start, end, rank) scenes in time order collect under a seed while they start within its end and the slack; the
+    member of smallest rank survives (the earlier of equals), `most` others are named in order: (survivor, members, related).
+    State: the seed, the survivor and `most` + 1 ids."""
+
+    def start() -> Step:
+        end = best = None
+        named: list[int] = []
+        members = 0
+
+        def step(row: tuple | None) -> list[tuple]:
+            nonlocal end, best, members
+            out = []
+            if members and (row is None or row[1] > end + slack):
+                out = [(best[1], members, [i for i in named if i != best[1]][:most])]
+                members, best = 0, None
+                named.clear()
+            if row is not None:
+                ident, _, until, rank = row
+                if not members:
+                    end = until
+                if best is None or rank < best[0]:
+                    best = (rank, ident)
+                if len(named) <= most:
+                    named.append(ident)
+                members += 1
+            return out
+
+        return step
+
+    return start
+
+
+def precedence_groups(rows: DataFrame, keys: Sequence[str], time: str, tie: str, until: str, rank: str, slack: int, most: int, key_schema: str) -> DataFrame:
+    """survivor, members and related ids of each group of scenes."""
+    return grouped_fold(rows, keys, [time, tie], [tie, time, until, rank], by_precedence(slack, most), f"{key_schema}, survivor long, members long, related array<long>")
+
+
+def diverse(quota: int, total: int, apart: int) -> Callable[[], Step]:
+    """(id, kind, time) rows in rank order are picked while their kind and the key have places left and no picked row lies
+    within `apart`: (id, place). State: `total` picked rows at most."""
+
+    def start() -> Step:
+        picked: list[tuple[str, int]] = []
+
+        def step(row: tuple | None) -> list[tuple]:
+            if row is None or len(picked) == total:
+                return []
+            ident, kind, time = row
+            if sum(k == kind for k, _ in picked) >= quota or any(abs(time - t) < apart for _, t in picked):
+                return []
+            picked.append((kind, time))
+            return [(ident, len(picked))]
+
+        return step
+
+    return start
+
+
+def diverse_picks(rows: DataFrame, keys: Sequence[str], rank: str, tie: str, kind: str, time: str, quota: int, total: int, apart: int, key_schema: str) -> DataFrame:
+    """place of each picked row."""
+    return grouped_fold(rows, keys, [rank, tie], [tie, kind, time], diverse(quota, total, apart), f"{key_schema}, {tie} long, place long")
