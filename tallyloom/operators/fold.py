@@ -506,3 +506,43 @@ def diverse(quota: int, total: int, apart: int) -> Callable[[], Step]:
 def diverse_picks(rows: DataFrame, keys: Sequence[str], rank: str, tie: str, kind: str, time: str, quota: int, total: int, apart: int, key_schema: str) -> DataFrame:
     """place of each picked row."""
     return grouped_fold(rows, keys, [rank, tie], [tie, kind, time], diverse(quota, total, apart), f"{key_schema}, {tie} long, place long")
+
+
+def lifecycle(signs: tuple[str, str, str, str], least: float, missing: int) -> Callable[[], Step]:
+    """(time, kind, value) rows drive a latch: the first sign arms it (again, from a pending state too), the second with a value
+    of `least` or more makes it pending, the third ends it and gives (armed, pending, ended). The fourth sign is a missing
+    reading; once such readings last longer than `missing` the latch is idle again. State: one latch."""
+    arm, score, end, unknown = signs
+
+    def start() -> Step:
+        armed = pending = since = None
+
+        def step(row: tuple | None) -> list[tuple]:
+            nonlocal armed, pending, since
+            if row is None:
+                return []
+            time, kind, value = row
+            if kind == unknown:
+                since = time if since is None else since
+                if time - since > missing:
+                    armed = pending = None
+                return []
+            since = None
+            if kind == arm:
+                armed, pending = time, None
+            elif kind == score and armed is not None and pending is None and value is not None and value >= least:
+                pending = time
+            elif kind == end and pending is not None:
+                out = [(armed, pending, time)]
+                armed = pending = None
+                return out
+            return []
+
+        return step
+
+    return start
+
+
+def lifecycles(rows: DataFrame, keys: Sequence[str], time: str, tie: str, kind: str, value: str, signs: tuple[str, str, str, str], least: float, missing: int, key_schema: str) -> DataFrame:
+    """armed, pending and ended times of each key's rounds."""
+    return grouped_fold(rows, keys, [time, tie], [time, kind, value], lifecycle(signs, least, missing), f"{key_schema}, armed long, pending long, ended long")

@@ -527,3 +527,63 @@ def diverse_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each user the best rows by value, two of a kind and six at most, none within a day of another."""
     rows = events(spark, sf_dir).withColumn("less", -F.col("value"))
     return fold.diverse_picks(rows, ["user_id"], "less", "event_id", "event_type", "t", 2, 6, DAY, "user_id long")
+
+
+@query(f"""
+    WITH {E}, b AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER ({BY_USER}) THEN 0 ELSE 1 END AS b FROM e), r AS (SELECT *, CAST(sum(b) OVER ({BY_USER}) AS BIGINT) AS run FROM b),
+    g AS (SELECT user_id, run, any_value(event_type) AS zone, min(t) AS entered, max(t) AS seen, count(*) AS n FROM r GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT user_id, run, zone, lag(zone) OVER (PARTITION BY user_id ORDER BY run) AS origin, entered, seen - entered AS dwell FROM g
+""")
+def route_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones that held for two rows at least, in order: where from, when entered, how long seen."""
+    rows = events(spark, sf_dir).withColumn("new", ~F.coalesce(F.col("event_type") == F.lag("event_type").over(by_user()), F.lit(False)))
+    rows = temporal.segments(rows, ["user_id"], ["t", "event_id"], F.col("new"), "run")
+    g = rows.groupBy("user_id", "run").agg(F.first("event_type").alias("zone"), F.min("t").alias("entered"), (F.max("t") - F.min("t")).alias("dwell"), F.count("*").alias("n")).filter("n >= 2")
+    return g.select("user_id", "run", "zone", F.lag("zone").over(Window.partitionBy("user_id").orderBy("run")).alias("origin"), "entered", "dwell")
+
+
+@query(f"""
+    WITH {E}, b AS (SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN t END IGNORE NULLS) OVER p AS pt, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER p AS pv,
+      first_value(CASE WHEN event_type = 'purchase' THEN t END IGNORE NULLS) OVER f AS ft, first_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER f AS fv FROM e
+      WINDOW p AS ({BEFORE}), f AS ({BY_USER} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+    SELECT event_id, CASE WHEN ft - pt <= {3 * DAY} AND floor(pv / 10) = floor(fv / 10) THEN 'purchase' ELSE event_type END AS state, coalesce(ft - pt <= {3 * DAY} AND floor(pv / 10) = floor(fv / 10), false) AS filled FROM b WHERE event_type = 'error'
+""")
+def bracketed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unmeasured rows between two rows of one state and level, three days apart at most, take that state."""
+    anchor = F.when(F.col("event_type") == "purchase", F.struct("t", F.floor(F.col("value") / 10).alias("v")))
+    after = by_user().rowsBetween(1, Window.unboundedFollowing)
+    rows = events(spark, sf_dir).withColumns({"p": F.last(anchor, ignorenulls=True).over(rows_before()), "f": F.first(anchor, ignorenulls=True).over(after)}).filter("event_type = 'error'")
+    rows = rows.withColumn("filled", F.expr(f"coalesce(f.t - p.t <= {3 * DAY} AND p.v = f.v, false)"))
+    return rows.select("event_id", F.when(F.col("filled"), "purchase").otherwise(F.col("event_type")).alias("state"), "filled")
+
+
+@query(f"""
+    WITH {E}, x AS (SELECT *, t + CAST(floor(value) AS BIGINT) * {HOUR} AS expiry FROM e), b AS (SELECT *, CASE WHEN abs(expiry - lag(expiry) OVER ({BY_USER})) <= {DAY} THEN 0 ELSE 1 END AS b FROM x),
+    s AS (SELECT *, sum(b) OVER ({BY_USER}) AS seg FROM b), m AS (SELECT *, bool_or(event_type = 'purchase') OVER (PARTITION BY user_id, seg) AS anchored FROM s)
+    SELECT event_id, event_type = 'purchase' AS measured FROM m WHERE anchored
+""")
+def countdown_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each measured row outward, in both directions, over rows that each expire within a day of their neighbour's expiry."""
+    rows = events(spark, sf_dir).withColumn("expiry", F.col("t") + F.floor("value") * HOUR)
+    rows = rows.withColumn("near", F.coalesce(F.abs(F.col("expiry") - F.lag("expiry").over(by_user())) <= DAY, F.lit(False)))
+    rows = temporal.segments(rows, ["user_id"], ["t", "event_id"], ~F.col("near"))
+    rows = rows.withColumn("anchored", F.bool_or(F.col("event_type") == "purchase").over(Window.partitionBy("user_id", "segment")))
+    return rows.filter("anchored").select("event_id", (F.col("event_type") == "purchase").alias("measured"))
+
+
+@query("""
+    WITH new AS (SELECT o_orderkey, 'timeline' AS namespace, o_orderpriority AS label FROM orders WHERE o_orderkey % 3 = 0), old AS (SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'timeline' ELSE 'manual' END AS namespace, o_orderstatus AS label FROM orders)
+    SELECT * FROM new UNION ALL SELECT * FROM old WHERE namespace <> 'timeline' OR o_orderkey NOT IN (SELECT o_orderkey FROM new)
+""")
+def own_namespace_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rows replace the stored ones of their key and namespace; what others wrote under the key stays."""
+    orders = table(spark, sf_dir, "orders")
+    new = orders.filter("o_orderkey % 3 = 0").select("o_orderkey", F.lit("timeline").alias("namespace"), F.col("o_orderpriority").alias("label"))
+    old = orders.select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, "timeline").otherwise("manual").alias("namespace"), F.col("o_orderstatus").alias("label"))
+    return new.unionByName(old.join(new.select("o_orderkey", "namespace"), ["o_orderkey", "namespace"], "left_anti"))
+
+
+@query()
+def lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds from system rows alone: armed by a signup, pending from a view of enough value, ended by a purchase."""
+    return fold.lifecycles(events(spark, sf_dir), ["user_id"], "t", "event_id", "event_type", "value", ("signup", "view", "purchase", "error"), 5.0, DAY, "user_id long")

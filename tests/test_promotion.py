@@ -116,3 +116,36 @@ def test_boundary_windows_never_overlap(spark: SparkSession, users) -> None:
     starts = {(u, r.t) for u, rows in users.items() for r in rows if r.event_type == "signup"}
     complete = [w for w in windows if w[3] == "complete"]
     assert complete and all((u, s) in starts and (u, e) in ends for u, s, e, _ in complete)
+
+
+def test_lifecycles(spark: SparkSession, users) -> None:
+    want = []
+    for user, rows in users.items():
+        for i, r in enumerate(rows):
+            if r.event_type != "purchase":
+                continue
+            armed = [j for j in range(i) if rows[j].event_type == "signup"]
+            if not armed:
+                continue
+            between = rows[armed[-1] + 1 : i]
+            pending = [k for k, x in enumerate(between) if x.event_type == "view" and x.value >= 5]
+            runs, run = [], []
+            for x in between:
+                run = [*run, x.t] if x.event_type == "error" else []
+                runs.append(run)
+            lost = [k for k, run in enumerate(runs) if run and run[-1] - run[0] > DAY]
+            ended = [k for k, x in enumerate(between) if x.event_type == "purchase" and pending and pending[0] < k]
+            if pending and not lost and not ended:
+                want.append((user, rows[armed[-1]].t, between[pending[0]].t, r.t))
+    assert want and got(spark, "lifecycles") == sorted(want)
+
+
+def test_lifecycle_is_idle_after_missing_readings() -> None:
+    def run(*rows: tuple) -> list[tuple]:
+        step = fold.lifecycle(("arm", "score", "end", "none"), 5.0, 10)()
+        return [x for row in [*rows, None] for x in step(row)]
+
+    assert run((0, "arm", 1.0), (1, "none", None), (11, "none", None), (12, "score", 5.0), (13, "end", 0.0)) == [(0, 12, 13)]
+    assert run((0, "arm", 1.0), (1, "none", None), (12, "none", None), (13, "score", 5.0), (14, "end", 0.0)) == []
+    assert run((0, "arm", 1.0), (1, "score", 4.9), (2, "score", None), (3, "end", 0.0)) == []
+    assert run((0, "arm", 1.0), (1, "score", 9.0), (2, "arm", 0.0), (3, "end", 0.0)) == []
