@@ -1,8 +1,8 @@
 """Operators whose next step depends on what was kept before: ordered folds within a key.
 
 `grouped_fold` sorts each key's rows in Spark and hands them over one after the other; state lives in the step function's
-own object, so a key's rows are streamed and never held together. Keys should be bounded units such as a match and round,
-or a user's session.
+own object; rows are streamed from Arrow columns, and what is held of a key is what each step function's docstring names. One
+key is one task: keys should be bounded units such as a match and round, or a user's session (`transducer` has no such bound).
 """
 
 from __future__ import annotations
@@ -12,11 +12,32 @@ from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 Step = Callable[[tuple], list[tuple]]
+#: Output rows that a task holds before it hands them on.
+BATCH = 4096
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def record_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of Arrow batches as tuples; NaN comes as None."""
+    for batch in batches:
+        columns = [pc.if_else(pc.is_nan(c), None, c) if pa.types.is_floating(c.type) else c for c in batch.columns]
+        yield from zip(*[c.to_pylist() for c in columns], strict=True)
+
+
+def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    values = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
 
 def grouped_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], start: Callable[[], Step], schema: str, partitions: int | None = None) -> DataFrame:
@@ -27,25 +48,27 @@ def grouped_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], col
     chosen = rows.select(*keys, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)])
     dealt = chosen.repartition(partitions, *keys).sortWithinPartitions(*keys, *[f"__o{i}" for i in range(len(order))])
     width = len(keys) + len(order)
-    names = [x.split()[0] for x in schema.split(", ")]
+    fields = arrow_schema(schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
         step: Step | None = None
-        for frame in frames:
-            out: list[tuple] = []
-            for row in frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None):
-                own = row[: len(keys)]
-                if own != key:
-                    if step is not None:
-                        out += [(*key, *x) for x in step(None)]  # type: ignore[misc]
-                    key, step = own, start()
-                out += [(*own, *x) for x in step(row[width:])]  # type: ignore[misc]
-            yield pd.DataFrame(out, columns=names)
+        out: list[tuple] = []
+        for row in record_rows(batches):
+            own = row[: len(keys)]
+            if own != key:
+                if step is not None:
+                    out += [(*key, *x) for x in step(None)]  # type: ignore[misc]
+                key, step = own, start()
+            out += [(*own, *x) for x in step(row[width:])]  # type: ignore[misc]
+            if len(out) >= BATCH:
+                yield record_batch(out, fields)
+                out = []
         if step is not None:
-            yield pd.DataFrame([(*key, *x) for x in step(None)], columns=names)  # type: ignore[misc]
+            out += [(*key, *x) for x in step(None)]  # type: ignore[misc]
+        yield record_batch(out, fields)
 
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def thin(heartbeat: int) -> Callable[[], Step]:

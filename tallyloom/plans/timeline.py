@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import fold, rules, temporal
+from tallyloom.operators import fold, rules, temporal, transducer
 
 from .catalog import DAY, HOUR, events, query
 
@@ -394,3 +394,36 @@ def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     g = events(spark, sf_dir).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
     return g.withColumn("s", F.col("w.start")).select(micros("s").alias("window"), "event_type", "n")
+
+
+LATCH = f"""
+    WITH {E}, n AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
+    p AS (SELECT user_id, part, min(t) FILTER (event_type = 'signup') AS "start", max(t) FILTER (event_type = 'purchase') AS "end", count(*) FILTER (event_type = 'signup') AS n FROM n GROUP BY user_id, part)
+    SELECT user_id, "start", "end" FROM p WHERE n >= 2
+"""
+
+
+@query(LATCH)
+def latched_intervals_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals from a twice confirmed signup to the next purchase; each user's rows in blocks of five days."""
+    return transducer.blocked_fold(events(spark, sf_dir), ["user_id"], "t", "event_id", ["t", "event_type"], transducer.latch("signup", "purchase", 2), 5 * DAY, "start long, end long")
+
+
+@query(f"""
+    WITH {E}, l AS (SELECT *, CASE WHEN value > 5 THEN event_type END AS label FROM e),
+    b AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER (PARTITION BY user_id ORDER BY t, event_id) THEN 1 ELSE 0 END AS new FROM l WHERE label IS NOT NULL),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS run FROM b),
+    h AS (SELECT event_id, CASE WHEN t - min(t) OVER (PARTITION BY user_id, run) >= 21600000000 THEN label END AS held FROM r)
+    SELECT user_id, event_id, last_value(held IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS label FROM l LEFT JOIN h USING (event_id)
+""")
+def debounced_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event kinds as labels that must hold for a quarter of a day; each user's rows in blocks of five days."""
+    rows = events(spark, sf_dir).withColumn("label", F.when(F.col("value") > 5, F.col("event_type")))
+    return transducer.blocked_fold(rows, ["user_id"], "t", "event_id", ["event_id", "t", "label"], transducer.debounce(DAY // 4), 5 * DAY, "event_id long, label string")
+
+
+@query()
+def lifecycles_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signup, a click of ten or more, purchase; errors for longer than two days leave nothing open. In blocks of five days."""
+    machine = transducer.lifecycle(("signup", "click", "purchase", "error"), 10.0, 2 * DAY)
+    return transducer.blocked_fold(events(spark, sf_dir), ["user_id"], "t", "event_id", ["t", "event_type", "value"], machine, 5 * DAY, "armed long, pending long, ended long")

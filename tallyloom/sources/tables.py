@@ -6,9 +6,11 @@ writes only the partitions that changed.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir and read it again, so that later rounds of an iteration neither repeat
-    its work nor lose it with an executor. In local mode without the setting it goes to a temporary folder."""
-    spark = df.sparkSession
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the folder in spark.checkpoint.dir (in local mode without the setting, in a temporary one), removed at exit."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
@@ -30,8 +33,42 @@ def cut(df: DataFrame) -> DataFrame:
         shared = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
         spark.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared}/tallyloom/{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to a scratch path and read it again, so that later rounds of an iteration neither repeat its work nor lose it with an
+    executor."""
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The file system of a path, and the path for it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, target = _hadoop(spark, path)
+    return files.exists(target)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    files, target = _hadoop(spark, path)
+    files.delete(target, True)
+
+
+@atexit.register
+def _drop_scratch() -> None:
+    for spark, path in _made:
+        try:
+            if spark.sparkContext._jsc and not spark.sparkContext._jsc.sc().isStopped():
+                drop_path(spark, path)
+        except Exception:  # noqa: BLE001  the JVM may be gone at exit
+            return
 
 
 def micros(ts: str) -> Column:
@@ -97,16 +134,6 @@ def append_usage(rows: DataFrame, texts: dict[str, int], counters: Sequence[str]
     return rows.withColumns({c: F.substring(c, 1, n) for c, n in texts.items()} | {c: F.greatest(F.lit(0), F.col(c)) for c in counters})
 
 
-def lru_survivors(entries: DataFrame, most_bytes: int, most_entries: int) -> DataFrame:
-    """Entries (key, size, mtime) that stay within both limits, newest first. A running total of a cache's index: its
-    size is bounded by most_entries before every run, so one ordered partition holds it."""
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.desc("mtime"), "key").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = entries.withColumn("__bytes", F.sum("size").over(order)).withColumn("__n", F.count("*").over(order))
-    return ranked.filter((F.col("__bytes") <= most_bytes) & (F.col("__n") <= most_entries)).drop("__bytes", "__n")
-
-
 def write_report(rows: DataFrame, path: str, form: str) -> None:
     """Export rows as JSON lines or CSV; text cells are guarded against spreadsheet formulas in CSV."""
     if form == "json":

@@ -45,12 +45,6 @@ def test_replace_partitions_leaves_the_others(spark: SparkSession, tmp_path: Pat
     assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, 1), (2, 5)]
 
 
-def test_lru_keeps_the_newest_within_both_limits(spark: SparkSession) -> None:
-    rows = spark.createDataFrame([("a", 5, 1), ("b", 5, 2), ("c", 5, 3)], "key string, size long, mtime long")
-    assert {r.key for r in S.lru_survivors(rows, 10, 9).collect()} == {"b", "c"}
-    assert {r.key for r in S.lru_survivors(rows, 100, 1).collect()} == {"c"}
-
-
 def test_report_guards_formulas(spark: SparkSession, tmp_path: Path) -> None:
     S.write_report(spark.createDataFrame([("=1+1", 1), ("ok", 2)], "a string, b int"), str(tmp_path / "r"), "csv")
     assert {r.a for r in spark.read.option("header", "true").csv(str(tmp_path / "r")).collect()} == {"'=1+1", "ok"}

@@ -64,3 +64,35 @@ def test_debounce_resumes_after_its_checkpoint(spark: SparkSession, tmp_path: Pa
     assert run() == {(7, "a", 0, 3 * h)}
     add(2, [(7, 41 * h, 8, "c"), (8, 42 * h, 8, "c")])
     assert run() == {(7, "a", 0, 3 * h), (8, "c", 40 * h, 42 * h)}
+
+
+def test_timers_in_a_stream_give_the_events_of_the_batch(spark: SparkSession, tmp_path: Path) -> None:
+    """Rows come in eight files, each out of order within the watermark's delay; a far row at last lets all timers fall due."""
+    import datetime
+    import random
+
+    from tallyloom.operators import timers
+    from tallyloom.streaming import timed
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(5)
+    begin = datetime.datetime(2024, 1, 1)
+    rows, t = [], 0.0
+    for i in range(240):
+        t += rng.choice([0.1, 0.4, 0.7, 3.0, 3.1, 6.0])
+        rows.append((rng.choice(["a", "b"]), begin + datetime.timedelta(seconds=round(t, 1)), i, rng.choice(["seen", "fire", "still", "move"])))
+    schema = "k string, ts timestamp, i long, kind string"
+    path = str(tmp_path / "in")
+    for n in range(8):
+        part = rows[n * 30 : (n + 1) * 30]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    for extra in (3600, 7200, 10800):
+        spark.createDataFrame([("far", begin + datetime.timedelta(seconds=t + extra), 999, "move")], schema).coalesce(1).write.mode("append").parquet(path)
+    machine = timers.encounters("seen", "fire", "still", "move", "cut", lost=1_500_000, quiet=4_000_000, burst=900_000, again=9_000_000, hold=3_000_000)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+    stream = timed.timed_fold(source, ["k"], "ts", "2 minutes", "i", ["kind"], machine, "k string, what string, since long, at long, n long")
+    got = sorted(map(repr, map(tuple, out(spark, stream, tmp_path).collect())))
+    batch = timers.timed_fold(spark.createDataFrame(rows, schema).withColumn("t", F.unix_micros("ts")), ["k"], "t", "i", ["kind"], machine, "k string, what string, since long, at long, n long")
+    want = sorted(map(repr, map(tuple, batch.collect())))
+    assert got == want and len({e.split("'")[3] for e in want}) == 8
