@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SCORINGS, SUPPORT, SUPPORT_SHARE = 2, 3, 5, 0.01
+ROUNDS, SCORINGS, SUPPORT, LIFT = 2, 3, 5, 5.0
 CONFIDENT, UNKNOWN, ACCEPT, PLAIN, SHARE, MIN_LENGTH = 0.8, 0.25, 0.8, 0.95, 0.5, 5
 #: Matches of one text that are placed in one go.
 PIECE = 256
@@ -117,8 +117,20 @@ def contexts(before2: Column, before: Column, after: Column) -> Column:
     return F.when(empty(before) != "", keys).otherwise(F.array().cast("array<bigint>"))
 
 
+def pairs(before2: Column, before: Column, after: Column) -> Column:
+    """The two words of each pattern of a place, in the order of its contexts."""
+    pair = lambda a, b: F.struct(F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b"))
+    return F.array(pair(before2, before), pair(before, after))
+
+
+def word_counts(slim: DataFrame, text: Column) -> DataFrame:
+    """How often each word (small letters, digits as 0) stands in all texts; the empty one, beside every text, once for each."""
+    words = F.concat(F.array(F.lit("")), F.array_remove(F.split(folded(text), r"[\x20\x09-\x0D]"), ""))
+    return slim.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
 def all_words(rows: DataFrame, text: Column) -> DataFrame:
-    """Every word of every text: row, pos, word (without signs at its ends), keys (its patterns)."""
+    """Every word of every text: row, pos, word (without signs at its ends), keys and pairs (its patterns)."""
     blank = r"[\x20\x09-\x0D]"
     words = F.array_remove(F.split(text, blank), "")
     low = F.array_remove(F.split(folded(text), blank), "")
@@ -127,11 +139,11 @@ def all_words(rows: DataFrame, text: Column) -> DataFrame:
     zipped = F.arrays_zip(F.col("w").alias("w"), F.concat(edge, edge, F.col("f")).alias("p2"), F.concat(edge, F.col("f")).alias("p1"), F.slice("f", F.lit(2), F.size("f")).alias("n1"))
     # The outer form: the plain one would work the arrays out a second time, to look for empty ones.
     out = beside.select("row", F.posexplode_outer(zipped).alias("pos", "x")).filter(F.col("x.w").isNotNull())
-    return out.select("row", "pos", F.btrim("x.w", F.lit(SIGNS)).alias("word"), contexts(F.col("x.p2"), F.col("x.p1"), F.col("x.n1")).alias("keys"))
+    return out.select("row", "pos", F.btrim("x.w", F.lit(SIGNS)).alias("word"), contexts(F.col("x.p2"), F.col("x.p1"), F.col("x.n1")).alias("keys"), pairs(F.col("x.p2"), F.col("x.p1"), F.col("x.n1")).alias("pairs"))
 
 
 def seeds_of(slim: DataFrame, text: Column) -> DataFrame:
-    """One row per base span: row, pos of the word that it begins in, word (the span), kind, keys (its patterns)."""
+    """One row per base span: row, pos of the word that it begins in, word (the span), kind, keys and pairs (its patterns)."""
     held = slim.filter(F.concat(*KINDS) != F.array().cast("array<struct<start:int,end:int,hit:string>>"))
     words = held.select("row", F.posexplode(located(text, rf"{WORD}++")).alias("pos", "x")).select("row", "pos", F.col("x.start").alias("at"), folded(F.col("x.hit")).alias("f"))
     words = cut(words, "pii_words")
@@ -150,15 +162,19 @@ def seeds_of(slim: DataFrame, text: Column) -> DataFrame:
     order = Window.partitionBy("row").orderBy("pos")
     around = words.select("row", "pos", F.lag("f", 2).over(order).alias("p2"), F.lag("f", 1).over(order).alias("p1"), F.lead("f", 1).over(order).alias("n1"))
     found = placed.join(around.select("row", "pos", "p2", "p1"), ["row", "pos"]).join(around.select("row", F.col("pos").alias("last"), "n1"), ["row", "last"])
-    return found.select("row", "pos", "word", "kind", contexts(F.col("p2"), F.col("p1"), F.col("n1")).alias("keys"))
+    return found.select("row", "pos", "word", "kind", contexts(F.col("p2"), F.col("p1"), F.col("n1")).alias("keys"), pairs(F.col("p2"), F.col("p1"), F.col("n1")).alias("pairs"))
 
 
-def supported(instances: DataFrame) -> DataFrame:
-    """Patterns with enough distinct words of a kind: key, kind. instances: word, kind, keys."""
-    distinct = instances.select(F.explode("keys").alias("key"), "kind", "word").distinct()
-    all_of = instances.select("kind", "word").distinct().groupBy("kind").agg(F.count("*").alias("all"))
-    counted = distinct.groupBy("key", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
-    return counted.join(F.broadcast(all_of), "kind").filter(F.col("n") >= SUPPORT_SHARE * F.col("all")).select("key", "kind")  # a row for each kind
+def supported(instances: DataFrame, counts: DataFrame) -> DataFrame:
+    """Patterns with enough distinct words of a kind, and more than by chance: key, kind. instances: word, kind, keys, pairs."""
+    distinct = instances.select(F.explode(F.arrays_zip("keys", "pairs")).alias("x"), "kind", "word").filter("x.keys IS NOT NULL").select(F.col("x.keys").alias("key"), "x.pairs", "kind", "word").distinct()
+    counted = cut(distinct.groupBy("key", "kind").agg(F.count("*").alias("n"), F.first("pairs").alias("pair")).filter(F.col("n") >= SUPPORT), "pii_supported")
+    all_of = instances.select("kind", "word").distinct().groupBy("kind").agg(F.count("*").alias("all"))  # a row for each kind
+    total = F.lit(float(counts.agg(F.sum("n")).first()[0] or 1))
+    share = lambda c: counts.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}"))
+    known = counted.select("key", "kind", "n", "pair.a", "pair.b").join(share("a"), "a").join(share("b"), "b").join(F.broadcast(all_of), "kind")
+    chance = F.col("all") * (F.col("n_a") / total) * (F.col("n_b") / total)
+    return known.filter(F.col("n") >= LIFT * chance).select("key", "kind")
 
 
 def scored(edges: DataFrame, seeds: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -182,9 +198,10 @@ def bootstrap(slim: DataFrame, text: Column) -> DataFrame | None:
     """Occurrences of taken words: row, pos, word, kind; None if there are none."""
     seeds = cut(seeds_of(slim, text), "pii_seeds")
     keys, edges, taken = None, None, None
-    instances = seeds.select("word", "kind", "keys")
+    instances = seeds.select("word", "kind", "keys", "pairs")
+    counts = cut(word_counts(slim, text), "pii_counts")
     for k in range(ROUNDS):
-        new = supported(instances).select("key").distinct()
+        new = supported(instances, counts).select("key").distinct()
         new = cut(new if keys is None else new.join(keys, "key", "left_anti"), f"pii_keys_{k}")
         if new.isEmpty():
             break
@@ -200,11 +217,11 @@ def bootstrap(slim: DataFrame, text: Column) -> DataFrame | None:
         candidates = cut(candidates.groupBy("word").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")), f"pii_candidates_{k}")
         if candidates.isEmpty():
             break
-        places = cut(all_words(slim, text).join(candidates, "word").select("row", "pos", "word", "kind", "keys"), f"pii_places_{k}")
+        places = cut(all_words(slim, text).join(candidates, "word").select("row", "pos", "word", "kind", "keys", "pairs"), f"pii_places_{k}")
         strongly = places.select("row", "pos", "word", "kind", F.explode("keys").alias("key")).join(strong.select("key", "kind"), ["key", "kind"], "left_semi").select("row", "pos", "word").distinct().groupBy("word").agg(F.count("*").alias("n"))
         kept = places.groupBy("word").agg(F.count("*").alias("all")).join(strongly, "word").filter(F.col("n") >= SHARE * F.col("all")).select("word")
         taken = cut(places.join(kept, "word"), f"pii_taken_{k}")
-        instances = seeds.select("word", "kind", "keys").unionByName(taken.select("word", "kind", "keys"))
+        instances = seeds.select("word", "kind", "keys", "pairs").unionByName(taken.select("word", "kind", "keys", "pairs"))
     return None if taken is None else taken.select("row", "pos", "word", "kind")
 
 
