@@ -30,6 +30,8 @@ from .common import cut
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SCORINGS, SUPPORT, LIFT = 2, 3, 5, 5.0
 CONFIDENT, UNKNOWN, ACCEPT, PLAIN, SHARE, MIN_LENGTH = 0.8, 0.25, 0.8, 0.95, 0.5, 5
+#: Bits that mark wanted words.
+BITS = 1 << 16
 #: Matches of one text that are placed in one go.
 PIECE = 256
 
@@ -123,10 +125,21 @@ def pairs(before2: Column, before: Column, after: Column) -> Column:
     return F.array(pair(before2, before), pair(before, after))
 
 
-def word_counts(slim: DataFrame, text: Column) -> DataFrame:
-    """How often each word (small letters, digits as 0) stands in all texts; the empty one, beside every text, once for each."""
-    words = F.concat(F.array(F.lit("")), F.array_remove(F.split(folded(text), r"[\x20\x09-\x0D]"), ""))
-    return slim.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def words_in(text: Column) -> Column:
+    """All words of a text (small letters, digits as 0)."""
+    return F.array_remove(F.split(folded(text), r"[\x20\x09-\x0D]"), "")
+
+
+def word_counts(slim: DataFrame, text: Column, wanted: DataFrame) -> DataFrame:
+    """How often the wanted words (table of word, n of another meaning) stand in all texts; the empty one, beside every text, once for each. The wanted words' hashes
+    mark BITS bits; words without a marked bit are not counted, so that the shuffle follows the wanted words and not the vocabulary. The driver holds the bits."""
+    bit = F.pmod(F.xxhash64("word"), F.lit(BITS))
+    marks = wanted.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
+    held = dict(marks.collect())  # BITS / 64 rows at most
+    mask = F.array(*[F.lit(held.get(i, 0)).cast("long") for i in range(BITS // 64)])
+    each = slim.select(F.explode(F.concat(F.array(F.lit("")), words_in(text))).alias("word"))
+    marked = F.getbit(F.get(mask, F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1
+    return each.filter(marked).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def all_words(rows: DataFrame, text: Column) -> DataFrame:
@@ -165,12 +178,13 @@ def seeds_of(slim: DataFrame, text: Column) -> DataFrame:
     return found.select("row", "pos", "word", "kind", contexts(F.col("p2"), F.col("p1"), F.col("n1")).alias("keys"), pairs(F.col("p2"), F.col("p1"), F.col("n1")).alias("pairs"))
 
 
-def supported(instances: DataFrame, counts: DataFrame) -> DataFrame:
+def supported(instances: DataFrame, slim: DataFrame, text: Column) -> DataFrame:
     """Patterns with enough distinct words of a kind, and more than by chance: key, kind. instances: word, kind, keys, pairs."""
     distinct = instances.select(F.explode(F.arrays_zip("keys", "pairs")).alias("x"), "kind", "word").filter("x.keys IS NOT NULL").select(F.col("x.keys").alias("key"), "x.pairs", "kind", "word").distinct()
     counted = cut(distinct.groupBy("key", "kind").agg(F.count("*").alias("n"), F.first("pairs").alias("pair")).filter(F.col("n") >= SUPPORT), "pii_supported")
     all_of = instances.select("kind", "word").distinct().groupBy("kind").agg(F.count("*").alias("all"))  # a row for each kind
-    total = F.lit(float(counts.agg(F.sum("n")).first()[0] or 1))
+    counts = cut(word_counts(slim, text, counted.select(F.explode(F.array("pair.a", "pair.b")).alias("word")).distinct()), "pii_counts")
+    total = F.lit(float(slim.agg(F.sum("n_words") + F.count(F.lit(1))).first()[0] or 1))
     share = lambda c: counts.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}"))
     known = counted.select("key", "kind", "n", "pair.a", "pair.b").join(share("a"), "a").join(share("b"), "b").join(F.broadcast(all_of), "kind")
     chance = F.col("all") * (F.col("n_a") / total) * (F.col("n_b") / total)
@@ -199,9 +213,8 @@ def bootstrap(slim: DataFrame, text: Column) -> DataFrame | None:
     seeds = cut(seeds_of(slim, text), "pii_seeds")
     keys, edges, taken = None, None, None
     instances = seeds.select("word", "kind", "keys", "pairs")
-    counts = cut(word_counts(slim, text), "pii_counts")
     for k in range(ROUNDS):
-        new = supported(instances, counts).select("key").distinct()
+        new = supported(instances, slim, text).select("key").distinct()
         new = cut(new if keys is None else new.join(keys, "key", "left_anti"), f"pii_keys_{k}")
         if new.isEmpty():
             break
@@ -239,9 +252,9 @@ def find_spans(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id (with whole: `kept`, a struct of all columns), `base` and `spans`, arrays of (kind from 1, start, end)."""
     rows = docs.select(F.struct(*docs.columns).alias("kept")) if whole else docs.select("doc_id", "text")
     text = F.coalesce(F.col("kept.text") if whole else F.col("text"), F.lit(""))
-    slim = cut(base_spans(rows, text).withColumn("row", F.monotonically_increasing_id()), "pii_found")  # row ids are fixed from here on
+    slim = cut(base_spans(rows, text).withColumns({"row": F.monotonically_increasing_id(), "n_words": F.size(words_in(text))}), "pii_found")  # row ids are fixed from here on
     base = F.concat(*[keyed(i + 1, F.col(k)) for i, k in enumerate(KINDS)])
-    out = slim.withColumn("base", base).drop(*KINDS)
+    out = slim.withColumn("base", base).drop(*KINDS, "n_words")
     taken = bootstrap(slim, text)
     if taken is None:
         return out.withColumn("spans", F.array_sort("base")).drop("row", *([] if whole else ["text"]))
