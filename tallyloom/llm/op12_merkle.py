@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-FANOUT, BIN, WIDE, TOP = 16, 12, 16, 60
+FANOUT, BIN, WIDE, TOP = 16, 8, 16, 60
 #: Null doc_ids: the bin before the first.
 BEFORE = -(1 << (63 - BIN)) - 1
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
