@@ -11,7 +11,9 @@ its pivot, its covering radius and its distance to the parent's pivot; a leaf's
 those within the bound are one slice.
 
 Search: queries of one cell are packed. A pack first meets one block of its own cell, which gives each query a bound (its
-k-th distance so far), and then, with these bounds, the blocks that the pack's ball may reach. In a block a query goes
+k-th distance so far), and then, with these bounds, the blocks that the pack's ball may reach: centres and radii of packs, cells and blocks are narrow
+rows; a pack meets the cells first (PIVOTS a length), then the blocks of those that may hold a score of its lowest bound, and trees
+and queries are fetched only for the pairs that are left. In a block a query goes
 best-first by the lower bound d(q, pivot) - radius and leaves out an entry without computing its distance if
 |d(q, parent) - d(entry, parent)| - radius is beyond its bound. Scores are exact integers whatever their size.
 
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -200,18 +202,28 @@ def with_cells(rows: DataFrame) -> DataFrame:
 
 
 def index(rows: DataFrame) -> DataFrame:
-    """One row per block of at most BLOCK_BYTES of one cell: dim, cell, part, parts, tree."""
+    """One row per block of at most BLOCK_BYTES of one cell: dim, cell, part, parts, centre and radius of its ball, tree."""
 
     def run(t: pa.Table) -> pa.Table:
         dim = t["dim"][0].as_py()
-        tree = MTree(t["vec_id"].to_numpy(), matrix(t["v"].combine_chunks(), dim))
-        names = ["dim", "cell", "part", "parts"]
-        return t.select(names).slice(0, 1).append_column("tree", pa.array([pickle.dumps(tree)], pa.binary()))
+        vectors = matrix(t["v"].combine_chunks(), dim)
+        tree = MTree(t["vec_id"].to_numpy(), vectors)
+        centre, radius = ball(vectors)
+        out = t.select(["dim", "cell", "part", "parts"]).slice(0, 1).append_column("centre", pa.array([centre.tolist()], pa.list_(pa.float64())))
+        return out.append_column("radius", pa.array([radius], pa.float64())).append_column("tree", pa.array([pickle.dumps(tree)], pa.binary()))
 
     most = F.greatest(F.lit(1.0), F.lit(BLOCK_BYTES) / (8 * F.col("dim")))
     size = rows.groupBy("dim", "cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / most).cast("int")).drop("n")
     dealt = rows.join(F.broadcast(size), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"))  # at most SAMPLE cells
-    return dealt.groupBy("dim", "cell", "part").applyInArrow(run, "dim int, cell int, part int, parts int, tree binary")
+    return dealt.groupBy("dim", "cell", "part").applyInArrow(run, "dim int, cell int, part int, parts int, centre array<double>, radius double, tree binary")
+
+
+def ball(vectors: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centre and radius of a ball that holds all vectors."""
+    centre = vectors.mean(axis=0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        radius = float(np.sqrt(((vectors - centre) ** 2).sum(axis=1)).max())
+    return centre, radius if math.isfinite(radius) else math.inf
 
 
 PAIR = "query_id long, vec_id long, score long"
@@ -243,6 +255,49 @@ def packed(asked: DataFrame) -> DataFrame:
     return dealt.groupBy("dim", "cell", F.pmod(F.xxhash64("vec_id"), F.col("packs")).cast("int").alias("pack")).agg(F.collect_list(F.struct("vec_id", "v", "floor")).alias("queries"))
 
 
+def dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def gap(a: str, b: str) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def may_reach(centre: str, radius: str) -> Column:
+    """Can a vector of the ball have a score of a pack's lowest bound with a query of the pack's ball (q_centre, q_radius)? With q = c + e and x = b + f,
+    q x is at most c b + |c| |f| + |b| |e| + |e| |f|."""
+    c, b = F.sqrt(dot("q_centre", "q_centre")), F.sqrt(dot(centre, centre))
+    reach = c + F.col("q_radius")
+    most = dot("q_centre", centre) + c * F.col(radius) + b * F.col("q_radius") + F.col("q_radius") * F.col(radius)
+    # Scores beyond doubles give infinities or NaN: such a pair stays.
+    return ~F.coalesce(most + SLACK * reach * (b + F.col(radius)) < F.col("floor"), F.lit(False))
+
+
+def reached(packs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pairs of packs (dim, cell, pack) and blocks (of_cell, part) that may hold one of the best."""
+
+    def summary(t: pa.Table) -> pa.Table:
+        own = t["queries"].combine_chunks().flatten()
+        names = t.select(["dim", "cell", "pack"]).slice(0, 1)
+        centre, radius = ball(matrix(own.field("v"), t["dim"][0].as_py()))
+        floors = own.field("floor")
+        low = None if floors.null_count else float(min(floors.to_pylist()))
+        return names.append_column("q_centre", pa.array([centre.tolist()], pa.list_(pa.float64()))).append_column("q_radius", pa.array([radius], pa.float64())).append_column("floor", pa.array([low], pa.float64()))
+
+    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from summary(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
+
+    asked = packs.mapInArrow(balls, "dim int, cell int, pack int, q_centre array<double>, q_radius double, floor double")
+    narrow = blocks.select("dim", F.col("cell").alias("of_cell"), "part", "parts", "centre", "radius")
+    middle = narrow.groupBy("dim", "of_cell").agg(F.min_by("centre", "part").alias("middle"))
+    cells = narrow.join(F.broadcast(middle), ["dim", "of_cell"]).groupBy("dim", "of_cell").agg(F.first("middle").alias("middle"), F.max(gap("centre", "middle") + F.col("radius")).alias("wide"))
+    near = asked.join(F.broadcast(cells), "dim").filter(may_reach("middle", "wide")).drop("middle", "wide")  # PIVOTS cells a length
+    met = near.join(narrow, ["dim", "of_cell"]).filter(may_reach("centre", "radius"))
+    return met.filter((F.col("cell") != F.col("of_cell")) | (F.col("part") != F.pmod("pack", "parts"))).select("dim", "cell", "pack", "of_cell", "part")
+
+
 def best_of(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -257,8 +312,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     first = packed(asked.withColumn("floor", F.lit(None).cast("long"))).join(blocks, ["dim", "cell"]).filter(F.col("part") == F.pmod("pack", "parts"))
     home = cut(best_of(searched(first, k), k), "home")
     bound = home.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    packs = packed(asked.join(bound, "vec_id", "left"))
-    # The stated queries, in packs, against the blocks of all rows.
-    rest = packs.join(blocks.withColumnRenamed("cell", "of_cell"), "dim").filter((F.col("cell") != F.col("of_cell")) | (F.col("part") != F.pmod("pack", "parts")))
+    packs = cut(packed(asked.join(bound, "vec_id", "left")), "packs")
+    # The stated queries, in packs, against the blocks that they may reach.
+    trees = blocks.select("dim", F.col("cell").alias("of_cell"), "part", "tree")
+    rest = reached(packs, blocks).join(packs, ["dim", "cell", "pack"]).join(trees, ["dim", "of_cell", "part"])
     found = home.select("query_id", "vec_id", "score").unionByName(searched(rest, k))
     return best_of(found, k).select("query_id", "rank", "vec_id", "score")
