@@ -8,6 +8,7 @@ key is one task: keys should be bounded units such as a match and round, or a us
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
@@ -163,32 +164,40 @@ def exclusive_match(left: DataFrame, right: DataFrame, keys: Sequence[str], time
 def nearest_exclusive(within: int) -> Callable[[], Step]:
     """Greedy one-to-one matching: rows of side `b`, in time order, take the nearest unused row of side `a` at most `within`
     before or after; of equally near ones the earlier. A `b` waits until no later row can be near enough, so what is held
-    are the rows within twice the distance."""
+    are the rows within twice the distance, found by bisection."""
 
     def start() -> Step:
-        free: deque[tuple[Any, int]] = deque()  # unused rows of side a, in time order
+        times: list[int] = []  # unused rows of side a, in time order, and their ids
+        idents: list[Any] = []
         waiting: deque[tuple[Any, int]] = deque()
 
+        def forget(before: int) -> None:
+            k = bisect_left(times, before)
+            del times[:k], idents[:k]
+
         def decide() -> list[tuple]:
             ident, time = waiting.popleft()
-            while free and free[0][1] < time - within:  # too early for every later b as well
-                free.popleft()
-            near = [(abs(t - time), k) for k, (_, t) in enumerate(free) if abs(t - time) <= within]
+            forget(time - within)  # too early for every later b as well
+            after = bisect_left(times, time)
+            near = [k for k in (bisect_left(times, times[after - 1]) if after else -1, after) if 0 <= k < len(times) and abs(times[k] - time) <= within]
             if not near:
                 return []
-            k = min(near)[1]
-            a = free[k][0]
-            del free[k]
-            return [(a, ident)]
+            k = min(near, key=lambda k: (abs(times[k] - time), k))
+            del times[k]
+            return [(idents.pop(k), ident)]
 
         def step(row: tuple | None) -> list[tuple]:
             out: list[tuple] = []
             while waiting and (row is None or row[2] > waiting[0][1] + within):
                 out += decide()
             if row is not None:
-                (waiting if row[0] == "b" else free).append((row[1], row[2]))
-                while not waiting and free and free[0][1] < row[2] - within:
-                    free.popleft()
+                if row[0] == "b":
+                    waiting.append((row[1], row[2]))
+                else:
+                    times.append(row[2])
+                    idents.append(row[1])
+                if not waiting:
+                    forget(row[2] - within)
             return out
 
         return step
@@ -271,8 +280,6 @@ def longest_rise() -> Step:
     ids: list[Any] = []
 
     def step(row: tuple | None) -> list[tuple]:
-        from bisect import bisect_right
-
         if row is None:
             out, at = [], tails[-1] if tails else -1
             while at >= 0:
@@ -420,6 +427,24 @@ def fused(rows: DataFrame, keys: Sequence[str], time: str, tie: str, confidence:
     return grouped_fold(rows, keys, [time, tie], [tie, time, confidence], fuse(within), f"{key_schema}, first long, {time} long, surest long, members long")
 
 
+def free_of(slack: int) -> Callable[[], Step]:
+    """(id, start, end) rows in order of their starts are kept unless they start at most `slack` after the end of a kept one: (id). State: one end."""
+
+    def start() -> Step:
+        last: int | None = None
+
+        def step(row: tuple | None) -> list[tuple]:
+            nonlocal last
+            if row is None or (last is not None and row[1] <= last + slack):
+                return []
+            last = row[2]
+            return [(row[0],)]
+
+        return step
+
+    return start
+
+
 def windows(opens: str, closes: str, gap: int) -> Callable[[], Step]:
     """Windows (start, end, state) from (time, kind) rows. A gap closes an active window as partial at the last row before it,
     or leaves the rows since the last end as a fragment; a start closes an unfinished window as partial, or leaves a fragment

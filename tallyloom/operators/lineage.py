@@ -9,18 +9,16 @@ from tallyloom.sources.tables import cut
 
 
 def closure(edges: DataFrame, most: int = 30) -> DataFrame:
-    """(child, ancestor) pairs over parent edges (child, parent): doubling joins, so a chain of 2**k edges takes k rounds.
-    each round is written to the shared folder; stops when a round adds nothing, raises if that takes over `most` rounds."""
-    pairs = cut(edges.select("child", F.col("parent").alias("ancestor")).distinct())
-    known = pairs.count()
+    """(child, ancestor) pairs over parent edges (child, parent). A round joins the pairs that the last one found, not all, with all pairs: those reach twice as
+    far, so a chain of 2**k edges takes k rounds. Each round's new pairs are written to the shared folder; raises if `most` rounds still find some."""
+    pairs = fresh = cut(edges.select("child", F.col("parent").alias("ancestor")).distinct())
     for _ in range(most):
-        longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor")
-        pairs = cut(pairs.unionByName(longer).distinct())
-        now = pairs.count()
-        if now == known:
+        longer = fresh.alias("a").join(pairs.alias("b"), F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor").distinct()
+        fresh = cut(longer.join(pairs, ["child", "ancestor"], "left_anti"))
+        if fresh.isEmpty():
             return pairs
-        known = now
-    raise ValueError(f"pairs still grow after {most} rounds: the edges hold a cycle, or a chain of over 2 ** {most} edges")
+        pairs = pairs.unionByName(fresh)
+    raise ValueError(f"pairs still grow after {most} rounds: the edges hold a chain of over 2 ** {most} edges")
 
 
 def split_of(bucket: Column, ratios: list[tuple[str, float]]) -> Column:

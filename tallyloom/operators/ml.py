@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from tallyloom.sources.tables import cut
+
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -24,9 +27,10 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / length)
 
 
-def prototypes(rows: DataFrame, label: str, vector: str) -> DataFrame:
-    """The normalised sum of each label's normalised vectors."""
-    parts = rows.select(label, F.posexplode(normalised(F.col(vector))).alias("pos", "x"))
+def prototypes(rows: DataFrame, label: str, vector: str, weight: str | None = None) -> DataFrame:
+    """The normalised sum of each label's normalised vectors, each times its weight."""
+    own = F.lit(1.0) if weight is None else F.col(weight)
+    parts = rows.select(label, own.alias("__w"), F.posexplode(normalised(F.col(vector))).alias("pos", "x")).withColumn("x", F.col("x") * F.col("__w"))
     sums = parts.groupBy(label, "pos").agg(F.sum("x").alias("x"))
     arrays = sums.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("prototype"))
     return arrays.withColumn("prototype", normalised(F.col("prototype")))
@@ -60,13 +64,42 @@ def predict_with_margin(rows: DataFrame, model: DataFrame, ident: str, label: st
     return rows.filter(F.col(vector).isNotNull()).select(ident, F.col(vector).alias("__v")).mapInPandas(run, out)
 
 
-def self_train(labelled: DataFrame, unlabelled: DataFrame, ident: str, label: str, vector: str, margin: float, rounds: int = 3) -> DataFrame:
-    """Prototypes after adding confidently predicted rows in each round."""
-    model = prototypes(labelled, label, vector)
+def with_gaps(rows: DataFrame, model: DataFrame, ident: str, label: str, vector: str, most_labels: int = 10_000) -> DataFrame:
+    """ident, predicted (the label with the highest cosine, the smallest of equals), top (that cosine) and gap (to the next label's; to 0 if there is one label)."""
+    known = model.select(label, "prototype").orderBy(label).limit(most_labels + 1).collect()
+    if len(known) > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
+    labels, weights = [r[0] for r in known], np.array([r[1] for r in known], np.float64)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            vectors = np.array(frame["__v"].tolist(), np.float64)
+            if not len(labels) or not len(vectors):
+                continue
+            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+            scores = vectors @ weights.T
+            best = scores.argmax(axis=1)
+            top = scores[np.arange(len(best)), best]
+            scores[np.arange(len(best)), best] = -np.inf
+            second = scores.max(axis=1) if len(labels) > 1 else np.zeros(len(best))
+            yield pd.DataFrame({ident: frame[ident], "predicted": [labels[b] for b in best], "top": top, "gap": top - second})
+
+    out = StructType([rows.schema[ident], StructField("predicted", model.schema[label].dataType), StructField("top", DoubleType()), StructField("gap", DoubleType())])
+    return rows.filter(F.col(vector).isNotNull()).select(ident, F.col(vector).alias("__v")).mapInPandas(run, out)
+
+
+def self_train(labelled: DataFrame, unlabelled: DataFrame, ident: str, label: str, vector: str, margin: float, rounds: int = 3, most_per_class: int | None = None, anchor_weight: float = 1.0) -> DataFrame:
+    """Prototypes after adding confidently predicted rows in each round: those whose gap to the next label is `margin` or more, of each label the `most_per_class` with the
+    largest gaps (ties to the smaller ident). Labelled rows count anchor_weight times. Every round starts from the labelled rows alone."""
+    anchors = labelled.select(label, vector, F.lit(anchor_weight).alias("__weight"))
+    model = cut(prototypes(anchors, label, vector, "__weight"))
     for _ in range(rounds):
-        sure = predict_with_margin(unlabelled, model, ident, label, vector, margin).filter("predicted IS NOT NULL")
-        more = unlabelled.join(sure, ident).select(F.col("predicted").alias(label), vector)
-        model = prototypes(labelled.select(label, vector).unionByName(more), label, vector)
+        sure = with_gaps(unlabelled, model, ident, label, vector).filter(F.col("gap") >= margin)
+        if most_per_class is not None:
+            best = Window.partitionBy("predicted").orderBy(F.desc("gap"), ident)
+            sure = sure.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= most_per_class)
+        more = unlabelled.join(sure.select(ident, "predicted"), ident).select(F.col("predicted").alias(label), vector, F.lit(1.0).alias("__weight"))
+        model = cut(prototypes(anchors.unionByName(more), label, vector, "__weight"))
     return model
 
 
@@ -77,12 +110,44 @@ def adopt(metrics: DataFrame, gain: float, most_drop: float) -> DataFrame:
     return total.withColumn("decision", F.when((F.col("gain") >= gain) & (F.col("worst") >= -most_drop), "adopt").otherwise("reject"))
 
 
+def gate(versions: DataFrame, candidates: DataFrame, metric: str, min_gain: float, guards: Sequence[str], most_drop: float, abstain: str, most_abstain: float) -> DataFrame:
+    """version, task, baseline, gain, adopt and reasons of each candidate (version) against its task's active version. It is refused for a gain in the metric below min_gain, for each
+    guard metric that drops by more than most_drop, and for an abstain rate that rises by more than most_abstain. A metric that the candidate lacks is the worst
+    there is, one that the active version lacks is 0. Without an active version it is adopted. versions: version, task, status, parent, metrics (map)."""
+    active = versions.filter("status = 'ACTIVE'").select("task", F.col("version").alias("baseline"), F.col("metrics").alias("__old"))
+    both = versions.join(candidates.select("version").distinct(), "version").join(active, "task", "left")
+    new = lambda m: F.coalesce(F.try_element_at("metrics", F.lit(m)), F.lit(float("-inf")))
+    old = lambda m: F.coalesce(F.try_element_at("__old", F.lit(m)), F.lit(0.0))
+    rise = F.coalesce(F.try_element_at("metrics", F.lit(abstain)), F.lit(0.0)) - old(abstain)
+    broken = [F.when(new(metric) - old(metric) < min_gain, "gain"), *[F.when(old(g) - new(g) > most_drop, f"guard:{g}") for g in guards], F.when(rise > most_abstain, "abstain")]
+    reasons = F.when(F.col("baseline").isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*broken)))
+    return both.select("version", "task", "baseline", F.when(F.col("baseline").isNotNull(), new(metric) - old(metric)).alias("gain"), (F.size(reasons) == 0).alias("adopt"), reasons.alias("reasons"))
+
+
+def decided(versions: DataFrame, decisions: DataFrame) -> DataFrame:
+    """versions after decisions of a gate, one for a task: an adopted one is ACTIVE and has the one before as parent, which is RETIRED; others are REJECTED."""
+    own = decisions.select("version", F.col("adopt").alias("__adopt"), F.col("baseline").alias("__baseline"))
+    left = decisions.filter("adopt AND baseline IS NOT NULL").select(F.col("baseline").alias("version"), F.lit(True).alias("__left"))
+    joined = versions.join(own, "version", "left").join(left, "version", "left")
+    status = F.when(F.col("__left"), "RETIRED").when(F.col("__adopt"), "ACTIVE").when(~F.col("__adopt"), "REJECTED").otherwise(F.col("status"))
+    parent = F.when(F.col("__adopt"), F.col("__baseline")).otherwise(F.col("parent"))
+    return joined.withColumns({"status": status, "parent": parent}).select(versions.columns)
+
+
+def rolled_back(versions: DataFrame, tasks: DataFrame) -> DataFrame:
+    """versions after the active one of each task (table of tasks) gave way to its parent; one without a parent stays."""
+    going = versions.filter("status = 'ACTIVE' AND parent IS NOT NULL").join(tasks.select("task").distinct(), "task").select(F.col("version").alias("__going"), F.col("parent").alias("__back"))
+    out = versions.join(going.select(F.col("__going").alias("version"), F.lit(True).alias("__out")), "version", "left").join(going.select(F.col("__back").alias("version"), F.lit(True).alias("__in")), "version", "left")
+    return out.withColumn("status", F.when(F.col("__out"), "ROLLED_BACK").when(F.col("__in"), "ACTIVE").otherwise(F.col("status"))).select(versions.columns)
+
+
 def left_out_logistic(rows: DataFrame, group: str, label: str, features: Sequence[str], penalty: float, steps: int = 30, most_groups: int = 100) -> DataFrame:
     """For each group the logistic model (w: intercept, then one weight a feature) of all other groups' rows, label 0 or 1,
     both classes of equal weight, features' weights penalised by penalty / 2 times their squares. Newton steps for all models
     at once, one aggregation each; the driver holds a row of sums for each group. Groups are counted first. A group without
     rows of both classes beside it has no model; rows with a null take no part."""
     used = rows.select(F.col(group).alias("g"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features, 1)]).dropna()
+    used = cut(used)  # every step reads the narrow rows, not the source
     counts = used.groupBy("g").agg(F.count("*").alias("n"), F.sum("y").alias("ones")).limit(most_groups + 1).collect()
     if len(counts) > most_groups:
         raise ValueError(f"more than {most_groups} groups")

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import free_of, grouped_fold
+
 Keys = Sequence[str]
 
 
@@ -216,3 +218,31 @@ def segments(rows: DataFrame, keys: Keys, order: Sequence[str], breaks: Column,
 def spine(bounds: DataFrame, keys: Keys, first: str, last: str, out: str) -> DataFrame:
     """One row per integer from first to last."""
     return bounds.select(*keys, F.explode(F.sequence(first, last)).alias(out))
+
+
+def added_if_free(existing: DataFrame, added: DataFrame, keys: Keys, ident: str, start: str, end: str, slack: int, bucket: int, key_schema: str) -> DataFrame:
+    """keys and ident of the added brackets that lie farther than `slack` from every existing one of their key, and from every added one that was taken before
+    them (in order of start, then ident)."""
+    wide = existing.select(*keys, (F.col(start) - slack).alias("__s"), (F.col(end) + slack).alias("__f"))
+    met = overlap_join(added, wide, keys, bucket, start, end, "__s", "__f").select(*keys, ident).distinct()
+    left = added.join(met, [*keys, ident], "left_anti")
+    return grouped_fold(left, list(keys), [start, ident], [ident, start, end], free_of(slack), f"{key_schema}, {ident} long")
+
+
+def fused_sources(first: DataFrame, second: DataFrame, keys: Keys, ident: str, time: str, confidence: str, attributes: str, within: int, tolerance: float, prefer_first: bool, bucket: int) -> DataFrame:
+    """keys, ident, source (1 or 2), confidence, members and resolved of the events of two sources; keys name kind and actor too. An event of the second source belongs to
+    the earliest of the first source's at most `within` from it; events of one source are never one. The surest member stands for its event (of equals the preferred
+    source's, then the earlier), unless the next one differs in attributes and is less than `tolerance` less sure: such an event is not resolved."""
+    columns = [*keys, F.col(ident).alias("__i"), F.col(time).alias("__t"), F.col(confidence).alias("__c"), F.col(attributes).alias("__a")]
+    one, two = first.select(*columns, F.lit(1).alias("__n")), second.select(*columns, F.lit(2).alias("__n"))
+    heads = first.select(*keys, F.col(ident).alias("__head"), F.col(time).alias("__ht"), (F.col(time) - within).alias("__lo"), (F.col(time) + within).alias("__hi"))
+    met = interval_join(two, heads, keys, "__t", "__lo", "__hi", bucket).groupBy(*keys, "__i").agg(F.min(F.struct("__ht", "__head")).alias("__m"))
+    joined = two.join(met.select(*keys, "__i", F.col("__m.__head").alias("__head")), [*keys, "__i"], "left")
+    rows = one.withColumn("__head", F.col("__i")).unionByName(joined)
+    alone = F.when(F.col("__head").isNull(), F.struct(F.lit(2).alias("s"), F.col("__i").alias("i"))).otherwise(F.struct(F.lit(1).alias("s"), F.col("__head").alias("i")))
+    group = Window.partitionBy(*keys, "__g")
+    order = group.orderBy(F.desc("__c"), F.desc(F.col("__n") == (1 if prefer_first else 2)), "__t", "__i")
+    ranked = rows.withColumn("__g", alone).withColumn("__place", F.row_number().over(order)).withColumn("members", F.count(F.lit(1)).over(group))
+    ranked = ranked.withColumn("__next", F.lead(F.struct("__c", "__a")).over(order)).filter(F.col("__place") == 1)
+    doubt = ~F.col("__a").eqNullSafe(F.col("__next.__a")) & (F.col("__c") - F.col("__next.__c") < tolerance)
+    return ranked.select(*keys, F.col("__i").alias(ident), F.col("__n").alias("source"), F.col("__c").alias(confidence), "members", (~F.coalesce(F.col("__next").isNotNull() & doubt, F.lit(False))).alias("resolved"))

@@ -167,3 +167,54 @@ def test_narrower_of_overlapping_candidates(spark: SparkSession) -> None:
     rows = [(0, 1, 0, 10), (0, 2, 5, 9), (0, 3, 10, 14), (0, 4, 16, 30), (1, 5, 0, 3), (1, 6, 4, 7)]
     got = fold.grouped_fold(shuffled(spark, rows, "k long, i long, s long, f long"), ["k"], ["s", "i"], ["i", "s", "f"], fold.narrower(1), "k long, loser long, kept long")
     assert sorted(map(tuple, got.collect())) == [(0, 1, 2), (0, 3, 2), (1, 6, 5)]
+
+
+def test_added_brackets_are_held_against_each_other(spark: SparkSession) -> None:
+    from tallyloom.operators import temporal
+
+    rng = random.Random(41)
+    brackets = lambda n, base: [(k, base + i, s, s + rng.randrange(8)) for i in range(n) for k in [rng.randrange(6)] for s in [rng.randrange(300)]]
+    old, new = brackets(25, 0), brackets(120, 1000)
+    df = lambda rows: spark.createDataFrame(rows, "k long, i long, s long, f long")
+    got = {(r.k, r.i) for r in temporal.added_if_free(df(old), df(new), ["k"], "i", "s", "f", 1, 16, "k long").collect()}
+    want, stand = set(), [(k, s, f) for k, _, s, f in old]
+    for k, i, s, f in sorted(new, key=lambda r: (r[2], r[1])):
+        if not any(k == kk and ss - 1 <= f and s <= ff + 1 for kk, ss, ff in stand):
+            stand.append((k, s, f))
+            want.add((k, i))
+    assert got == want and len(want) < 100
+
+
+def test_events_of_two_sources_fuse_by_kind_and_actor(spark: SparkSession) -> None:
+    from tallyloom.operators import temporal
+
+    rng = random.Random(42)
+    rows = lambda base: [(rng.choice("xy"), rng.choice("pq"), base + i, rng.randrange(200), rng.choice([0.5, 0.52, 0.6, 0.9]), rng.choice("uv")) for i in range(60)]
+    first, second = rows(0), rows(100)
+    df = lambda rows: spark.createDataFrame(rows, "kind string, actor string, i long, t long, c double, a string")
+    got = {tuple(r)[2:] for r in temporal.fused_sources(df(first), df(second), ["kind", "actor"], "i", "t", "c", "a", 4, 0.05, True, 8).collect()}
+    groups = {(1, r[2]): [(1, r)] for r in first}
+    for r in second:
+        heads = sorted((h[3], h[2]) for h in first if h[:2] == r[:2] and abs(h[3] - r[3]) <= 4)
+        groups.setdefault((1, heads[0][1]) if heads else (2, r[2]), []).append((2, r))
+    want = set()
+    for members in groups.values():
+        ranked = sorted(members, key=lambda m: (-m[1][4], m[0] != 1, m[1][3], m[1][2]))
+        doubt = len(ranked) > 1 and ranked[0][1][5] != ranked[1][1][5] and ranked[0][1][4] - ranked[1][1][4] < 0.05
+        want.add((ranked[0][1][2], ranked[0][0], ranked[0][1][4], len(members), not doubt))
+    assert got == want and any(not w[4] for w in want) and any(w[3] > 2 for w in want)
+
+
+def test_closure_of_a_graph_with_a_cycle_and_shared_ancestors(spark: SparkSession) -> None:
+    from tallyloom.operators import lineage
+
+    rng = random.Random(43)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)] + [(200, 201), (201, 200)]
+    pairs = set(edges)
+    while True:
+        more = {(a, d) for a, b in pairs for c, d in pairs if b == c} - pairs
+        if not more:
+            break
+        pairs |= more
+    got = lineage.closure(spark.createDataFrame([(str(a), str(b)) for a, b in edges], "child string, parent string"))
+    assert {(int(r.child), int(r.ancestor)) for r in got.collect()} == pairs and got.count() == len(pairs)

@@ -90,3 +90,41 @@ def test_adoption_needs_gain_and_no_deep_drop(spark: SparkSession) -> None:
     assert decided((0.5, 0.6), (0.5, 0.5)) == "adopt"
     assert decided((0.5, 0.9), (0.5, 0.4)) == "reject"
     assert decided((0.5, 0.51), (0.5, 0.5)) == "reject"
+
+
+def test_self_training_takes_the_surest_rows_of_each_class(spark: SparkSession) -> None:
+    rng = np.random.default_rng(4)
+    known = [("a", [1.0, 0.0]), ("b", [0.0, 1.0])]
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 2)]) for i in range(60)]
+    labelled = spark.createDataFrame(known, "label string, v array<double>")
+    got = {r.label: np.array(r.prototype) for r in ml.self_train(labelled, spark.createDataFrame(rows, "id long, v array<double>"), "id", "label", "v", 0.1, 3, 5, 4.0).collect()}
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    model = {k: unit(v) for k, v in known}
+    for _ in range(3):
+        sums = {k: 4.0 * unit(v) for k, v in known}
+        gaps = {k: [] for k in model}
+        for i, v in rows:
+            (s1, k1), (s2, _) = sorted(((float(unit(v) @ p), k) for k, p in model.items()), reverse=True)
+            if s1 - s2 >= 0.1:
+                gaps[k1].append((-(s1 - s2), i))
+        for k, found in gaps.items():
+            for _, i in sorted(found)[:5]:
+                sums[k] = sums[k] + unit(rows[i][1])
+        model = {k: unit(v) for k, v in sums.items()}
+    assert all(np.allclose(got[k], model[k]) for k in model)
+
+
+VERSIONS = "version string, task string, status string, parent string, metrics map<string,double>"
+
+
+@pytest.mark.parametrize(("metrics", "reasons"), [({"m": 0.52, "g": 0.5}, []), ({"m": 0.51, "g": 0.5}, ["gain"]), ({"m": 0.6, "g": 0.44}, ["guard:g"]), ({"m": 0.6, "g": 0.46}, []), ({"m": 0.6, "g": 0.5, "abstain": 0.11}, ["abstain"]), ({"m": 0.6, "g": 0.5, "abstain": 0.09}, []), ({}, ["gain", "guard:g"])])
+def test_gate_decision_and_rollback(spark: SparkSession, metrics: dict, reasons: list[str]) -> None:
+    versions = spark.createDataFrame([("v1", "t", "ACTIVE", None, {"m": 0.5, "g": 0.5}), ("v2", "t", "CANDIDATE", None, metrics), ("w", "u", "CANDIDATE", None, {})], VERSIONS)
+    decisions = ml.gate(versions, versions.filter("status = 'CANDIDATE'"), "m", 0.015, ["g"], 0.05, "abstain", 0.1)
+    got = {r.version: (r.baseline, r.adopt, r.reasons) for r in decisions.collect()}
+    assert got == {"v2": ("v1", not reasons, reasons), "w": (None, True, [])}
+    after = ml.decided(versions, decisions)
+    status = {r.version: (r.status, r.parent) for r in after.collect()}
+    assert status == {"v1": ("ACTIVE", None) if reasons else ("RETIRED", None), "v2": ("REJECTED", None) if reasons else ("ACTIVE", "v1"), "w": ("ACTIVE", None)}
+    back = {r.version: r.status for r in ml.rolled_back(after, spark.createDataFrame([("t",), ("u",)], "task string")).collect()}
+    assert back == {"v1": "ACTIVE", "v2": "REJECTED" if reasons else "ROLLED_BACK", "w": "ACTIVE"}

@@ -73,3 +73,15 @@ def test_evenly_spaced_counts(spark: SparkSession, n: int) -> None:
     rows = spark.range(n).withColumn("k", F.lit(1))
     got = sorted(r.id for r in sampling.evenly_spaced(rows, ["k"], ["id"], 12).collect())
     assert got == (list(range(n)) if n <= 12 else sorted({round(i * (n - 1) / 11) for i in range(12)}))
+
+
+def test_documents_escape_what_comes_from_rows(spark: SparkSession, tmp_path: Path) -> None:
+    from tallyloom.sources import reports
+
+    rows = spark.createDataFrame([("m<1>", 2, "a|b\nc", None), ("m<1>", 1, "<i>&\"'", 0.5)], "m string, i int, text string, v double")
+    page = reports.html_reports(rows, "m", ["i"], ["i", "text", "v"], "Match").first().html
+    assert "<h1>Match m&lt;1&gt;</h1>" in page and "<tr><td>1</td><td>&lt;i&gt;&amp;&quot;&#x27;</td><td>0.5</td></tr><tr><td>2</td><td>a|b\nc</td><td></td></tr>" in page
+    note = reports.markdown_reports(rows, "m", ["i"], ["i", "text", "v"], "Match").first().markdown
+    assert note == "# Match m<1>\n\n| i | text | v |\n| --- | --- | --- |\n| 1 | <i>&\"' | 0.5 |\n| 2 | a\\|b c |  |\n"
+    reports.write_documents(reports.html_reports(rows.filter("i = 1").withColumn("m", F.lit("x")), "m", ["i"], ["i"], "Match"), "m", "html", str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).first().value.endswith("<td>1</td></tr></tbody></table></body></html>")
