@@ -1,10 +1,12 @@
 """Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
 1. Every run of SEED words of a benchmark item is a seed; an item of fewer words is one seed as a whole. Test items are taken in blocks of bounded size, broadcast as sorted
-   seed hashes; one pass over the documents joins them with the items on seeds: each (document, item) that shares a seed,
-   however common, is a candidate.
-2. A score of least * 2m with an item of m words takes least * m matches within (3 - 2 * least) * m words of the document.
-   Of each candidate only the passages that hold so many words of the item are kept; no alignment that counts is lost.
+   seed hashes; one pass over the documents joins them with the items on seeds. A document takes the seeds that it hits from the rarest (in the fewest items) to the most
+   common; an item is met once, through its rarest hit seed.
+2. A score of least * 2m with an item of m words takes least * m matches within (3 - 2 * least) * m words of the document. So a pair counts no further, however it was
+   met, unless the document holds that many of the item's words: common seeds, which meet many items, cost one look at each item's words as numbers in a
+   table, for all items of a document at once. Of what is left only the passages that hold so many words of the item are kept; no alignment that
+   counts is lost, and none is left out for a seed's frequency.
 3. Passages are aligned word by word (match 2, mismatch -1, gap -1). The best local score over twice the item's length is
    the similarity; a pair is a leak at LEAK or more. So the result is that of aligning every candidate's whole text.
 
@@ -54,6 +56,30 @@ def seed_index(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], item[order].astype(np.int64)
 
 
+class WordTable:
+    """The items' words as numbers of a vocabulary, side by side."""
+
+    def __init__(self, items: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(h) for h in items], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        flat_words = np.concatenate(items) if items else np.zeros(0, np.uint64)
+        self.vocabulary, self.numbers = np.unique(flat_words, return_inverse=True)
+        self.held = np.zeros(len(self.vocabulary), bool)
+
+    def shared(self, of: np.ndarray, text_words: np.ndarray) -> np.ndarray:
+        """How many words of each of the items `of` stand among the text's (distinct) words."""
+        at = np.searchsorted(self.vocabulary, text_words)
+        at = at[at < len(self.vocabulary)]
+        at = at[among(text_words, self.vocabulary[at])]
+        self.held[at] = True
+        sizes = self.sizes[of]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1]) + np.repeat(self.starts[of] - (ends - sizes), sizes)
+        total = np.concatenate([[0], np.cumsum(self.held[self.numbers[places]])])
+        self.held[at] = False
+        return total[ends] - total[ends - sizes]
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> int:
     """The best Smith-Waterman local score of two word sequences."""
     m = len(item)
@@ -97,6 +123,7 @@ def seed_hits(docs: DataFrame, items: list[np.ndarray], least: float) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, item, items = shared.value
+        table = WordTable(items)
         for batch in by_bytes(batches, "text", 2 << 20):
             ids = batch.column("doc_id").to_pylist()
             data, offsets = flat(pc.utf8_lower(batch.column("text")))
@@ -117,10 +144,11 @@ def seed_hits(docs: DataFrame, items: list[np.ndarray], least: float) -> DataFra
                 held = np.unique(text)
                 hit = np.unique(s[own])
                 a, b = np.searchsorted(seeds, hit, side="left"), np.searchsorted(seeds, hit, side="right")
-                of = np.unique(np.concatenate([item[x:y] for x, y in zip(a, b, strict=True)]))
+                rarest = np.argsort(b - a, kind="stable")
+                met = np.concatenate([item[x:y] for x, y in zip(a[rarest], b[rarest], strict=True)])
+                of = met[np.sort(np.unique(met, return_index=True)[1])]
+                of = of[table.shared(of, held) >= least * table.sizes[of] - 1e-9]
                 for i in of.tolist():
-                    if among(held, items[i]).sum() < least * len(items[i]) - 1e-9:
-                        continue
                     for left, right in passages(items[i], text, least):
                         out[0].append(ids[d]), out[1].append(i), out[2].append(text[left:right].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["doc_id", "item", "passage"])
