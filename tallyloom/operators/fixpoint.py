@@ -27,8 +27,8 @@ class Settled:
     done: bool
 
 
-def to_fixpoint(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], rules: Sequence[Rule], most: int) -> Settled:
-    """Rows with values changed by rules until no rule changes any, or for `most` rounds."""
+def to_fixpoint(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], rules: Sequence[Rule], most: int, both: bool = True) -> Settled:
+    """Rows with values changed by rules until no rule changes any, or for `most` rounds; forwards only, if not both."""
     forwards = Window.partitionBy(*keys).orderBy(*[F.col(c).asc() for c in order])
     backwards = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     whole = Window.partitionBy(*keys)
@@ -40,7 +40,7 @@ def to_fixpoint(rows: DataFrame, keys: Sequence[str], order: Sequence[str], valu
             break
         sizes.append(n)
         now = left.withColumns({b: F.col(v) for b, v in zip(before, values, strict=True)})
-        for window in (forwards, backwards):
+        for window in (forwards, backwards) if both else (forwards,):
             for rule in rules:
                 now = now.withColumns(rule(window))
         moved = F.lit(False)

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
 from tallyloom.sources.tables import cut
 
@@ -141,6 +141,38 @@ def rolled_back(versions: DataFrame, tasks: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("__out"), "ROLLED_BACK").when(F.col("__in"), "ACTIVE").otherwise(F.col("status"))).select(versions.columns)
 
 
+def left_out_recall(rows: DataFrame, group: str, label: str, vector: str, most_groups: int = 100) -> DataFrame:
+    """group, rows, hits and recall (the mean over the group's labels of the share that is predicted right) of each group, predicted by prototypes of all other groups' rows: fitted once for every group, as all
+    sums less the group's own. The driver holds a sum for each group and label (groups are counted first); labels that no other group has are not predicted. Rows with a null take no part."""
+    used = cut(rows.filter(F.col(group).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(label).alias("l"), normalised(F.col(vector)).alias("v")))
+    if used.select("g").distinct().limit(most_groups + 1).count() > most_groups:
+        raise ValueError(f"more than {most_groups} groups")
+    parts = used.select("g", "l", F.posexplode("v").alias("pos", "x")).groupBy("g", "l", "pos").agg(F.sum("x").alias("x"))
+    sums = {(r["g"], r["l"]): np.array([x["x"] for x in r["v"]]) for r in parts.groupBy("g", "l").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).collect()}
+    labels = sorted({label for _, label in sums})
+    models = {}
+    for g in {g for g, _ in sums}:
+        rest = {name: [v for (h, other), v in sums.items() if other == name and h != g] for name in labels}
+        known = [name for name in labels if rest[name]]
+        if known:
+            weights = np.array([np.sum(rest[name], axis=0) for name in known])
+            models[g] = known, weights / np.maximum(np.linalg.norm(weights, axis=1, keepdims=True), 1e-12)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            hit = np.zeros(len(frame), bool)
+            for g, places in frame.groupby("g", sort=False).indices.items():
+                if g in models:
+                    known, weights = models[g]
+                    best = (np.array(frame["v"].iloc[places].tolist()) @ weights.T).argmax(axis=1)
+                    hit[places] = [known[b] == name for b, name in zip(best, frame["l"].iloc[places], strict=True)]
+            yield pd.DataFrame({"g": frame["g"], "l": frame["l"], "hit": hit})
+
+    told = used.mapInPandas(run, StructType([used.schema["g"], used.schema["l"], StructField("hit", BooleanType())]))
+    by_label = told.groupBy("g", "l").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("hit"), 1)).alias("hits"))
+    return by_label.groupBy(F.col("g").alias(group)).agg(F.sum("n").alias("rows"), F.sum("hits").alias("hits"), F.avg(F.col("hits") / F.col("n")).alias("recall"))
+
+
 def left_out_logistic(rows: DataFrame, group: str, label: str, features: Sequence[str], penalty: float, steps: int = 30, most_groups: int = 100) -> DataFrame:
     """For each group the logistic model (w: intercept, then one weight a feature) of all other groups' rows, label 0 or 1,
     both classes of equal weight, features' weights penalised by penalty / 2 times their squares. Newton steps for all models

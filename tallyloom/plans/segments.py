@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators import fold, ml, segments, temporal
+from tallyloom.operators import fixpoint, fold, ml, runs, samples, segments, temporal
 from tallyloom.sources import reports
 from tallyloom.sources.tables import table
 
@@ -147,3 +147,85 @@ def added_if_free(spark: SparkSession, sf_dir: str) -> DataFrame:
 def starts_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated starts of one kind fold into the first of them for two days from that first one; the surest reading is named."""
     return fold.fused(events(spark, sf_dir), ["user_id", "event_type"], "t", "event_id", "value", 2 * DAY, "user_id long, event_type string")
+
+
+@query("""
+    WITH x AS (SELECT vec_id, vec_id % 5 AS fold, label, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) r(i) WHERE label IS NOT NULL),
+    l AS (SELECT vec_id, greatest(sqrt(sum(v * v)), 1e-12) AS len FROM x GROUP BY 1),
+    u AS (SELECT vec_id, fold, label, i, v / len AS v FROM x JOIN l USING (vec_id)),
+    s AS (SELECT fold, label, i, sum(v) AS v FROM u GROUP BY 1, 2, 3),
+    o AS (SELECT f.fold, s.label, s.i, sum(s.v) AS v FROM s JOIN (SELECT DISTINCT fold FROM u) f ON f.fold <> s.fold GROUP BY 1, 2, 3),
+    n AS (SELECT fold, label, greatest(sqrt(sum(v * v)), 1e-12) AS len FROM o GROUP BY 1, 2),
+    c AS (SELECT u.vec_id, u.fold, u.label, o.label AS guess, sum(u.v * o.v / len) AS s FROM u JOIN o ON o.fold = u.fold AND o.i = u.i JOIN n ON n.fold = o.fold AND n.label = o.label GROUP BY 1, 2, 3, 4),
+    p AS (SELECT vec_id, fold, label, arg_max(guess, (s, -guess)) AS guess FROM c GROUP BY 1, 2, 3),
+    b AS (SELECT fold, label, count(*) AS n, count(*) FILTER (guess = label) AS hits FROM p GROUP BY 1, 2)
+    SELECT fold, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(hits) AS BIGINT) AS hits, avg(hits / CAST(n AS DOUBLE)) AS recall FROM b GROUP BY 1
+""")
+def left_out_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of prototypes fitted without the fold that they predict, for five folds."""
+    return ml.left_out_recall(table(spark, sf_dir, "embeddings").withColumn("fold", F.col("vec_id") % 5), "fold", "label", "embedding")
+
+
+MODES = f"""
+    WITH {E}, l AS (SELECT user_id, event_id, t, CASE WHEN value > 60 THEN event_type END AS label, CASE WHEN t - lag(t) OVER w <= 86400000000 THEN 0 ELSE 1 END AS new, row_number() OVER w AS i FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY i) AS run FROM l),
+    d AS (SELECT *, last_value(label IGNORE NULLS) OVER a AS before, i - max(CASE WHEN label IS NOT NULL THEN i END) OVER a AS db,
+        first_value(label IGNORE NULLS) OVER z AS after, min(CASE WHEN label IS NOT NULL THEN i END) OVER z - i AS da FROM s
+        WINDOW a AS (PARTITION BY user_id, run ORDER BY i), z AS (PARTITION BY user_id, run ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    m AS (SELECT event_id, CASE WHEN da IS NULL OR db <= da THEN before ELSE after END AS offline, before AS forward_only, CASE WHEN before = after THEN before END AS bracketed FROM d)
+"""
+
+
+def three_runs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Unknown labels of day-long chains filled offline (from both sides), forwards only, and where both sides agree."""
+    from .mechanisms import near_label
+
+    rows = events(spark, sf_dir).select("user_id", "event_id", "t", F.when(F.col("value") > 60, F.col("event_type")).alias("label"))
+    settled = lambda rows, order, both: fixpoint.to_fixpoint(rows, ["user_id"], order, ["label"], [near_label], 1000, both).rows.select("user_id", "event_id", "t", "label")
+    forwards = settled(rows, ["t", "event_id"], False)
+    backwards = settled(rows.withColumn("__back", -F.col("t")).withColumn("__tie", -F.col("event_id")), ["__back", "__tie"], False).select("event_id", F.col("label").alias("after"))
+    agreed = forwards.join(backwards, "event_id").select("event_id", F.when(F.col("label") == F.col("after"), F.col("label")).alias("label"))
+    return {"offline": settled(rows, ["t", "event_id"], True), "forward_only": forwards, "bracketed": agreed}
+
+
+@query(f"{MODES} SELECT event_id, offline, forward_only, bracketed FROM m WHERE offline IS DISTINCT FROM forward_only OR offline IS DISTINCT FROM bracketed")
+def mode_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events on whose label the three modes don't agree."""
+    return runs.run_differences(three_runs(spark, sf_dir), [], "event_id", "label")
+
+
+@query(f"""
+    {MODES}, w AS (SELECT 'offline' AS mode, offline AS v FROM m UNION ALL SELECT 'forward_only', forward_only FROM m UNION ALL SELECT 'bracketed', bracketed FROM m), c AS (SELECT mode, v, count(*) AS n FROM w GROUP BY 1, 2)
+    SELECT mode, CAST(sum(n) AS BIGINT) AS samples, CAST(coalesce(sum(n) FILTER (v IS NOT NULL), 0) AS BIGINT) AS known, string_agg(v || ':' || n, ',' ORDER BY v) AS states FROM c GROUP BY 1
+""")
+def mode_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each mode knows, and its states."""
+    found = runs.run_coverage(three_runs(spark, sf_dir), [], "event_id", "label")
+    return found.withColumn("states", F.array_join(F.transform("states", lambda s: F.concat_ws(":", s["value"], s["n"].cast("string"))), ","))
+
+
+def displayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as samples of a display, five seconds apart."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id"))
+    rows = kinded(spark, sf_dir).withColumn("n", n)
+    k, kind = F.col("k"), F.col("event_type")
+    columns = {
+        "t": F.col("n") * 5.0, "round": F.when(k < 95, F.floor(F.col("n") / 9)), "ordinal": F.when(k < 95, F.floor(F.col("n") / 9)), "role": F.lit("duelist"), "side": F.when(k % 5 == 0, "defense").when(k % 5 < 3, "attack"),
+        "own": k % 4 > 0, "hud": k % 7 > 0, "timer": F.when(kind == "view", k + 1.0), "ally": F.when(kind != "error", k % 6).cast("int"), "enemy": F.when(kind != "error", F.floor(k / 10) % 6).cast("int"), "planted": F.when(k % 3 == 0, kind == "purchase"),
+        "carried": k % 11 == 0, "charges": F.array(*[F.least(F.lit(1.0), F.col("value") / d) for d in (20, 50, 90, 120)]), "feed": kind == "click", "kills": F.when((kind == "click") & (k % 2 == 0), F.array(F.struct((k % 4 == 0).alias("own_victim"), (k % 6 == 0).alias("own_killer")))), "death": (kind == "error") & (k > 80),
+    }
+    return rows.select("user_id", *[c.alias(name) for name, c in columns.items()])
+
+
+@query()
+def display_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preparation, combat and end of each round of the display's samples, with what each was taken from."""
+    return samples.round_phases(displayed(spark, sf_dir), ["user_id"], samples.PhaseRules())
+
+
+@query()
+def sample_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fourteen facts and the events of each of the display's samples."""
+    rows = displayed(spark, sf_dir)
+    found = samples.sample_facts(rows, samples.round_phases(rows, ["user_id"], samples.PhaseRules()), ["user_id"], samples.SampleRules())
+    return found.withColumn("events", F.array_join("events", ","))
