@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def contains_folded(text: Column, keyword: str) -> Column:
@@ -37,15 +42,35 @@ def html_escape(text: Column) -> Column:
     return text
 
 
+def _folded(parts: Iterator[pd.Series], change: Callable[[str], str]) -> Iterator[pd.Series]:
+    for texts in parts:
+        yield pd.Series([None if not isinstance(x, str) else change(x) for x in texts], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def _name_folded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    yield from _folded(parts, lambda x: "".join(c for c in unicodedata.normalize("NFKC", x).casefold() if c.isalnum()))
+
+
+@F.pandas_udf(StringType())
+def _case_folded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    yield from _folded(parts, str.casefold)
+
+
+def _beyond_ascii(text: Column, python: Callable[[Column], Column], ascii_only: Column) -> Column:
+    """Spark has no NFKC and no full case folding: texts with characters beyond ASCII go through Arrow to Python, the others stay in the JVM."""
+    beyond = text.rlike(r"[^\x00-\x7F]")
+    return F.when(beyond, python(F.when(beyond, text))).otherwise(ascii_only)
+
+
 def name_key(text: Column) -> Column:
-    """Small letters and digits of any script only, full-width forms of ASCII as ASCII."""
-    wide, plain = ("".join(chr(c + by) for c in range(0x21, 0x7F)) for by in (0xFEE0, 0))
-    return F.regexp_replace(F.lower(F.translate(text, wide, plain)), r"[^\p{L}\p{N}]", "")
+    """Letters and digits of any script only, in compatibility form (NFKC: full width, half width, ligatures) and with case folded."""
+    return _beyond_ascii(text, _name_folded, F.regexp_replace(F.lower(text), "[^0-9a-z]", ""))
 
 
 def label_key(text: Column) -> Column:
-    """Small letters, runs of blanks as one, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
+    """Case folded, runs of blanks as one, none at the ends."""
+    return F.trim(F.regexp_replace(_beyond_ascii(text, _case_folded, F.lower(text)), r"[\x20\x09-\x0D]+", " "))
 
 
 def basename(path: Column) -> Column:

@@ -85,3 +85,15 @@ def test_documents_escape_what_comes_from_rows(spark: SparkSession, tmp_path: Pa
     assert note == "# Match m<1>\n\n| i | text | v |\n| --- | --- | --- |\n| 1 | <i>&\"' | 0.5 |\n| 2 | a\\|b c |  |\n"
     reports.write_documents(reports.html_reports(rows.filter("i = 1").withColumn("m", F.lit("x")), "m", ["i"], ["i"], "Match"), "m", "html", str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first().value.endswith("<td>1</td></tr></tbody></table></body></html>")
+
+
+def test_names_in_compatibility_form_and_labels_with_case_folded(spark: SparkSession) -> None:
+    import unicodedata
+
+    texts = ["Plain Name-1", "ＦＵＬＬ　Ｗｉｄｔｈ！", "ｶﾀｶﾅ", "ﬁne Straße", "Ⅳ ①", "  Ä  b\tC ", "", None, "ΣΑΣ", "ñ_ñ"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    got = {r.i: (r.n, r.k) for r in df.select("i", T.name_key(F.col("t")).alias("n"), T.label_key(F.col("t")).alias("k")).collect()}
+    blanks = lambda x: " ".join(p for p in x.casefold().replace("\t", " ").split(" ") if p)
+    for i, t in enumerate(texts):
+        want = (None, None) if t is None else ("".join(c for c in unicodedata.normalize("NFKC", t).casefold() if c.isalnum()), blanks(t))
+        assert got[i] == want, t
