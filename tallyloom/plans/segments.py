@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators import fixpoint, fold, ml, runs, samples, segments, temporal
+from tallyloom.operators import boundaries, fixpoint, fold, ml, runs, samples, segments, temporal
 from tallyloom.sources import reports
 from tallyloom.sources.tables import table
 
@@ -229,3 +229,36 @@ def sample_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = displayed(spark, sf_dir)
     found = samples.sample_facts(rows, samples.round_phases(rows, ["user_id"], samples.PhaseRules()), ["user_id"], samples.SampleRules())
     return found.withColumn("events", F.array_join("events", ","))
+
+
+def half_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each user's half days as seconds of a display, steps from one to the next as transitions, stretches of twenty as rounds."""
+    k = F.col("x.k")
+    kind = F.col("x.event_type")
+    slot = F.floor(F.col("t") / (DAY // 2)) - 39_446
+    each = kinded(spark, sf_dir).groupBy("user_id", slot.alias("second")).agg(F.min_by(F.struct("event_type", "k", "event_id"), F.struct("t", "event_id")).alias("x"))
+    value = F.when(kind == "signup", "BUY").when(kind == "purchase", "ENDED").when(kind == "error", "UNKNOWN").otherwise("ACTIVE")
+    status = F.when(kind == "error", "UNKNOWN").when(k % 5 == 0, "INFERRED").otherwise("OBSERVED")
+    seconds = each.select("user_id", "second", value.alias("value"), status.alias("status"), F.when(k < 80, F.floor(F.col("second") / 20)).alias("number"), F.col("x.event_id").alias("id"))
+    order = Window.partitionBy("user_id").orderBy("second")
+    steps = seconds.withColumns({"before": F.lag("value").over(order), "lower": F.lag("second").over(order).cast("double")}).filter("before <> value AND id % 3 > 0")
+    turn = F.when((F.col("before") == "BUY") & (F.col("value") == "ACTIVE"), "round_start").when(F.col("value") == "ENDED", "round_end")
+    transitions = steps.select("user_id", "id", turn.alias("kind"), "lower", F.col("second").cast("double").alias("upper"), "before", F.col("value").alias("after"), F.lit(None).cast("array<bigint>").alias("membership")).filter("kind IS NOT NULL")
+    n = F.floor(F.col("second") / 20)
+    rounds = seconds.select("user_id", n.alias("number")).distinct().select("user_id", "number", (F.col("number") * 20).alias("low"), (F.col("number") * 20 + 19).alias("high"), (F.col("number") * 20).alias("first"), (F.col("number") * 20 + 12).alias("last"))
+    return seconds.drop("id"), transitions, rounds
+
+
+@query()
+def promoted_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts and ends of rounds that pass every gate, or follow from two observed states, or why there is none."""
+    parts = half_days(spark, sf_dir)
+    start = boundaries.promoted(*parts, ["user_id"], boundaries.Gates("round_start", "BUY", "ACTIVE", 4.0, 3, 2.0, 2))
+    end = boundaries.promoted(*parts, ["user_id"], boundaries.Gates("round_end", "ACTIVE", "ENDED", 4.0, 3, 2.0, None))
+    return start.withColumn("kind", F.lit("round_start")).unionByName(end.withColumn("kind", F.lit("round_end")))
+
+
+@query()
+def judged_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate start with the first gate that it fails."""
+    return boundaries.judged_candidates(*half_days(spark, sf_dir), ["user_id"], boundaries.Gates("round_start", "BUY", "ACTIVE", 4.0, 3, 2.0, 2))
