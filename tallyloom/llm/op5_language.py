@@ -3,9 +3,9 @@
 Training counts, over all documents with a language outside the held-out fold, how often each character trigram stands in
 the words of each language (trigrams hashed into BUCKETS, summed in Spark). A word's likelihood in a language is the product
 of its smoothed trigram probabilities. Each document is a mixture of languages: expectation-maximisation over its words
-estimates the proportions, starting from all languages alike. Languages below MIN_SHARE leave; for documents with more than
-one left, sets are compared by penalised likelihood, log likelihood - PENALTY / 2 * (languages - 1) * ln(words), from the
-full set down, each time without the smallest proportion. The predicted language has the largest proportion, which is the
+estimates the proportions, starting from all languages alike. Sets are compared by penalised likelihood, log likelihood -
+PENALTY / 2 * (languages - 1) * ln(words), from the full set down to one language, each time without the smallest proportion: no language leaves
+before the likelihood has seen it. The predicted language has the largest proportion, which is the
 score.
 
 Defined results: `und` with score 0 if a text is null, empty or without letters, or if nothing could be learned; texts of any
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, fold
 
 BUCKETS, CONTEXTS, SMOOTH = 1 << 17, 1 << 15, 0.05
-MIN_SHARE, PENALTY, ROUNDS = 0.02, 4.0, 8
+PENALTY, ROUNDS = 4.0, 8
 SLICE = 2 << 20
 
 _letters: np.ndarray | None = None
@@ -119,13 +119,11 @@ def mixtures(logp: np.ndarray, begins: np.ndarray) -> np.ndarray:
     p = np.exp(np.maximum(logp - top, -60.0).astype(np.float64))
     n = np.diff(np.append(begins, len(p)))
     doc = np.repeat(np.arange(len(begins)), n)
-    best, _ = em(p, begins, doc, np.ones((len(begins), p.shape[1])), ROUNDS)
-    best = np.where(best >= np.minimum(MIN_SHARE, best.max(axis=1, keepdims=True)), best, 0.0)
-    best /= best.sum(axis=1, keepdims=True)
-    left = np.flatnonzero((best > 0).sum(axis=1) > 1)
-    allowed = best > 0
+    best = np.zeros((len(begins), p.shape[1]))
+    allowed = np.ones(best.shape, bool)
     value = np.full(len(begins), -np.inf)
-    while len(left):  # documents with several languages: the set and then ever smaller ones
+    left = np.arange(len(begins))
+    while len(left):  # the whole set and then ever smaller ones
         words = np.flatnonzero(np.isin(doc, left))
         starts = np.cumsum(n[left]) - n[left]
         share, like = em(p[words], starts, np.repeat(np.arange(len(left)), n[left]), allowed[left].astype(np.float64), ROUNDS)
@@ -133,7 +131,7 @@ def mixtures(logp: np.ndarray, begins: np.ndarray) -> np.ndarray:
         penalised = like - PENALTY / 2 * (k - 1) * np.log(np.maximum(n[left], 2))
         wins = penalised > value[left]
         best[left[wins]], value[left[wins]] = share[wins], penalised[wins]
-        smallest = np.argmin(np.where(allowed[left], share, np.inf), axis=1)
+        smallest = p.shape[1] - 1 - np.argmin(np.where(allowed[left], share, np.inf)[:, ::-1], axis=1)  # of equal ones the last
         allowed[left, smallest] = False
         left = left[k > 1]
     return best
