@@ -30,7 +30,7 @@ def shuffled(spark: SparkSession, rows: list[tuple], schema: str):
     return spark.createDataFrame(rows, schema).repartition(3)
 
 
-def test_window_dedup_against_plain_python(spark: SparkSession) -> None:
+def test_heartbeat_against_plain_python(spark: SparkSession) -> None:
     from tallyloom.operators.fold import grouped_fold, thin
 
     rng = random.Random(3)
