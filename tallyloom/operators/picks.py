@@ -29,7 +29,9 @@ def farthest_first(rows: DataFrame, keys: Sequence[str], ident: str, at: Sequenc
     the smallest ident of the highest priority. Without priority the largest gap left is at most twice the smallest possible."""
     names = [f"__{c}" for c in [*keys, *at]]
     chosen_key, chosen_at = names[: len(keys)], names[len(keys) :]
-    away = lambda: F.sqrt(sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(at, chosen_at, strict=True)), F.lit(0.0)))
+    # Differences are taken in the columns' own type and squared as doubles: the square of an hour in microseconds is no long.
+    gap = lambda a, b: (F.col(a) - F.col(b)).cast("double")
+    away = lambda: F.sqrt(sum((gap(a, b) * gap(a, b) for a, b in zip(at, chosen_at, strict=True)), F.lit(0.0)))
 
     def nearer(left: DataFrame, chosen: DataFrame) -> DataFrame:
         new = chosen.select(*[F.col(c).alias(n) for c, n in zip([*keys, *at], names, strict=True)])

@@ -336,6 +336,14 @@ def test_balanced_picks_equal_plain_python(spark: SparkSession) -> None:
     assert got == {x for k in range(12) for x in plain_balanced([r[1:] for r in rows if r[0] == k], 6, *bounds[k])}
 
 
+def test_balanced_picks_of_times_days_apart(spark: SparkSession) -> None:
+    rng = random.Random(16)
+    rows = [(i, 1_700_000_000_000_000 + i % 2 * 30 * 86_400_000_000 + rng.randrange(86_400_000_000), rng.randrange(2)) for i in range(40)]
+    a, b = min(r[1] for r in rows), max(r[1] for r in rows)
+    df = spark.createDataFrame([(1, *r, a, b) for r in rows], "k long, i long, t long, p int, a long, b long")
+    assert {(r.i, r.place) for r in picks.balanced(df, ["k"], "i", "t", "a", "b", "p", 6).collect()} == plain_balanced(rows, 6, a, b)
+
+
 def test_representatives_equal_plain_python(spark: SparkSession) -> None:
     rng = random.Random(13)
     rows = [(i, float(rng.randrange(60)), rng.choice("uvwx"), rng.choice("ABCDE"), rng.choice(["m", "n"]), sorted(rng.sample(["c1", "c2", "c3", "c4"], rng.randrange(3))), float(rng.randrange(40)), float(rng.randrange(4, 9))) for i in range(60)]
