@@ -280,6 +280,33 @@ def test_unique_nearest_at_its_radius(spark: SparkSession, radius: float, label:
     assert nearest.unique_nearest(points, anchors, "p", radius, 1.0).first().label == label
 
 
+def test_neighbours_of_copies_and_of_dense_anchors(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Copies of points and anchors meet once, and cells shrink with the anchors' density: what meets doesn't grow with their product."""
+    rng = random.Random(21)
+    places = [(round(rng.uniform(0, 8), 2), round(rng.uniform(0, 8), 2)) for _ in range(600)]
+    anchors = [(c * 600 + i, "abc"[i % 3], *p) for c in range(5) for i, p in enumerate(places)]
+    spots = [(rng.uniform(0, 8), rng.uniform(0, 8)) for _ in range(30)] + [(60.0, 3.0), (-0.0, 0.0)]
+    points = [(c * 32 + i, *p) for c in range(4) for i, p in enumerate(spots)]
+    p, a = spark.createDataFrame(points, "p long, x double, y double"), spark.createDataFrame(anchors, "anchor long, label string, ax double, ay double")
+    met, inner = [], nearest._met
+
+    def counted(*args):
+        found, safe = inner(*args)
+        met.append(found.count())
+        return found, safe
+
+    monkeypatch.setattr(nearest, "_met", counted)
+    got = {(r.p, r.rank): (r.anchor, r.distance) for r in nearest.nearest(p, a.drop("label"), "p", 3, 8.0).collect()}
+    labels = {r.p: r.label for r in nearest.unique_nearest(p, a, "p", 6.0, 0.05).collect()}
+    for i, x, y in points:
+        best = sorted(((x - ax) * (x - ax) + (y - ay) * (y - ay), n) for n, _, ax, ay in anchors)[:3]
+        assert [got[i, n + 1] for n in range(3)] == [(b, pytest.approx(math.sqrt(d))) for d, b in best]
+        by_label = sorted((min(math.sqrt((x - ax) ** 2 + (y - ay) ** 2) for _, m, ax, ay in anchors if m == name), name) for name in "abc")
+        assert labels[i] == (by_label[0][1] if by_label[0][0] + 0.05 <= 6 and by_label[1][0] - by_label[0][0] > 0.1 else None)
+    assert None in labels.values() and len(set(labels.values())) > 1
+    assert sum(met) < 32 * 600
+
+
 # --- picks
 
 
