@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -218,54 +220,71 @@ def assigned(rows: DataFrame, keys: Sequence[str], left: str, right: str, score:
     `most` different right values at most (checked); the best sums of all their subsets are worked out for many keys at a time."""
     each = rows.filter(F.col(score).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(left).alias("l"), F.col(right).alias("r"), F.col(score).cast("double").alias("s")))).alias("__pairs"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            shapes: dict[tuple[int, int], list] = {}
-            for at, pairs in enumerate(frame["__pairs"]):
-                ls, rs = sorted({p["l"] for p in pairs}), sorted({p["r"] for p in pairs})
-                if len(rs) > most:
-                    raise ValueError(f"more than {most} values of {right} for one key")
-                shapes.setdefault((len(ls), len(rs)), []).append((at, ls, rs, pairs))
-            out: list[tuple] = []
-            for (n, m), groups in shapes.items():
-                block = max(1, 1_000_000 // (n << m))
-                for b in range(0, len(groups), block):
-                    out += matched(groups[b : b + block], n, m)
-            found = pd.DataFrame(out, columns=["__at", left, right, score])
-            yield pd.concat([frame[list(keys)].iloc[found.pop("__at").astype(int)].reset_index(drop=True), found], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            key = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            pairs = lists.flatten()
+            value = pairs.field(2).to_numpy(zero_copy_only=False)
+            (row, lefts), (column, rights) = (numbered(key, pairs.field(i), batch.num_rows) for i in (0, 1))
+            if rights.max(initial=0) > most:
+                raise ValueError(f"more than {most} values of {right} for one key")
+            shape, of = np.unique(lefts * (most + 1) + rights, return_inverse=True)
+            found = [np.zeros(0, np.int64)]
+            for at, (n, m) in enumerate(zip(shape // (most + 1), shape % (most + 1), strict=True)):
+                own = of == at
+                place = np.cumsum(own) - 1
+                mine = np.flatnonzero(own[key] & ~np.isnan(value))  # by key, then left, right and score
+                block = max(1, 1_000_000 // (int(n) << int(m)))
+                ends = np.searchsorted(place[key[mine]], np.arange(0, own.sum() + block, block))
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    some = mine[a:b]
+                    found.append(matched(row[some], column[some], place[key[some]] % block, value[some], some, n, m))
+            best = np.concatenate(found)
+            own_key = [c.take(pa.array(key[best])) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*own_key, *[pairs.field(i).take(pa.array(best)) for i in range(3)]], names=[*keys, left, right, score])
 
     fields = [rows.schema[c] for c in (*keys, left, right)] + [StructField(score, DoubleType())]
-    return each.mapInPandas(run, StructType(fields))
+    return each.mapInArrow(run, StructType(fields))
+
+
+def numbered(key: np.ndarray, values: pa.Array, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each value's place (from 0) among its key's different values in order, and how many of them each key has."""
+    coded = values.dictionary_encode(null_encoding="encode")
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+    size = max(1, len(rank))
+    known, at = np.unique(key * size + rank[coded.indices.to_numpy()], return_inverse=True)
+    first = np.searchsorted(known, np.arange(keys + 1) * size)
+    return at - first[key], np.diff(first)
 
 
-def matched(groups: list[tuple], n: int, m: int) -> list[tuple]:
-    """(place, left, right, score) of the best pairs of groups (place, lefts, rights, pairs) with n lefts and m rights each."""
-    scores = np.full((len(groups), n, m), -np.inf)
-    for g, (_, ls, rs, pairs) in enumerate(groups):
-        row, column = {v: i for i, v in enumerate(ls)}, {v: i for i, v in enumerate(rs)}
-        for p in pairs:
-            i, j = row[p["l"]], column[p["r"]]
-            scores[g, i, j] = max(scores[g, i, j], p["s"])
+def matched(row: np.ndarray, column: np.ndarray, group: np.ndarray, value: np.ndarray, ident: np.ndarray, n: int, m: int) -> np.ndarray:
+    """The idents of the best pairs of each group of n lefts (row) and m rights (column); of a pair's values the last counts."""
+    groups = int(group.max(initial=-1)) + 1
+    scores, named = np.full((n, m, groups), -np.inf), np.zeros((n, m, groups), np.int64)
+    scores[row, column, group], named[row, column, group] = value, ident
     masks = np.arange(1 << m)
-    best = np.zeros((len(groups), 1 << m))  # of the lefts from i on, with the rights of the mask left
-    taken = np.full((n, len(groups), 1 << m), -1, np.int8)
+    used = m - np.bitwise_count(masks).astype(int)
+    best = np.zeros((1 << m, groups))  # of the lefts from i on, with the rights of the mask left
+    taken = np.full((n, 1 << m, groups), -1, np.int8)
     for i in reversed(range(n)):
         rest = best
         best = rest.copy()
         for j in reversed(range(m)):
-            free = masks[masks >> j & 1 == 1]
-            with_j = rest[:, free ^ (1 << j)] + scores[:, i, j, None]
-            better = with_j >= best[:, free]
-            best[:, free] = np.where(better, with_j, best[:, free])
-            taken[i][:, free] = np.where(better, j, taken[i][:, free])
+            free = masks[(masks >> j & 1 == 1) & (used <= i)]  # i lefts have taken i rights at most
+            with_j, without = rest[free ^ (1 << j)] + scores[i, j], best[free]
+            better = with_j >= without
+            best[free] = np.where(better, with_j, without)
+            taken[i, free] = np.where(better, np.int8(j), taken[i, free])
+    mask = np.full(groups, (1 << m) - 1)
     out = []
-    for g, (at, ls, rs, _) in enumerate(groups):
-        mask = (1 << m) - 1
-        for i in range(n):
-            if (j := int(taken[i, g, mask])) >= 0:
-                out.append((at, ls[i], rs[j], float(scores[g, i, j])))
-                mask ^= 1 << j
-    return out
+    for i in range(n):
+        j = taken[i, mask, np.arange(groups)]
+        who = np.flatnonzero(j >= 0)
+        out.append(named[i, j[who], who])
+        mask[who] ^= 1 << j[who].astype(np.int64)
+    return np.concatenate(out)
 
 
 def projected(rows: DataFrame, ident: str, vector: str, k: int, whiten: bool = False) -> DataFrame:

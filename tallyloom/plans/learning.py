@@ -95,14 +95,17 @@ def left_out_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).alias("grp"), (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"))
     models = ml.left_out_logistic(rows, "grp", "y", ["a", "b"], penalty=1.0)
     z = F.element_at("w", 1) + F.element_at("w", 2) * F.col("a") + F.element_at("w", 3) * F.col("b")
-    scored = rows.join(models, "grp").withColumn("said", (z >= 0).cast("int"))
-    return scored.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(F.col("said") == F.col("y")).alias("hits"), F.first("w").alias("w"))
+    # A model a group, 100 at most: rows stay where they are, and weights don't go through their aggregate.
+    scored = rows.join(F.broadcast(models), "grp").withColumn("said", (z >= 0).cast("int"))
+    counts = scored.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(F.col("said") == F.col("y")).alias("hits"))
+    return counts.join(F.broadcast(models), "grp").select("grp", "n", "hits", "w")
 
 
 @query()
 def frame_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's lines matched one to one with the slots that fit them best in sum."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    # Dealt by order before lines meet slots: the pairs, seven times the lines, are not shuffled.
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
     slots = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("slot")
     return ml.assigned(lines.select("l_orderkey", "l_linenumber", "part", slots).withColumn("score", (F.col("part") * (F.col("slot") + 1) % 97).cast("double")), ["l_orderkey"], "l_linenumber", "slot", "score")
 

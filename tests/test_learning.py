@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
+from tallyloom import plans
 from tallyloom.operators import ml
 
 
@@ -56,6 +57,22 @@ def test_assignment_against_all_permutations(spark: SparkSession) -> None:
         assert sum(r.s for r in got if r.k == k) == best
 
 
+def test_assignment_of_text_nulls_and_repeated_pairs(spark: SparkSession) -> None:
+    rows = [("k", "b", 20, 1.0), ("k", "b", 20, 5.0), ("k", "a", 20, 4.0), ("k", "a", 3, 4.0), ("k", "c", 3, -1.0), ("k", "c", 20, None), (None, "a", 3, 0.0), ("n", "a", 3, float("nan"))]
+    got = ml.assigned(spark.createDataFrame(rows, "k string, i string, j int, s double"), ["k"], "i", "j", "s").collect()
+    assert {tuple(r) for r in got} == {("k", "a", 3, 4.0), ("k", "b", 20, 5.0), (None, "a", 3, 0.0)}
+
+
+def test_orders_lines_are_shuffled_once_and_before_their_slots(spark: SparkSession) -> None:
+    plan = plans.QUERIES["frame_assignment"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
+
+
+def test_models_of_groups_are_not_sorted_with_their_rows(spark: SparkSession) -> None:
+    plan = plans.QUERIES["left_out_logistic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_assignment_of_too_many_is_refused(spark: SparkSession) -> None:
     df = spark.createDataFrame([(0, 0, j, 1.0) for j in range(5)], "k long, i long, j long, s double")
     with pytest.raises(Exception, match="more than 4"):
