@@ -1,7 +1,8 @@
 """Local rules repeated in both directions until nothing changes.
 
 A rule looks at a row and its neighbours and gives new values. Each round applies the rules forwards, then backwards; keys without
-a change in a round are done and leave, so that a round costs what still moves. Every round is written to the shared folder.
+a change in a round are done and leave, so that what is left costs. One job works several rounds, twice as many as the one before
+up to SPAN, over rows that are dealt once; its result is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ from pyspark.sql import functions as F
 
 from tallyloom.sources.tables import cut
 
+#: Rounds that one job works at most.
+SPAN = 8
+
 #: new values by column, from the window over a key's rows in the direction of the pass; `lag` is the neighbour behind.
 Rule = Callable[[WindowSpec], dict[str, Column]]
 
 
 @dataclass(frozen=True)
 class Settled:
-    """rows: all rows with their final values; sizes: rows that each round worked on; done: whether all keys came to rest."""
+    """rows: all rows with their final values; sizes: rows that each job worked on; done: whether all keys came to rest."""
 
     rows: DataFrame
     sizes: list[int]
@@ -34,15 +38,21 @@ def to_fixpoint(rows: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     whole = Window.partitionBy(*keys)
     before = [f"__{v}" for v in values]
     left, resting, sizes = cut(rows), [], []
-    for _ in range(most):
+    worked, span = 0, 1
+    while worked < most:
         n = left.count()
         if not n:
             break
         sizes.append(n)
-        now = left.withColumns({b: F.col(v) for b, v in zip(before, values, strict=True)})
-        for window in (forwards, backwards) if both else (forwards,):
-            for rule in rules:
-                now = now.withColumns(rule(window))
+        span = min(span, most - worked)
+        now = left
+        for last in [False] * (span - 1) + [True]:
+            if last:  # a key that the last round leaves as it is stays so
+                now = now.withColumns({b: F.col(v) for b, v in zip(before, values, strict=True)})
+            for window in (forwards, backwards) if both else (forwards,):
+                for rule in rules:
+                    now = now.withColumns(rule(window))
+        worked, span = worked + span, min(2 * span, SPAN)
         moved = F.lit(False)
         for b, v in zip(before, values, strict=True):
             moved = moved | ~F.col(b).eqNullSafe(F.col(v))

@@ -191,6 +191,12 @@ def test_fixpoint_equals_a_plain_loop_and_shrinks(spark: SparkSession) -> None:
     assert not short.done and short.rows.count() == 9 and short.rows.filter("x = 'a'").count() == 4
 
 
+def test_fixpoint_works_many_rounds_in_one_job(spark: SparkSession) -> None:
+    rule = lambda w: {"x": F.coalesce("x", F.lag("x").over(w))}
+    long = fixpoint.to_fixpoint(spark.createDataFrame([(1, 0, "a"), *[(1, i, None) for i in range(1, 30)]], "k long, i long, x string"), ["k"], ["i"], ["x"], [rule], 100, both=False)
+    assert long.done and long.rows.filter("x = 'a'").count() == 30 and len(long.sizes) == 6  # 1, 2, 4, 8, 8 and 8 rounds for 29 and one to see it
+
+
 # --- graphs
 
 
