@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from tallyloom.sources.tables import path_exists
 
-from .transducer import Machine, block_maps, block_starts, dealt, emitted
+from .transducer import Machine, block_maps, block_starts, dealt, emitted, heeded
 
 
 def within(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str = "left_semi") -> DataFrame:
@@ -68,7 +68,7 @@ class RetractingFold:
         spark = arrivals.sparkSession
         block = [*self.keys, "block"]
         width = len(self.columns)
-        fresh = self._write(dealt(arrivals, self.keys, self.time, self.tie, self.columns, self.every), "rows", batch)
+        fresh = self._write(dealt(heeded(arrivals, self.columns, self.machine), self.keys, self.time, self.tie, self.columns, self.every), "rows", batch)
         earlier = self._stored(spark, "rows", batch, StructType(list(fresh.schema.fields)))
         rows = fresh if earlier is None else earlier.drop("batch").unionByName(fresh)
         touched = fresh.select(*block).distinct()

@@ -119,11 +119,13 @@ Step = Callable[[Registers, tuple, Ask], tuple[Registers, list[tuple]]]
 @dataclass(frozen=True)
 class Machine:
     """start: registers before the first row. step: (registers, row, ask) to (registers, output rows). finish: output rows of what is
-    open after a key's last row. Registers hold None, booleans, numbers and text."""
+    open after a key's last row. Registers hold None, booleans, numbers and text. heeds: a column's place and the values of it that the step
+    looks at; rows with others neither move registers nor give output, and a key of such rows alone gives none."""
 
     start: Registers
     step: Step
     finish: Callable[[Registers], list[tuple]] = lambda registers: []
+    heeds: tuple[int, tuple] | None = None
 
 
 class Cases:
@@ -215,6 +217,11 @@ def dealt(rows: DataFrame, keys: Sequence[str], time: str, tie: str, columns: Se
     return rows.select(*keys, F.floor(F.col(time) / every).cast("long").alias("block"), F.col(time).alias("at"), F.col(tie).alias("tie"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
 
 
+def heeded(rows: DataFrame, columns: Sequence[str], machine: Machine) -> DataFrame:
+    """rows without those that the machine passes over."""
+    return rows.filter(F.col(columns[machine.heeds[0]]).isin(*machine.heeds[1])) if machine.heeds else rows
+
+
 def grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, tuple | None]]:
     """(first `width` values, the others) of every row, and (them, None) after a group's last row."""
     key = None
@@ -301,7 +308,7 @@ def emitted(blocks: DataFrame, starts: DataFrame, keys: Sequence[str], columns:
 def blocked_fold(rows: DataFrame, keys: Sequence[str], time: str, tie: str, columns: Sequence[str], machine: Machine, every: int, schema: str) -> DataFrame:
     """The output of a machine over every key's rows in order: keys, then what the machine gives (schema). Equal to a fold of the key
     in one task; here each `every` units of time of a key are a task's work."""
-    blocks = dealt(rows, keys, time, tie, columns, every)
+    blocks = dealt(heeded(rows, columns, machine), keys, time, tie, columns, every)
     starts = block_starts(block_maps(blocks, keys, len(columns), machine), keys, machine)
     return emitted(blocks, starts, keys, len(columns), machine, schema).drop("block")
 
@@ -323,7 +330,7 @@ def latch(starts: str, ends: str, confirm: int) -> Machine:
             return (0, None), [(first, time)] if ask.equal(seen, confirm) else []
         return (seen, first), []
 
-    return Machine((0, None), step, lambda r: [(r[1], None)] if r[0] == confirm else [])
+    return Machine((0, None), step, lambda r: [(r[1], None)] if r[0] == confirm else [], (1, (starts, ends)) if confirm else None)
 
 
 def debounce(hold: int) -> Machine:

@@ -70,6 +70,17 @@ def test_late_row_touches_only_blocks_whose_beginning_changes(spark: SparkSessio
     assert Counter(map(tuple, fold.result(spark).collect())) == plain_latch([*rows, ("k", 52, 1000, "b")])
 
 
+def test_rows_that_a_machine_passes_over_are_not_folded(spark: SparkSession, tmp_path: Path) -> None:
+    rows = [("k", t, t, kind) for t, kind in enumerate("xaxxaxbxxaax")] + [("other", 3, 50, "x"), (None, 4, 51, "b")]
+    fold = retracting(tmp_path / "store")
+    fold.arrive(spark.createDataFrame(rows, "k string, t long, i long, kind string"), 0)
+    assert Counter(map(tuple, fold.result(spark).collect())) == plain_latch(rows)
+    assert {r.c1 for r in spark.read.parquet(str(tmp_path / "store/rows")).collect()} == {"a", "b"}
+    never = retract.RetractingFold(str(tmp_path / "never"), ["k"], "t", "i", ["t", "kind"], transducer.latch("a", "b", 0), 10, "start long, end long")
+    never.arrive(spark.createDataFrame(rows[-2:-1], "k string, t long, i long, kind string"), 0)
+    assert [tuple(r) for r in never.result(spark).collect()] == [("other", None, None)]
+
+
 # --- timers
 
 
