@@ -8,7 +8,7 @@ after it (small letters, digits as 0). Patterns with SUPPORT distinct seed words
 (in a large corpus any common context holds a few by chance), are looked up in all texts; the words that stand in them, of any form, and the patterns are a graph, which Spark scores SCORINGS times. A pattern's score for a
 kind is the sum of its words' scores over their number, where words of the kind and plain words (letters in one case, short
 numbers) count whole and words of an odd form that are not known yet count UNKNOWN; only patterns with SUPPORT words of the kind
-and a score of CONFIDENT count on. A word's score is one minus the product of (1 - score) over such patterns (seeds keep 1).
+and a score of CONFIDENT count on; the many that hold too many plain words for that are told by an exact bound before all their words are gathered (`hopeful`). A word's score is one minus the product of (1 - score) over such patterns (seeds keep 1).
 Words of ACCEPT or more (plain words: PLAIN) are taken if SHARE of all their occurrences stand in such patterns. Their other
 contexts induce new patterns, and so on for ROUNDS rounds. In the end every occurrence of a taken word outside the base spans
 is a span of its kind. Instances found this way are single words of MIN_LENGTH or more, without signs at their ends.
@@ -32,6 +32,8 @@ ROUNDS, SCORINGS, SUPPORT, LIFT = 2, 3, 5, 5.0
 CONFIDENT, UNKNOWN, ACCEPT, PLAIN, SHARE, MIN_LENGTH = 0.8, 0.25, 0.8, 0.95, 0.5, 5
 #: Bits that mark wanted words.
 BITS = 1 << 16
+#: One row in so many shows which patterns hold too many plain words to be confident.
+PART = 8
 #: Matches of one text that are placed in one go.
 PIECE = 256
 
@@ -43,6 +45,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Words that are nothing odd; signs that are no part of an identifier at its ends.
+PLAIN_WORD = r"^(?:\p{L}[\p{Ll}'’-]*|\p{Lu}{1,5})$"
 COMMON = r"^(?:\p{L}[\p{Ll}'’-]*|\p{Lu}{1,5}|[0-9]{1,4})$"
 SIGNS = ".,;:!?()[]{}<>\"'`*_-/|=&"
 
@@ -191,11 +194,70 @@ def supported(instances: DataFrame, slim: DataFrame, text: Column) -> DataFrame:
     return known.filter(F.col("n") >= LIFT * chance).select("key", "kind")
 
 
-def scored(edges: DataFrame, seeds: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Strong patterns (key, kind, p) and scores of words (word, kind, score) of a graph of distinct edges (key, word, common)."""
+def standing(places: DataFrame, keys: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """Distinct edges (key, word, common) of places (row, pos, word, keys) in the patterns `keys`. seeds: None for places where no base span begins."""
+    stands = places.select("row", "pos", "word", F.explode("keys").alias("key")).join(keys, "key")
+    # A base span stands as itself, whatever word it begins in.
+    if seeds is not None:
+        stands = stands.join(seeds.select("row", "pos", F.col("word").alias("span")), ["row", "pos"], "left").select("key", F.coalesce("span", "word").alias("word"))
+    return stands.select("key", "word").filter(F.col("word") != "").distinct().withColumn("common", F.col("word").rlike(COMMON))
+
+
+def hopeful(shown: DataFrame, touched: DataFrame | None) -> DataFrame:
+    """Patterns (key) that may be strong. shown: edges with all words of an odd form and some of the common ones; touched: all edges of common words that
+    have a score (None: no common word has one). A pattern's score is at most the share that words with a score could have among the words that count
+    whole: its odd words and its touched ones beside its other common words, of which there are those shown or more."""
+    rows = shown.select("key", "word", "common", F.lit(False).alias("known"))
+    if touched is not None:
+        rows = rows.unionByName(touched.select("key", "word", F.lit(True).alias("common"), F.lit(True).alias("known")))
+        rows = rows.groupBy("key", "word").agg(F.max("common").alias("common"), F.max("known").alias("known"))
+    plain = F.col("common") & ~F.col("known")
+    counts = rows.groupBy("key").agg(F.count_if(plain).alias("plain"), F.count_if(~plain).alias("others"))
+    return counts.filter((F.col("others") >= SUPPORT) & (F.col("others") >= (CONFIDENT - 1e-9) * (F.col("others") + F.col("plain")))).select("key")
+
+
+class Graph:
+    """The edges of all patterns that may be strong, and what is known of the others."""
+
+    def __init__(self, slim: DataFrame, text: Column, seeds: DataFrame) -> None:
+        self.slim, self.text, self.seeds = slim, text, seeds
+        self.shown: DataFrame | None = None
+        self.edges: DataFrame | None = None
+        self.whole: DataFrame | None = None
+
+    def scored(self, new: DataFrame, name: str) -> tuple[DataFrame, DataFrame] | None:
+        """Strong patterns and scores of words (see `scored`) with the patterns `new` beside the earlier ones; None if no pattern may be strong."""
+        in_part = F.pmod("row", F.lit(PART)) == 0
+        # A base span begins in a word with a digit, an @ or a +: none in a plain one.
+        seen = standing(all_words(self.slim, self.text).filter(in_part | ~F.col("word").rlike(PLAIN_WORD)), new, self.seeds)
+        self.shown = cut(seen if self.shown is None else self.shown.unionByName(seen), f"{name}_shown")
+        touched, out, tries = None, None, 0
+        while True:
+            fit = hopeful(self.shown, touched)
+            fit = cut(fit if self.whole is None else fit.join(self.whole, "key", "left_anti"), f"{name}_fit_{tries}")
+            if not fit.isEmpty():
+                rest = standing(all_words(self.slim, self.text).filter(~in_part & F.col("word").rlike(PLAIN_WORD)), fit, None)
+                more = self.shown.join(fit, "key", "left_semi").unionByName(rest).distinct()
+                self.edges = cut(more if self.edges is None else self.edges.unionByName(more), f"{name}_edges_{tries}")
+                self.whole = fit if self.whole is None else self.whole.unionByName(fit)
+            elif out is not None or self.whole is None:
+                return out
+            strong, scores, met = scored(self.edges, self.seeds, f"{name}_{tries}")
+            out = strong, scores
+            # Common words with a score may lift patterns that were out of the question.
+            met = cut(met.filter(F.col("word").rlike(COMMON)).select("word").distinct(), f"{name}_met_{tries}")
+            others = self.shown.select("key").distinct().join(self.whole, "key", "left_anti")
+            if met.isEmpty():
+                return out
+            touched = cut(all_words(self.slim, self.text).join(met, "word").select("word", F.explode("keys").alias("key")).join(others, "key").select("key", "word").distinct(), f"{name}_touched_{tries}")
+            tries += 1
+
+
+def scored(edges: DataFrame, seeds: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Strong patterns (key, kind, p) and scores of words (word, kind, score) of a graph of distinct edges (key, word, common); words that had a score in any scoring."""
     size = edges.groupBy("key").agg(F.sum(F.when(F.col("common"), 1.0).otherwise(UNKNOWN)).alias("weight"))
     scores = seeds.select("word", "kind").distinct().withColumn("score", F.lit(1.0))
-    known = scores
+    known, met = scores, scores.select("word")
     for k in range(SCORINGS):
         own = F.when(F.col("common"), 0.0).otherwise(1.0 - UNKNOWN)  # a word of the kind counts whole
         total = edges.join(scores, "word").groupBy("key", "kind").agg(F.sum("score").alias("total"), F.sum(own).alias("more"), F.count("*").alias("known")).filter(F.col("known") >= SUPPORT)
@@ -205,13 +267,14 @@ def scored(edges: DataFrame, seeds: DataFrame, name: str) -> tuple[DataFrame, Da
         if strong.isEmpty():
             break
         scores = cut(known.unionByName(found).groupBy("word", "kind").agg(F.max("score").alias("score")), f"{name}_scores_{k}")
-    return strong, scores
+        met = met.unionByName(scores.select("word"))
+    return strong, scores, met
 
 
 def bootstrap(slim: DataFrame, text: Column) -> DataFrame | None:
     """Occurrences of taken words: row, pos, word, kind; None if there are none."""
     seeds = cut(seeds_of(slim, text), "pii_seeds")
-    keys, edges, taken = None, None, None
+    graph, keys, taken = Graph(slim, text, seeds), None, None
     instances = seeds.select("word", "kind", "keys", "pairs")
     for k in range(ROUNDS):
         new = supported(instances, slim, text).select("key").distinct()
@@ -219,13 +282,10 @@ def bootstrap(slim: DataFrame, text: Column) -> DataFrame | None:
         if new.isEmpty():
             break
         keys = new if keys is None else keys.unionByName(new)
-        stands = all_words(slim, text).select("row", "pos", "word", F.explode("keys").alias("key")).join(new, "key")
-        # A base span stands as itself, whatever word it begins in.
-        stands = stands.join(seeds.select("row", "pos", F.col("word").alias("span")), ["row", "pos"], "left").select("key", F.coalesce("span", "word").alias("word"))
-        more = stands.filter(F.col("word") != "").distinct().withColumn("common", F.col("word").rlike(COMMON))
-        edges = more if edges is None else edges.unionByName(more)
-        edges = cut(edges, f"pii_edges_{k}")
-        strong, scores = scored(edges, seeds, f"pii_{k}")
+        found = graph.scored(new, f"pii_{k}")
+        if found is None:
+            break
+        strong, scores = found
         candidates = scores.join(seeds.select("word").distinct(), "word", "left_anti").filter((F.length("word") >= MIN_LENGTH) & (F.col("score") >= F.when(F.col("word").rlike(COMMON), PLAIN).otherwise(ACCEPT)))
         candidates = cut(candidates.groupBy("word").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")), f"pii_candidates_{k}")
         if candidates.isEmpty():
