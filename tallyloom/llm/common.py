@@ -18,6 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that numpy works on at once: arrays of eight bytes a character stay under what malloc keeps for good.
+PIECE = 512 << 10
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -126,7 +129,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of _R and of its inverse, up to n."""
     global _powers
     if _powers is None or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, PIECE)
         base = np.full((2, size), _R, np.uint64)
         base[1] = pow(_R, -1, 1 << 64)
         base[:, 0] = 1

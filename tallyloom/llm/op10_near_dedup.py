@@ -38,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, by_bytes, cut, flat, mix, shingles, words
+from .common import BLANK, PIECE, by_bytes, cut, flat, mix, shingles, words
 
 SIZE, SKETCH, LIST, CHANCE = 5, 32, 48, 1e-8
 #: Shingles of the sets in one block of a large cluster.
 BLOCK = 1_500_000
+#: Postings that are counted at once.
+STEP = 1 << 16
 LEAST = 85
 
 
@@ -98,7 +100,7 @@ def signatures(docs: DataFrame, like: Likeness) -> DataFrame:
     """doc_id, n (size of the set), digest, sketch (its smallest hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 2 << 20):
+        for batch in by_bytes(batches, "text", PIECE):
             n, digest, sketch = [], [], []
             for own in shingle_sets(batch.column("text")):
                 n.append(len(own)), digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest()), sketch.append(like.sketch(own))
@@ -144,7 +146,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Whole sets of the wanted representatives (rep, digest): rep, own (64-bit hashes as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 2 << 20):
+        for batch in by_bytes(batches, "text", PIECE):
             own, rep = [], []
             for r, digest, s in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), shingle_sets(batch.column("text")), strict=True):
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:  # of rows that repeat a doc_id, the one that counts
@@ -188,7 +190,7 @@ class Postings:
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.size = np.fromiter(map(len, sets), np.int64, len(sets))
         values = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), self.size)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)
         order = np.argsort(values, kind="stable")
         self.values, self.owner = values[order], owner[order]
 
@@ -199,8 +201,14 @@ class Postings:
     def overlaps(self, own: np.ndarray) -> np.ndarray:
         """How many values of `own` each set holds."""
         a, b = np.searchsorted(self.values, own, side="left"), np.searchsorted(self.values, own, side="right")
-        n = b - a
-        return np.bincount(self.owner[np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)], minlength=len(self.size))
+        ends = np.cumsum(b - a)
+        total, at, done = np.zeros(len(self.size), np.int64), 0, 0
+        while at < len(own):
+            to = max(at + 1, int(np.searchsorted(ends, done + STEP, side="right")))
+            n = b[at:to] - a[at:to]
+            total += np.bincount(self.owner[np.arange(n.sum()) + np.repeat(a[at:to] - (np.cumsum(n) - n), n)], minlength=len(total))
+            at, done = to, ends[to - 1]
+        return total
 
 
 def walk(reps: np.ndarray, sets: list[np.ndarray], like: Likeness) -> list[tuple[int, int]]:

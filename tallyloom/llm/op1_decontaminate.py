@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIGN, by_bytes, cut, flat, shingles, words
+from .common import PIECE, SIGN, by_bytes, cut, flat, shingles, words
 
 SEED, LEAK = 5, 0.6
 #: Bytes of item text in one broadcast block.
@@ -124,7 +124,7 @@ def seed_hits(docs: DataFrame, items: list[np.ndarray], least: float) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, item, items = shared.value
         table = WordTable(items)
-        for batch in by_bytes(batches, "text", 2 << 20):
+        for batch in by_bytes(batches, "text", PIECE):
             ids = batch.column("doc_id").to_pylist()
             data, offsets = flat(pc.utf8_lower(batch.column("text")))
             h, bounds = words(data, offsets, SIGN)

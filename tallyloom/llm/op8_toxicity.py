@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import by_bytes, flat, fold
+from .common import PIECE, by_bytes, flat, fold
 
 #: Labelled rows that the features are fitted on; toxic groups that a feature needs; score without any feature; threshold.
 SAMPLE, LEAST, BASE, THRESHOLD = 20_000, 5, 0.01, 0.3
@@ -85,7 +85,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", PIECE):
             data, offsets = flat(batch.column("text"))
             edges = np.insert(data, offsets[1:-1], 32) if batch.num_rows > 1 else data
             s = np.concatenate([[0], symbols(edges), [0]])
@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, channel, sample: int = SAMPLE) -> di
     def found(wanted: frozenset[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             decode = Channel(*channel.value)
-            for batch in by_bytes(batches, "text", 2 << 20):
+            for batch in by_bytes(batches, "text", PIECE):
                 out: tuple[list, list, list] = ([], [], [])
                 for (text, restored), toxic in zip(texts(batch, decode), batch.column("toxic").to_pylist(), strict=True):
                     words = set(WORD.findall(text))
@@ -328,7 +328,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, name: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode, scorer = Channel(*channel.value), Scorer(share.value)
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", PIECE):
             score = [scorer.score(text, restored) for text, restored in texts(batch, decode)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score, pa.float64())], names=[*names, name])
 
