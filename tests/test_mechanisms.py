@@ -258,6 +258,74 @@ def test_longest_chain_of_each_component(spark: SparkSession) -> None:
         components.longest_chains(spark.createDataFrame([(1, 2)], "a long, b long"), "a", "b", spark.createDataFrame([(1, 5), (2, 3)], "n long, t long"), "n", "t")
 
 
+def test_components_of_neighbouring_edges_need_no_rounds(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Edges that come together are settled in their task; only what lies across blocks goes through stars."""
+    rng = random.Random(31)
+    edges = [(50 * k + i, 50 * k + i + 1) for k in rng.sample(range(60), 60) for i in range(40)]
+    handed, inner = [], components._starred
+
+    def counted(rows, small):
+        handed.append(rows.count())
+        return inner(rows, small)
+
+    monkeypatch.setattr(components, "_starred", counted)
+    rows = spark.createDataFrame(edges, "a long, b long").coalesce(1)
+    assert {r.node: r.component for r in components.components(rows, "a", "b").collect()} == union_find(edges)
+    assert not handed
+    monkeypatch.setattr(components, "BLOCK", 100)
+    assert {r.node: r.component for r in components.components(rows, "a", "b").collect()} == union_find(edges)
+    assert handed and max(handed) <= 2 * len(edges) // 100
+
+
+def plain_chains(edges: list[tuple], tick: dict) -> dict:
+    """component: nodes with a time, and the longest span, by passes over all edges until nothing changes."""
+    best = dict(tick)
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            if a in tick and b in tick and best[a] < best[b]:
+                best[b], moved = best[a], True
+    want: dict = {}
+    for x, c in union_find(edges).items():
+        if x in tick:
+            n, span = want.get(c, (0, 0))
+            want[c] = (n + 1, max(span, tick[x] - best[x]))
+    return want
+
+
+@pytest.mark.parametrize("block", [7, 1 << 18])
+@pytest.mark.parametrize("name", ["random", "giant", "ties", "texts"])
+def test_longest_chains_across_blocks(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, name: str, block: int) -> None:
+    """Any size of block gives the result of passes over all edges: one component over many blocks, edges within a time, nodes without a time."""
+    monkeypatch.setattr(components, "BLOCK", block)
+    rng = random.Random(name)
+    n = 240
+    tick = {i: rng.randrange(1000 if name != "ties" else 4) for i in range(n)}
+    if name == "giant":
+        way = rng.sample(range(n), n)
+        tick = {x: 5 * i for i, x in enumerate(way)}
+        edges = [*zip(way, way[1:], strict=False), *[(way[i], way[j]) for i, j in (sorted(rng.sample(range(n), 2)) for _ in range(40))]]
+    else:
+        edges = [(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(420 if name == "ties" else 260)) if tick[a] <= tick[b]]
+    edges += rng.sample(edges, 20) + [(900, 3), (3, 901), (902, 903)]
+    rng.shuffle(edges)
+    kind = "long"
+    if name == "texts":
+        kind, edges, tick = "string", [(f"n{a}", f"n{b}") for a, b in edges], {f"n{x}": t for x, t in tick.items()}
+    got = components.longest_chains(spark.createDataFrame([*edges, (None, edges[0][0])], f"a {kind}, b {kind}"), "a", "b", spark.createDataFrame([*tick.items(), ("n902" if kind == "string" else 902, None)], f"n {kind}, t long"), "n", "t")
+    assert {r.component: (r.nodes, r.longest) for r in got.collect()} == plain_chains(edges, tick)
+
+
+def test_longest_chain_along_a_comb_needs_no_rounds(spark: SparkSession) -> None:
+    """Each node of a path has a source of its own, earlier ones on its earlier nodes: a round for each node before, one pass in the order of time now."""
+    n = 60
+    edges = [(i, i + 1) for i in range(n)] + [(1000 + i, i) for i in range(n)]
+    tick = {i: 10_000 + i for i in range(n + 1)} | {1000 + i: i for i in range(n)}
+    got = components.longest_chains(spark.createDataFrame(edges, "a long, b long"), "a", "b", spark.createDataFrame(list(tick.items()), "n long, t long"), "n", "t", most=5)
+    assert [(r.component, r.nodes, r.longest) for r in got.collect()] == [(0, 2 * n + 1, 10_000 + n)]
+
+
 # --- neighbours
 
 
