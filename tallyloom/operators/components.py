@@ -145,7 +145,7 @@ def longest_chains(edges: DataFrame, a: str, b: str, ticks: DataFrame, node: str
 
     A path spans the time from its first node to its last, so a node's longest path begins at its earliest ancestor. A task passes its range of edges once in the
     order of time. Of components that lie across tasks or blocks, each round a node takes the earliest of its predecessors' and of its own earliest
-    ancestor's, where these changed. Nodes without a time are not counted and no path leads through them. Edges that lead
+    ancestor's, where one of the two changed. Nodes without a time are not counted and no path leads through them. Edges that lead
     backwards in time are refused."""
     at = ticks.select(F.col(node).alias("node"), F.col(tick).alias("t")).filter("t is not null")
     steps = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null"))
@@ -182,8 +182,9 @@ def longest_chains(edges: DataFrame, a: str, b: str, ticks: DataFrame, node: str
         for _ in range(most):
             news = changed.select(F.col("node").alias("of"), F.col("first").alias("new"))
             offered = steps.join(news, F.col("a") == F.col("of")).select(F.col("b").alias("node"), "new")
-            jump = open_.join(news, F.col("first.from") == F.col("of")).select("node", "new")
-            best = offered.unionByName(jump).groupBy("node").agg(F.min("new").alias("new"))
+            follow = open_.join(news, F.col("first.from") == F.col("of")).select("node", "new")
+            jump = changed.select("node", F.col("first.from").alias("of")).join(open_.select(F.col("node").alias("of"), F.col("first").alias("new")), "of").select("node", "new")
+            best = offered.unionByName(follow).unionByName(jump).groupBy("node").agg(F.min("new").alias("new"))
             now = cut(open_.join(best, "node", "left").select("node", "t", "component", F.least("first", "new").alias("first"), (F.col("new") < F.col("first")).alias("moved")))
             changed, open_ = now.filter("moved").select("node", "first"), now.drop("moved")
             if changed.isEmpty():

@@ -317,6 +317,15 @@ def test_longest_chains_across_blocks(spark: SparkSession, monkeypatch: pytest.M
     assert {r.component: (r.nodes, r.longest) for r in got.collect()} == plain_chains(edges, tick)
 
 
+def test_one_path_over_many_blocks_needs_few_rounds(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """A block's ancestor is looked up again when it or the block's nodes changed, so that rounds grow with the logarithm of the blocks."""
+    monkeypatch.setattr(components, "BLOCK", 20)
+    way = random.Random(17).sample(range(600), 600)
+    edges = spark.createDataFrame(list(zip(way, way[1:], strict=False)), "a long, b long")
+    got = components.longest_chains(edges, "a", "b", spark.createDataFrame([(x, 5 * i) for i, x in enumerate(way)], "n long, t long"), "n", "t", most=8)
+    assert [tuple(r) for r in got.collect()] == [(0, 600, 5 * 599)]
+
+
 def test_longest_chain_along_a_comb_needs_no_rounds(spark: SparkSession) -> None:
     """Each node of a path has a source of its own, earlier ones on its earlier nodes: a round for each node before, one pass in the order of time now."""
     n = 60
