@@ -1,20 +1,23 @@
 """Exact substring deduplication with suffix arrays.
 
 Every byte goes that a WIDTH-byte string covers which also starts earlier (smaller doc_id, or earlier in the document).
-Whether strings are equal is found by suffix arrays, sorting and binary search over their bytes; hashes only deal the work out.
+Whether strings are equal is found by suffix arrays and sorting over their bytes; hashes only deal the work out.
 
 1. Shards of text. Windows of WIDTH bytes are grouped by their minimizer, the leftmost 32-gram with the smallest hash in the
    window, so equal windows meet wherever they stand; a window whose minimizer stands nowhere else has no equal. Neighbouring
-   windows with one minimizer form a stretch, at most 168 bytes. In each batch of texts (BATCH bytes) the stretches of
-   minimizers that recur in it, with their neighbours in one string, get a suffix array, by Larsson-Sadakane refinement in numpy (7 symbols first, then doubling
-   over groups that are not yet told apart), and common prefixes by Kasai's method, run over all stretches side by side.
-   Windows that share WIDTH bytes are one class; all but its earliest window go. Stretches that keep a window are recorded as
+   windows with one minimizer form a stretch, at most 168 bytes. Texts are dealt out in ranges of hashes of their beginnings,
+   so that copies come in one batch. In each batch of texts (BATCH bytes) the stretches of
+   minimizers that recur in it, with their neighbours in one string, get a suffix array, by Larsson-Sadakane refinement in numpy (8 bytes first, then doubling
+   over groups that are not yet told apart, until WIDTH bytes are). Its suffixes that share WIDTH bytes stand side by side as
+   one class; all but its earliest window go. Stretches that keep a window are recorded as
    (minimizer, document, place), so a passage that a third of the documents hold leaves each batch about once.
 2. Shards of minimizers. Records are dealt into buckets by minimizer (BUCKET bytes of text each). Minimizers with one record
    are done; the stretches of the others are looked up in their texts. Of stretches that are equal byte for byte the
    earliest stays; these get suffix arrays in the same way, HOT records of one minimizer at most in one.
-3. Merge. A minimizer with more than HOT records stands in several shards. These write their earliest windows (bytes,
-   document, place) as sorted runs, and a merge finds the earliest of all by binary search of each run in the merged ones.
+3. Shards of cores. A minimizer with more than HOT records stands in several shards. Of their earliest windows, neighbours
+   whose minimizer lies in the same CELL places go on together; all such windows hold the same bytes around the
+   minimizer, the core. Dealt out by core, equal windows meet again; a core with one record is done, the others get
+   suffix arrays, and if they need several (over HOT records), the earliest windows of these are sorted by their bytes.
 
 Defined results: a null text is empty (nothing removed); texts under WIDTH bytes keep all; rows with a null doc_id take no
 part; rows that repeat a doc_id and its text count as one and each get its result; if their texts differ, each row loses
@@ -37,13 +40,13 @@ from .common import by_bytes, cut, flat, gram_hash, mix
 WIDTH, LEVELS = 100, 5
 GRAM = 1 << LEVELS
 SPAN = WIDTH - GRAM + 1  # grams in a window
-SLICE, BATCH, BUCKET = 1 << 18, 2 << 20, 32 << 20
-#: Windows of one string of a batch's suffix array.
-PIECE = 300
-#: Records of one minimizer in one shard; bytes of one suffix array (or one minimizer's shard); wanted records of one bucket.
-HOT, ARRAY, WANTED = 1000, 1 << 19, 60_000
-
-RUN = np.dtype([("w", f"S{WIDTH}"), ("doc", np.uint64), ("place", np.uint64)])
+SLICE, BATCH, BUCKET = 1 << 18, 512 << 10, 32 << 20
+#: Characters at a text's beginning that bring it beside its like.
+LIKE = 64
+#: Records of one minimizer in one shard (at most one array's bytes); bytes of one suffix array; wanted records of one bucket.
+HOT, ARRAY, WANTED = 3000, 1 << 19, 60_000
+#: Places of a minimizer in its window that one core covers; windows compared byte for byte at once.
+CELL, SORTED = 18, 100_000
 
 
 def stretches(data: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -123,76 +126,75 @@ def beside(rows: DataFrame) -> DataFrame:
 BLOBS = "key long, kind string, blob binary"
 
 
-def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Suffixes in order, equal ones by place. text: symbols from 1, a 0 after each string; left: symbols to the string's 0."""
-    n = len(text)
-    key = np.zeros(n, np.uint64)
-    padded = np.concatenate([text, np.zeros(7, text.dtype)]).astype(np.uint64)
-    for j in range(7):
-        key = key << np.uint64(9) | padded[j : j + n] * (left > j)
-    sa = np.argsort(key, kind="stable")
-    # Groups of suffixes that are not told apart yet. Those that end within the 7 symbols are: equal ones stand by place.
-    new = np.concatenate([[True], key[sa][1:] != key[sa][:-1]]) | (left[sa] < 7)
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.flatnonzero(new)[np.cumsum(new) - 1]
-    at = np.flatnonzero(~(new & np.append(new[1:], True)))
-    member = sa[at]
-    h = 7
-    while len(at):
-        first, second = rank[member], rank[member + h]
-        order = np.argsort(first * n + second)  # groups keep their places
-        member, first, second = member[order], first[order], second[order]
+def numbers(data: np.ndarray, kind: str) -> np.ndarray:
+    """The eight bytes from each place on as a number."""
+    return np.ndarray(max(len(data) - 7, 0), kind, np.ascontiguousarray(data), strides=(1,))
+
+
+def edges(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of sorted values differ from the one before, and which from both their neighbours."""
+    new = np.ones(len(values) + 1, bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:-1])
+    return new[:-1], new[:-1] & new[1:]
+
+
+def suffix_array(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of at least WIDTH bytes in order of their first WIDTH bytes, and which of them share these with the one before. data: bytes of all strings; left: bytes to the string's end."""
+    n = len(data)
+    bits = max(n - 1, 1).bit_length()
+    key = numbers(data, ">u8").astype(np.uint64)
+    sa = np.argsort(key)
+    sa = sa[left[sa] >= 8]
+    key = key[sa]
+    # Suffixes are in one group, by where it begins, as long as they are not told apart.
+    rank = np.zeros(n, np.int32 if bits < 32 else np.int64)
+    new, single = edges(key)
+    first = np.flatnonzero(new)
+    group = np.repeat(first, np.diff(np.append(first, len(sa))))
+    rank[sa] = group
+    at = np.flatnonzero(~single & (left[sa] >= 16))  # a suffix that ends sooner than it is told apart needs no place
+    member, group = sa[at], group[at]
+    h = 8
+    while h < WIDTH and len(at):
+        step = min(h, WIDTH - h)
+        second = rank[member + step]
+        if 3 * bits < 64:
+            pair = np.sort(group << 2 * bits | second.astype(np.int64) << bits | member)
+            member = pair & ((1 << bits) - 1)
+            pair >>= bits
+        else:
+            pair = group * n + second
+            order = np.argsort(pair)
+            member, pair = member[order], pair[order]
         sa[at] = member
-        new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        rank[member] = at[np.flatnonzero(new)][np.cumsum(new) - 1]
-        open_ = ~(new & np.append(new[1:], True))
-        at, member = at[open_], member[open_]
-        h *= 2
-    return sa
-
-
-def kasai(text: np.ndarray, sa: np.ndarray, start: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
-    """For the first `count` suffixes of each string: the common prefix with the suffix before it in sa, up to `most`. Strings go side by side, each keeping its prefix less one from suffix to suffix."""
-    before = np.full(len(text), -1, np.int64)
-    before[sa[1:]] = sa[:-1]
-    out = np.zeros(len(text), np.int64)
-    h = np.zeros(len(start), np.int64)
-    for t in range(int(count.max(initial=0))):
-        lane = np.flatnonzero(count > t)
-        i = start[lane] + t
-        j = before[i]
-        got = np.where(j >= 0, np.maximum(h[lane] - 1, 0), 0)
-        go = np.flatnonzero(j >= 0)
-        while len(go):
-            a, b = text[i[go] + got[go]], text[j[go] + got[go]]
-            go = go[(a == b) & (a > 0)]
-            got[go] += 1
-            go = go[got[go] < most]
-        out[i] = got
-        h[lane] = got
-    return out
+        new, single = edges(pair)
+        first = np.flatnonzero(new)
+        group = np.repeat(at[first], np.diff(np.append(first, len(at))))
+        rank[member] = group
+        h += step
+        open_ = ~single & (left[member] >= min(2 * h, WIDTH))
+        if not open_.all():
+            at, member, group = at[open_], member[open_], group[open_]
+    sa = sa[left[sa] >= WIDTH]
+    order = rank[sa]
+    return sa, np.concatenate([[False], order[1:] == order[:-1]])[: len(sa)]
 
 
 def removed_windows(strings: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of windows in strings (concatenated bytes, sizes, earliest string first): string and offset of those that stand earlier, and of the earliest of each class."""
-    n = size.sum() + len(size)
-    text = np.zeros(n, np.int64)
-    start = np.cumsum(size + 1) - (size + 1)
-    inside = np.ones(n, bool)
-    inside[start + size] = False
-    text[inside] = strings.astype(np.int64) + 1
-    left = np.repeat(start + size, size + 1) - np.arange(n)
-    sa = suffix_array(text, left)
-    common = kasai(text, sa, start, size - WIDTH + 1, WIDTH)
-    whole = left[sa] >= WIDTH
-    follows = np.concatenate([[False], whole[:-1]]) & (common[sa] >= WIDTH)
-    windows, follows = sa[whole], follows[whole]
+    end = np.cumsum(size)
+    start = end - size
+    kind = np.int32 if len(strings) < 1 << 31 else np.int64
+    windows, follows = suffix_array(strings, np.repeat(end.astype(kind), size) - np.arange(len(strings), dtype=kind))
     head = np.flatnonzero(~follows)
-    least = np.minimum.reduceat(windows, head) if len(head) else windows
-    again = windows[windows != np.repeat(least, np.diff(np.append(head, len(windows))))]
-    again, least = np.sort(again), np.sort(least)
-    owner = np.repeat(np.arange(len(size)), size + 1)
-    return owner[again], again - start[owner[again]], owner[least], least - start[owner[least]]
+    earliest = np.zeros(len(strings), bool)
+    earliest[np.minimum.reduceat(windows, head)] = True
+    again = np.zeros(len(strings), bool)
+    again[windows] = True
+    again &= ~earliest
+    again, least = np.flatnonzero(again), np.flatnonzero(earliest)
+    of, of_least = (np.searchsorted(end, x, side="right") for x in (again, least))
+    return of, again - start[of], of_least, least - start[of_least]
 
 
 def window_spans(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -244,26 +246,26 @@ def repeated(groups: np.ndarray, docs: np.ndarray, places: np.ndarray, begin: np
 
 
 def repeated_in(docs: np.ndarray, places: np.ndarray, begin: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, start, end) of windows of a batch's stretches (document, place, begin in data) that stand earlier in it, and how many of them begin before each place of data."""
+    """(document, start, end) of windows of a batch's stretches (document, place, begin in data) that stand earlier in it, and where in data these begin."""
     order = np.argsort(begin)
     docs, begin = docs[order], begin[order]
     count = (places[order] & np.uint64(127)).astype(np.int64)
     start = (places[order] >> np.uint64(7)).astype(np.int64)
     joins = (begin[1:] == begin[:-1] + count[:-1]) & (docs[1:] == docs[:-1]) & (start[1:] == start[:-1] + count[:-1])
     first = np.flatnonzero(np.concatenate([[True], ~joins]))
-    windows = np.add.reduceat(count, first)
-    pieces = -(-windows // PIECE)
-    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    of = np.repeat(first, pieces)
-    n = np.minimum(np.repeat(windows, pieces) - nth * PIECE, PIECE) + WIDTH - 1
-    docs, start, begin = docs[of], start[of] + nth * PIECE, begin[of] + nth * PIECE
+    n = np.add.reduceat(count, first) + WIDTH - 1
+    docs, start, begin = docs[first], start[first], begin[first]
     order = np.lexsort((start, docs.view(np.int64)))  # earliest first, so that places in the array's text order the windows
     docs, start, begin, n = docs[order], start[order], begin[order], n[order]
     take = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
     again, at, _, _ = removed_windows(data[take], n)
-    gone = np.zeros(len(data) + 1, np.int64)
-    gone[begin[again] + at + 1] = 1
-    return window_spans(docs[again], (start[again] + at).astype(np.uint64)), np.cumsum(gone)
+    return window_spans(docs[again], (start[again] + at).astype(np.uint64)), np.sort(begin[again] + at)
+
+
+def beside_copies(docs: DataFrame, buckets: int) -> DataFrame:
+    """Texts in the order of hashes of their beginnings and of themselves: copies stand side by side. Ranges end within a large group too, which no hash partition does."""
+    by = [F.xxhash64(F.substring("text", 1, LIKE)), F.xxhash64("text"), F.col("doc_id")]
+    return docs.repartitionByRange(buckets, *by).sortWithinPartitions(*by)
 
 
 def windows(docs: DataFrame, buckets: int) -> DataFrame:
@@ -272,10 +274,10 @@ def windows(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH):
             data, offsets = flat(batch.column("text"))
-            cover = np.zeros(len(data) + 1, np.int32)
-            np.add.at(cover, np.maximum(offsets[1:] - (WIDTH - 1), offsets[:-1]), 1)
-            np.add.at(cover, offsets[1:], -1)
-            s = stretches(data, np.cumsum(cover[:-1]) == 0)
+            whole = np.ones(len(data), bool)
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                whole[max(a, b - WIDTH + 1) : b] = False
+            s = stretches(data, whole)
             row = np.searchsorted(offsets, s[:, 1].astype(np.int64), side="right") - 1
             docs_ = batch.column("doc_id").to_numpy()[row].view(np.uint64)
             place = (s[:, 1] - offsets[row].astype(np.uint64)) << np.uint64(7) | s[:, 2]
@@ -290,7 +292,7 @@ def windows(docs: DataFrame, buckets: int) -> DataFrame:
             if len(several):
                 spans, gone = repeated_in(docs_[several], place[several], begin[several], data)
                 n = (place[several] & np.uint64(127)).astype(np.int64)
-                stays[several] = gone[begin[several] + n] - gone[begin[several]] < n
+                stays[several] = np.searchsorted(gone, begin[several] + n) - np.searchsorted(gone, begin[several]) < n
                 if len(spans):
                     yield blobs(doc_key(spans[:, 0], buckets), spans, "spans")
             records = np.stack([key[stays], docs_[stays], place[stays]], axis=1)
@@ -345,8 +347,61 @@ def look_up(docs: DataFrame, wanted: DataFrame, buckets: int, arrays: int) -> Da
     return docs.groupBy("key").cogroup(wanted.repartition(buckets, "key").groupBy("key")).applyInArrow(run, "key long, meta binary, bytes binary")
 
 
+def hashes(seed: np.ndarray, eight: np.ndarray, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """Hashes of `length` bytes (over 80, at most WIDTH) from places of data on. eight: its numbers()."""
+    h = mix(seed.astype(np.uint64))
+    for j in range(0, 80, 8):
+        h = mix(h ^ eight[at + j])
+    for j in (16, 8):  # the rest, and some of what came before
+        h = mix(h ^ eight[at + length - j])
+    return h
+
+
+def places_of_minimizers(w: np.ndarray, begin: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Where in each stretch its minimizer stands: the first gram of that hash."""
+    size = sizes(w[:, 1])
+    out = np.zeros(len(w), np.int64)
+    part = (np.cumsum(size) - size) // SLICE
+    for own in np.split(np.arange(len(w)), np.flatnonzero(np.diff(part)) + 1):
+        n = size[own]
+        start = np.cumsum(n) - n
+        h = gram_hash(data[np.repeat(begin[own] - start, n) + np.arange(n.sum())], LEVELS)
+        hit = np.flatnonzero(h == np.repeat(w[own, 2], n)[: len(h)])
+        of = np.repeat(np.arange(len(own)), n)[hit]
+        first, _ = runs(of)
+        out[own[of[first]]] = hit[first] - start[of[first]]
+    return out
+
+
+def core_parts(w: np.ndarray, begin: np.ndarray, data: np.ndarray, lead: np.ndarray, offset: np.ndarray, arrays: int) -> pa.RecordBatch:
+    """Windows (stretch, offset; in order) as rows by bucket of cores: how many records, (core, document, place) of each, and their bytes."""
+    own, lead = np.unique(lead, return_inverse=True)
+    w, begin = w[own], begin[own]
+    gram = places_of_minimizers(w, begin, data)
+    cell = (gram[lead] - offset) // CELL
+    new = np.ones(len(lead), bool)
+    new[1:] = (lead[1:] != lead[:-1]) | (offset[1:] != offset[:-1] + 1) | (cell[1:] != cell[:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(lead)))
+    lead, offset, cell = lead[first], offset[first], cell[first]
+    low = cell * CELL
+    high = np.minimum(low + CELL, SPAN) - 1
+    core = hashes(cell, numbers(data, "<u8"), begin[lead] + gram[lead] - low, WIDTH - (high - low))
+    records = np.stack([core, w[lead, 0], ((w[lead, 1] >> np.uint64(7)) + offset.astype(np.uint64)) << np.uint64(7) | count.astype(np.uint64)], axis=1)
+    key = (core % np.uint64(arrays)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    records, at, n = records[order], (begin[lead] + offset)[order], count[order] + WIDTH - 1
+    first, rows = runs(key[order])
+    blob = []
+    for a, k in zip(first.tolist(), rows.tolist(), strict=True):
+        size = n[a : a + k]
+        take = np.repeat(at[a : a + k] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        blob.append(np.uint64(k).tobytes() + records[a : a + k].tobytes() + data[take].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(key[order][first]), pa.array(["core"] * len(first), pa.string()), pa.array(blob, pa.binary())], names=["key", "kind", "blob"])
+
+
 def shards(found: DataFrame, buckets: int, arrays: int) -> DataFrame:
-    """`spans` by bucket of documents, and for minimizers in several shards `run`s of their earliest windows (RUN) by bucket of windows."""
+    """`spans` by bucket of documents, and for minimizers in several shards their earliest windows by bucket of `core`s."""
 
     def run(t: pa.Table) -> pa.Table:
         schema = pa.schema([("key", pa.int64()), ("kind", pa.string()), ("blob", pa.binary())])
@@ -357,47 +412,65 @@ def shards(found: DataFrame, buckets: int, arrays: int) -> DataFrame:
         order = np.lexsort((w[:, 1], w[:, 0].view(np.int64), w[:, 3], w[:, 2]))
         w, begin = w[order], begin[order]
         group = np.cumsum(np.concatenate([[0], (w[1:, 2:4] != w[:-1, 2:4]).any(axis=1)]))
-        spans, lead, offset, at, _ = repeated(group, w[:, 0], w[:, 1], begin, data)
+        spans, lead, offset, _, _ = repeated(group, w[:, 0], w[:, 1], begin, data)
         out = []
         if len(spans):
             out.append(blobs(doc_key(spans[:, 0], buckets), spans, "spans"))
         split = w[lead, 4] > 1
         if split.any():
-            lead, offset, at = lead[split], offset[split], at[split]
-            of = np.zeros(len(at), RUN)
-            of["w"] = np.ascontiguousarray(data[at[:, None] + np.arange(WIDTH)]).view(f"S{WIDTH}").ravel()
-            of["doc"], of["place"] = w[lead, 0], (w[lead, 1] >> np.uint64(7)) + offset.astype(np.uint64)
-            key = (gram_hash(data, LEVELS)[at] >> np.uint64(13)) % np.uint64(arrays)
-            order = np.lexsort((of["w"], key))
-            of, key = of[order], key[order]
-            first, count = runs(key)
-            out.append(pa.RecordBatch.from_arrays([pa.array(key[first].astype(np.int64)), pa.array(["run"] * len(first)), pa.array([of[a : a + n].tobytes() for a, n in zip(first, count, strict=True)], pa.binary())], schema=schema))
+            out.append(core_parts(w, begin, data, lead[split], offset[split], arrays))
         return pa.Table.from_batches(out, schema) if out else schema.empty_table()
 
     return found.repartition(arrays, "key").groupBy("key").applyInArrow(run, BLOBS)
 
 
-def merge(rows: DataFrame, buckets: int, arrays: int) -> DataFrame:
-    """The `spans` of rows, and those of windows that stand earlier in another shard: each sorted run is searched in the merged ones."""
+def repeated_across(docs: np.ndarray, places: np.ndarray, at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """(document, start, end) of windows (document, place, begin in data) of several suffix arrays that stand earlier in another one. Only windows whose hashes recur are compared."""
+    eight = numbers(data, "<u8")
+    h = np.concatenate([hashes(np.zeros(len(own), np.uint64), eight, own, WIDTH) for own in np.split(at, range(SORTED, len(at), SORTED))])
+    order = np.argsort(h)
+    first, count = runs(h[order])
+    order = order[np.repeat(count > 1, count)]
+    first, _ = runs(h[order])
+    part = first // SORTED
+    gone = [order[:0]]
+    for own in np.split(order, first[1:][np.diff(part) > 0]) if len(order) else []:  # whole hashes
+        text = np.ascontiguousarray(data[at[own][:, None] + np.arange(WIDTH)]).view(f"S{WIDTH}").ravel()
+        by_text = np.lexsort((places[own], docs[own].view(np.int64), text))
+        gone.append(own[by_text[1:][text[by_text[1:]] == text[by_text[:-1]]]])
+    gone = np.concatenate(gone)
+    gone = gone[np.lexsort((places[gone], docs[gone]))]
+    return window_spans(docs[gone], places[gone])
+
+
+def cores(rows: DataFrame, buckets: int, arrays: int, hot: int) -> DataFrame:
+    """The `spans` of rows, and those of windows that stand earlier in another shard."""
 
     def run(t: pa.Table) -> pa.Table:
         if (spans := pass_spans(t)) is not None:
             return spans
-        merged, gone = np.zeros(0, RUN), []
+        records, texts = [], []
         for blob in t["blob"]:
-            r = np.frombuffer(blob.as_buffer(), RUN)
-            at = np.searchsorted(merged["w"], r["w"])
-            known = np.flatnonzero((at < len(merged)) & (merged["w"][np.minimum(at, len(merged) - 1)] == r["w"])) if len(merged) else np.zeros(0, np.int64)
-            old, new = merged[at[known]], r[known]
-            later = (new["doc"].view(np.int64) > old["doc"].view(np.int64)) | ((new["doc"] == old["doc"]) & (new["place"] > old["place"]))
-            gone += [new[later], old[~later]]
-            merged[at[known[~later]]] = new[~later]
-            fresh = np.ones(len(r), bool)
-            fresh[known] = False
-            merged = np.insert(merged, at[fresh], r[fresh])
-        gone = np.concatenate(gone) if gone else np.zeros(0, RUN)
-        gone = gone[np.lexsort((gone["place"], gone["doc"]))]
-        spans = window_spans(np.ascontiguousarray(gone["doc"]), np.ascontiguousarray(gone["place"]))
+            raw = blob.as_buffer()
+            n = int(np.frombuffer(raw, np.uint64, 1)[0])
+            records.append(np.frombuffer(raw, np.uint64, 3 * n, 8).reshape(-1, 3)), texts.append(np.frombuffer(raw, np.uint8, -1, 8 + 24 * n))
+        r, data = np.concatenate(records), np.concatenate(texts)
+        size = sizes(r[:, 2])
+        begin = np.cumsum(size) - size
+        order = np.lexsort((r[:, 2], r[:, 1].view(np.int64), r[:, 0]))
+        first, count = runs(r[order, 0])
+        n, nth = np.repeat(count, count), np.arange(len(r)) - np.repeat(first, count)
+        own = n > 1
+        if not own.any():
+            return t.slice(0, 0)
+        order, n, nth = order[own], n[own], nth[own]
+        core, docs, places, begin = r[order, 0], r[order, 1], r[order, 2], begin[order]
+        group = np.cumsum(np.concatenate([[0], (core[1:] != core[:-1]) | (nth[1:] % hot == 0)]))
+        spans, lead, offset, at, _ = repeated(group, docs, places, begin, data)
+        split = n[lead] > hot
+        if split.any():
+            lead, offset, at = lead[split], offset[split], at[split]
+            spans = np.concatenate([spans, repeated_across(docs[lead], (places[lead] >> np.uint64(7)) + offset.astype(np.uint64), at, data)])
         return pa.Table.from_batches([blobs(doc_key(spans[:, 0], buckets), spans, "spans")])
 
     return beside(rows).repartition(arrays, "key").groupBy("key").applyInArrow(run, BLOBS)
@@ -441,9 +514,9 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot: int = HOT) ->
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(least, -(-size // BUCKET))
-    found = cut(shared_stretches(windows(docs, buckets), buckets, hot), "stretches")
+    found = cut(shared_stretches(windows(beside_copies(docs, buckets), buckets), buckets, hot), "stretches")
     wanted = found.filter("kind = 'wanted'")
     arrays = max(least, -(-(wanted.agg(F.sum(F.octet_length("blob").cast("long"))).first()[0] or 0) // (40 * WANTED)))
     keyed = docs.withColumn("key", doc_bucket(buckets)).repartition(buckets, "key")  # dealt out once: look_up and kept_bytes share the exchange
     sharded = shards(look_up(keyed, wanted, buckets, arrays), buckets, arrays)
-    return kept_bytes(keyed, found.filter("kind = 'spans'").unionByName(merge(sharded, buckets, arrays)), buckets, keep_text)
+    return kept_bytes(keyed, found.filter("kind = 'spans'").unionByName(cores(sharded, buckets, arrays, hot)), buckets, keep_text)
